@@ -12,7 +12,9 @@ from typing import Callable
 
 from pyspark.sql import DataFrame
 
+from .operators import abuse as ab
 from .operators import platform as pl
+from .operators import retention as rt
 from .params import Params
 from .sources.tables import Tables
 
@@ -30,4 +32,15 @@ REPORTS: dict[str, Report] = {
     "platform_comparison": Report(lambda t, p: pl.platform_comparison(t.events)),
     "daily_platform_trends": Report(lambda t, p: pl.daily_platform_trends(t.events)),
     "platform_performance": Report(lambda t, p: pl.platform_performance(t.events)),
+    # retention
+    "retention_intervals": Report(lambda t, p: rt.retention_intervals(t.user_info, p)),
+    "cohort_retention_monthly": Report(lambda t, p: rt.cohort_retention_monthly(t.user_info, p)),
+    "platform_retention": Report(lambda t, p: rt.platform_retention(t.user_info, p)),
+    # trial abuse
+    "abuse_by_country": Report(lambda t, p: ab.abuse_by_country(t.user_info, t.geography, p)),
+    "serious_cheaters": Report(lambda t, p: ab.serious_cheaters(t.user_info, t.geography, p)),
+    "trial_suspension_by_country": Report(lambda t, p: ab.trial_suspension_by_country(t.user_info, t.geography, p)),
+    "platform_fraud": Report(lambda t, p: ab.platform_fraud(t.user_info, p)),
+    "fraud_by_month": Report(lambda t, p: ab.fraud_by_month(t.user_info, p)),
+    "account_anomalies": Report(lambda t, p: ab.account_anomalies(t.user_info, p)),
 }
