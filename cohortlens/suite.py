@@ -13,12 +13,17 @@ from typing import Callable
 from pyspark.sql import DataFrame
 
 from .operators import abuse as ab
+from .operators import geography as geo
 from .operators import platform as pl
 from .operators import retention as rt
 from .params import Params
 from .sources.tables import Tables
 
 
+def _ncc(t: Tables, p: Params) -> DataFrame:
+    return geo.number_customer_country(t.user_info, t.geography, p)
+
+
 @dataclass(frozen=True)
 class Report:
     fn: Callable[[Tables, Params], DataFrame]
@@ -43,4 +48,15 @@ REPORTS: dict[str, Report] = {
     "platform_fraud": Report(lambda t, p: ab.platform_fraud(t.user_info, p)),
     "fraud_by_month": Report(lambda t, p: ab.fraud_by_month(t.user_info, p)),
     "account_anomalies": Report(lambda t, p: ab.account_anomalies(t.user_info, p)),
+    # geography
+    "number_customer_country": Report(_ncc),
+    "top_countries": Report(lambda t, p: geo.top_countries(_ncc(t, p), p)),
+    "country_revenue": Report(lambda t, p: geo.country_revenue(_ncc(t, p), t.events, p)),
+    "country_platform_share": Report(lambda t, p: geo.country_platform_share(_ncc(t, p), t.user_info, p)),
+    "os_by_top_countries": Report(lambda t, p: geo.os_by_top_countries(_ncc(t, p), t.user_info, p)),
+    "country_engagement": Report(lambda t, p: geo.country_engagement(_ncc(t, p), t.user_info, t.events, p)),
+    "seasonal_by_top_countries": Report(lambda t, p: geo.seasonal_by_top_countries(_ncc(t, p), t.events, p),
+                                        event_view="orders"),
+    "country_clusters": Report(lambda t, p: geo.country_clusters(_ncc(t, p), t.user_info, t.events, p)),
+    "timezone_usage": Report(lambda t, p: geo.timezone_usage(_ncc(t, p), t.events, p)),
 }

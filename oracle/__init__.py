@@ -1,7 +1,7 @@
 """Independent DuckDB SQL for every report (the correctness oracle)."""
 
-from . import platform, retention_abuse
+from . import geography, platform, retention_abuse
 
 ALL_SQL: dict[str, str] = {}
-for _m in (platform, retention_abuse):
+for _m in (platform, retention_abuse, geography):
     ALL_SQL.update(_m.SQL)
