@@ -16,6 +16,7 @@ from .operators import abuse as ab
 from .operators import geography as geo
 from .operators import platform as pl
 from .operators import retention as rt
+from .operators import sessions as ss
 from .params import Params
 from .sources.tables import Tables
 
@@ -59,4 +60,11 @@ REPORTS: dict[str, Report] = {
                                         event_view="orders"),
     "country_clusters": Report(lambda t, p: geo.country_clusters(_ncc(t, p), t.user_info, t.events, p)),
     "timezone_usage": Report(lambda t, p: geo.timezone_usage(_ncc(t, p), t.events, p)),
+    # anchored sessions
+    "events_updated": Report(lambda t, p: ss.events_updated(t.events, p)),
+    "session_compare": Report(lambda t, p: ss.session_compare(t.events, p)),
+    "session_user_impact": Report(lambda t, p: ss.session_user_impact(t.events, p)),
+    "session_platform_impact": Report(lambda t, p: ss.session_platform_impact(t.events, p)),
+    "session_daily_impact": Report(lambda t, p: ss.session_daily_impact(t.events, p)),
+    "gaming_patterns": Report(lambda t, p: ss.gaming_patterns(t.events, p)),
 }

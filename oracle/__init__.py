@@ -1,7 +1,7 @@
 """Independent DuckDB SQL for every report (the correctness oracle)."""
 
-from . import geography, platform, retention_abuse
+from . import geography, platform, retention_abuse, sessions
 
 ALL_SQL: dict[str, str] = {}
-for _m in (platform, retention_abuse, geography):
+for _m in (platform, retention_abuse, geography, sessions):
     ALL_SQL.update(_m.SQL)
