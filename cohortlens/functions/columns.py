@@ -31,6 +31,28 @@ def rnd(c, n: int) -> Column:
     return F.signum(x) * F.floor(F.abs(x) * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale) + F.lit(0.0)
 
 
+EXACT_TYPE = "decimal(27,12)"
+COUNT_TYPE = "decimal(10,0)"
+
+
+def exact(c) -> Column:
+    """A double as DECIMAL(27,12), so sums over it are exact and do not
+    depend on the order rows arrive in (stable under retries and across
+    engines).  27 digits leave room to multiply by a DECIMAL(10,0) count
+    within Spark's 38-digit limit without losing scale."""
+    return dbl(c).cast(EXACT_TYPE)
+
+
+def exact_times(count, c) -> Column:
+    """count * c, exactly (count as DECIMAL(10,0))."""
+    return col(count).cast(COUNT_TYPE) * exact(c)
+
+
+def exact_avg(c) -> Column:
+    """AVG of a double, accumulated exactly."""
+    return F.try_divide(dbl(F.sum(exact(c))), dbl(F.count(col(c))))
+
+
 def div(a, b) -> Column:
     """a / b as double; NULL instead of an error when b is 0 or NULL."""
     return F.try_divide(dbl(a), dbl(b))

@@ -16,6 +16,7 @@ from .operators import abuse as ab
 from .operators import geography as geo
 from .operators import platform as pl
 from .operators import retention as rt
+from .operators import rfm
 from .operators import sessions as ss
 from .params import Params
 from .sources.tables import Tables
@@ -25,6 +26,15 @@ def _ncc(t: Tables, p: Params) -> DataFrame:
     return geo.number_customer_country(t.user_info, t.geography, p)
 
 
+def _rfm_base(t: Tables, p: Params) -> DataFrame:
+    # the per-user totals need no global ids, so the cheaper id-less sessions feed it
+    return rfm.rfm_base(ss.sessions(t.events, p), t.user_info, p)
+
+
+def _rfm_segments(t: Tables, p: Params) -> DataFrame:
+    return rfm.rfm_segments(rfm.rfm_scores(_rfm_base(t, p), p))
+
+
 @dataclass(frozen=True)
 class Report:
     fn: Callable[[Tables, Params], DataFrame]
@@ -67,4 +77,15 @@ REPORTS: dict[str, Report] = {
     "session_platform_impact": Report(lambda t, p: ss.session_platform_impact(t.events, p)),
     "session_daily_impact": Report(lambda t, p: ss.session_daily_impact(t.events, p)),
     "gaming_patterns": Report(lambda t, p: ss.gaming_patterns(t.events, p)),
+    # RFM
+    "rfm_base": Report(_rfm_base),
+    "rfm_scores": Report(lambda t, p: rfm.rfm_scores(_rfm_base(t, p), p)),
+    "rfm_segments": Report(_rfm_segments),
+    "segment_summary": Report(lambda t, p: rfm.segment_summary(_rfm_segments(t, p))),
+    "rfm_score_distribution": Report(lambda t, p: rfm.rfm_score_distribution(_rfm_segments(t, p), p)),
+    "segment_by_country": Report(lambda t, p: rfm.segment_by_country(_rfm_segments(t, p), t.user_info,
+                                                                     t.geography, p)),
+    "segment_by_platform": Report(lambda t, p: rfm.segment_by_platform(_rfm_segments(t, p), t.user_info)),
+    "segment_lifecycle": Report(lambda t, p: rfm.segment_lifecycle(_rfm_segments(t, p), p)),
+    "segment_transitions": Report(lambda t, p: rfm.segment_transitions(_rfm_segments(t, p))),
 }

@@ -1,7 +1,7 @@
 """Independent DuckDB SQL for every report (the correctness oracle)."""
 
-from . import geography, platform, retention_abuse, sessions
+from . import geography, platform, retention_abuse, rfm, sessions
 
 ALL_SQL: dict[str, str] = {}
-for _m in (platform, retention_abuse, geography, sessions):
+for _m in (platform, retention_abuse, geography, sessions, rfm):
     ALL_SQL.update(_m.SQL)
