@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 
 from .operators import abuse as ab
 from .operators import geography as geo
+from .operators import kpis as kpi
 from .operators import platform as pl
 from .operators import retention as rt
 from .operators import rfm
@@ -88,4 +89,18 @@ REPORTS: dict[str, Report] = {
     "segment_by_platform": Report(lambda t, p: rfm.segment_by_platform(_rfm_segments(t, p), t.user_info)),
     "segment_lifecycle": Report(lambda t, p: rfm.segment_lifecycle(_rfm_segments(t, p), p)),
     "segment_transitions": Report(lambda t, p: rfm.segment_transitions(_rfm_segments(t, p))),
+    # business KPIs
+    "dau_by_platform": Report(lambda t, p: kpi.dau_by_platform(t.events)),
+    "mau_growth": Report(lambda t, p: kpi.mau_growth(t.events), event_view="orders"),
+    "acquisition_by_month": Report(lambda t, p: kpi.acquisition_by_month(t.user_info)),
+    "revenue_metrics": Report(lambda t, p: kpi.revenue_metrics(t.user_info, t.events)),
+    "feature_usage": Report(lambda t, p: kpi.feature_usage(t.user_info, t.events)),
+    "engagement_segments": Report(lambda t, p: kpi.engagement_segments(t.events, p)),
+    "churn_status": Report(lambda t, p: kpi.churn_status(t.user_info, t.events, p)),
+    "platform_kpis": Report(lambda t, p: kpi.platform_kpis(t.user_info, t.events, p)),
+    "weekly_trends": Report(lambda t, p: kpi.weekly_trends(t.events), event_view="orders"),
+    "clv_segments": Report(lambda t, p: kpi.clv_segments(t.user_info, t.events, p)),
+    "os_performance": Report(lambda t, p: kpi.os_performance(t.user_info, t.events, p)),
+    "peak_hours": Report(lambda t, p: kpi.peak_hours(t.events)),
+    "cohort_revenue": Report(lambda t, p: kpi.cohort_revenue(t.user_info, t.events)),
 }

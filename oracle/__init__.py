@@ -1,7 +1,7 @@
 """Independent DuckDB SQL for every report (the correctness oracle)."""
 
-from . import geography, platform, retention_abuse, rfm, sessions
+from . import geography, kpis, platform, retention_abuse, rfm, sessions
 
 ALL_SQL: dict[str, str] = {}
-for _m in (platform, retention_abuse, geography, sessions, rfm):
+for _m in (platform, retention_abuse, geography, sessions, rfm, kpis):
     ALL_SQL.update(_m.SQL)
