@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from ..functions.columns import date_lit, first_match, life_days, pct, rnd
 from ..functions.labels import RISK_EXTREME, RISK_HIGH, RISK_LOW, RISK_MEDIUM
 from ..params import DEFAULT, Params
-from ..plans.broadcast import bounded_broadcast
+from ..plans.broadcast import dimension
 
 GROUP = ["user_id", "mp_country_code", "os"]
 
 
 def _countries(geography: DataFrame, params: Params) -> DataFrame:
-    return bounded_broadcast(geography.select("code", "country"), params.dimension_max_rows)
+    return dimension(geography.select("code", "country"), params.dimension_max_rows)
 
 
 def abuse_by_country(user_info: DataFrame, geography: DataFrame, params: Params = DEFAULT) -> DataFrame:

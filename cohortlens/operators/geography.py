@@ -18,13 +18,13 @@ from ..functions.columns import dbl, div, first_match, life_days, pct, rnd
 from ..functions.labels import (MARKET_HIGH_RISK, MARKET_HIGH_VALUE, MARKET_MEDIUM_VALUE, MARKET_STANDARD,
                                 TIMEZONE_BANDS, TIMEZONE_UNKNOWN)
 from ..params import DEFAULT, Params
-from ..plans.broadcast import bounded_broadcast
+from ..plans.broadcast import dimension
 from ..plans.fanout import events_per_user, left_weight
 
 
 def number_customer_country(user_info: DataFrame, geography: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Accounts with their country.  (CTAS ``number_customer_country``)"""
-    g = bounded_broadcast(geography, params.dimension_max_rows)
+    g = dimension(geography, params.dimension_max_rows)
     return user_info.join(g, user_info["mp_country_code"] == g["code"]).select(
         user_info["user_id"], user_info["mp_country_code"].alias("country_code"),
         g["country"], g["latitude"], g["longitude"])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import date_lit, dbl, div, exact, exact_avg, exact_times, first_match, month_boundaries, pct, rnd
 from ..functions.labels import SEG_AT_RISK, SEG_OTHER, SEG_POTENTIAL, SEG_REGULAR, SEG_VIP, SEG_WALK_IN
 from ..params import DEFAULT, Params
-from ..plans.broadcast import bounded_broadcast
+from ..plans.broadcast import dimension
 from ..plans.numbering import dense_row_number
 
 BASE_COLS = ["user_id", "created_date", "recency", "frequency", "monetary"]
@@ -132,7 +132,7 @@ def segment_by_country(segments: DataFrame, user_info: DataFrame, geography: Dat
                        params: Params = DEFAULT) -> DataFrame:
     accounts = (user_info.filter(F.col("user_id").isNotNull())
                 .groupBy("user_id", "mp_country_code").agg(F.count(F.lit(1)).alias("_a")))
-    g = bounded_broadcast(geography.select("code", "country"), params.dimension_max_rows)
+    g = dimension(geography.select("code", "country"), params.dimension_max_rows)
     accounts = accounts.join(g, accounts["mp_country_code"] == g["code"]).select("user_id", "country", "_a")
     agg = (_weighted(segments, accounts, ["country", "customer_segment"], {"m": "monetary"}, "customer_count")
            .filter(F.col("customer_count") >= params.rfm_country_min_customers))

@@ -73,31 +73,51 @@ def events_updated(events: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return numbered.select("id", "user_id", "date", "datetime", "platform", "volume", "fee")
 
 
-def session_key_stats(events: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def session_key_stats(events: DataFrame, params: Params = DEFAULT,
+                      events_updated: DataFrame | None = None) -> DataFrame:
     """Per (user, platform, date): original vs recalculated events and sums.
     Rows without a platform or date are dropped, as the equi-join on the
-    three keys does."""
-    return (session_buckets(events, params)
-            .filter(F.col("platform").isNotNull() & F.col("date").isNotNull())
-            .groupBy(*SESSION_KEY)
-            .agg(F.sum("_events").alias("original_events"), F.count(F.lit(1)).alias("updated_events"),
-                 F.sum("volume").alias("volume"), F.sum("fee").alias("fee")))
-
-
-def session_compare(events: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    st = session_key_stats(events, params).filter(F.col("original_events") > F.col("updated_events"))
+    three keys does.
+
+    Without ``events_updated`` both sides come from one bucket
+    aggregation.  With a materialised ``events_updated`` table the events
+    and the table are each aggregated to one row per key (map-side
+    combined, so hot keys are pre-reduced) and the two aggregates are
+    joined, which avoids recomputing the buckets."""
+    if events_updated is None:
+        st = (session_buckets(events, params)
+              .filter(F.col("platform").isNotNull() & F.col("date").isNotNull())
+              .groupBy(*SESSION_KEY)
+              .agg(F.sum("_events").alias("original_events"), F.count(F.lit(1)).alias("updated_events"),
+                   F.sum("volume").alias("original_volume"), F.sum("fee").alias("original_fee")))
+        return st.select("*", F.col("original_volume").alias("updated_volume"),
+                         F.col("original_fee").alias("updated_fee"))
+    known = F.col("platform").isNotNull() & F.col("date").isNotNull()
+    original = (events.filter(F.col("user_id").isNotNull() & known).groupBy(*SESSION_KEY)
+                .agg(F.count(F.lit(1)).alias("original_events"), F.sum("volume").alias("original_volume"),
+                     F.sum("fee").alias("original_fee")))
+    updated = (events_updated.filter(known).groupBy(*SESSION_KEY)
+               .agg(F.count(F.lit(1)).alias("updated_events"), F.sum("volume").alias("updated_volume"),
+                    F.sum("fee").alias("updated_fee")))
+    return original.join(updated, SESSION_KEY)
+
+
+def session_compare(events: DataFrame, params: Params = DEFAULT,
+                    events_updated: DataFrame | None = None) -> DataFrame:
+    st = session_key_stats(events, params, events_updated).filter(
+        F.col("original_events") > F.col("updated_events"))
     reduced = F.col("original_events") - F.col("updated_events")
     return (st.select(
         *SESSION_KEY, "original_events", "updated_events", reduced.alias("events_reduced"),
         rnd(pct(reduced, "original_events"), 2).alias("reduction_percentage"),
-        F.col("volume").alias("original_volume"), F.col("volume").alias("updated_volume"),
-        F.col("fee").alias("original_fee"), F.col("fee").alias("updated_fee"))
+        "original_volume", "updated_volume", "original_fee", "updated_fee")
         .orderBy(F.col("events_reduced").desc(), *SESSION_KEY)
         .limit(params.session_compare_k))
 
 
-def session_user_impact(events: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    st = session_key_stats(events, params)
+def session_user_impact(events: DataFrame, params: Params = DEFAULT,
+                        events_updated: DataFrame | None = None) -> DataFrame:
+    st = session_key_stats(events, params, events_updated)
     reduced = F.col("original_events") - F.col("updated_events")
     users = (st.groupBy("user_id")
              .agg(F.sum("original_events").alias("_orig"), F.sum("updated_events").alias("_upd"),
@@ -117,8 +137,9 @@ def session_user_impact(events: DataFrame, params: Params = DEFAULT) -> DataFram
             .orderBy(F.col("avg_original_events").desc()))
 
 
-def session_platform_impact(events: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    st = session_key_stats(events, params)
+def session_platform_impact(events: DataFrame, params: Params = DEFAULT,
+                            events_updated: DataFrame | None = None) -> DataFrame:
+    st = session_key_stats(events, params, events_updated)
     per_user = (st.groupBy("user_id", "platform")
                 .agg(F.sum("original_events").alias("_orig"), F.sum("updated_events").alias("_upd"))
                 .filter(F.col("_orig") > F.col("_upd")))
@@ -132,8 +153,9 @@ def session_platform_impact(events: DataFrame, params: Params = DEFAULT) -> Data
     ).orderBy(F.col("platform_reduction_pct").desc_nulls_last())
 
 
-def session_daily_impact(events: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    st = session_key_stats(events, params)
+def session_daily_impact(events: DataFrame, params: Params = DEFAULT,
+                         events_updated: DataFrame | None = None) -> DataFrame:
+    st = session_key_stats(events, params, events_updated)
     daily = (st.groupBy("date")
              .agg(F.sum("original_events").alias("daily_original_events"),
                   F.sum("updated_events").alias("daily_updated_events"),

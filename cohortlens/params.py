@@ -72,7 +72,7 @@ class Params:
     os_min_users: int = 10
 
     # physical knobs (not semantics)
-    dimension_max_rows: int = 100_000  # largest dimension table we agree to broadcast
+    dimension_max_rows: int | None = None  # None: Spark's size-based join choice; int: count-checked broadcast
     hot_key_rows: int = 1_000_000      # per-key row count above which a key is salted
     hot_key_limit: int = 10_000        # most hot keys handled by broadcast; the rest still join exactly
     salt_rows_per_task: int = 1_000_000

@@ -1,11 +1,14 @@
 """Broadcast only behind a size check.
 
-``bounded_broadcast`` marks a side for broadcast when it has at most
-``max_rows`` rows and otherwise leaves it to a shuffle join; the check is
-one ``limit(max_rows + 1).count()`` per DataFrame object, remembered for
-the life of that object.  Results whose size is bounded by construction
-(top-k lists, one-row aggregates, per-partition tables) use
-``F.broadcast`` directly.
+``dimension`` prepares the small side of a dimension join.  By default
+the join strategy is left to Spark's own size check: it broadcasts a
+side whose estimated size is under ``spark.sql.autoBroadcastJoinThreshold``
+(AQE re-checks with the real size at runtime) and sort-merge joins
+otherwise — a checked broadcast with a fallback and no extra job.
+With ``max_rows`` set, the side is counted once per DataFrame object
+(``limit(max_rows + 1).count()``) and hinted for broadcast only within
+the bound.  Results bounded by construction (top-k lists, per-partition
+offset tables) use ``F.broadcast`` directly.
 """
 
 from __future__ import annotations
@@ -26,5 +29,7 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return ok
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+def dimension(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    if max_rows is None:
+        return df
     return F.broadcast(df) if fits(df, max_rows) else df

@@ -6,8 +6,10 @@ every row into one task.  Instead:
 1. range-partition on the (total) order and sort inside each partition;
 2. tag each row with its partition and its position inside it
    (``monotonically_increasing_id`` is consecutive within a partition);
-3. checkpoint, so both passes below see the same partition contents even
-   if executors are lost and work is recomputed;
+3. materialise the tagged rows as a Parquet table under
+   ``spark.checkpoint.dir`` (one job; the lineage is cut, so both passes
+   below read the same rows even if executors are lost and work is
+   recomputed — partition and position travel as columns);
 4. count rows per partition (one row per partition — a proven bound),
    turn the counts into offsets with a tiny window, broadcast them and
    add them to the local positions.
@@ -17,6 +19,8 @@ Order statistics reuse steps 1-4 on a value histogram.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +28,12 @@ from ..session import ensure_checkpoint_dir
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise to ``spark.checkpoint.dir`` and cut the lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and read it back
+    (cuts the lineage; shared, reliable storage on a cluster)."""
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/cohortlens-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:

@@ -1,13 +1,20 @@
 """Registry of every report and derived table of the suite.
 
-Each entry maps a name to ``fn(tables, params) -> DataFrame`` plus the
-event view its test wiring uses (``"events"`` or ``"orders"`` — the
-latter for month/week series that need a long date range).
+Each entry is ``fn(d: Derived) -> DataFrame``.  ``Derived`` hands out the
+base tables, the parameters and the derived tables
+(``number_customer_country``, ``events_updated``, RFM tables): computed
+on the fly for a stand-alone query, or read back from a warehouse when
+the suite runs as a pipeline (``cohortlens.runner``), the way the
+original scripts create their tables once and report from them.
+
+``event_view`` names the event table the test wiring uses: ``"events"``
+or ``"orders"`` (orders seen as events, a many-month series for the
+monthly/weekly trend reports).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Callable
 
 from pyspark.sql import DataFrame
@@ -19,88 +26,123 @@ from .operators import platform as pl
 from .operators import retention as rt
 from .operators import rfm
 from .operators import sessions as ss
-from .params import Params
+from .params import DEFAULT, Params
 from .sources.tables import Tables
 
 
-def _ncc(t: Tables, p: Params) -> DataFrame:
-    return geo.number_customer_country(t.user_info, t.geography, p)
+@dataclass
+class Derived:
+    tables: Tables
+    params: Params = DEFAULT
+    materialized: dict[str, DataFrame] = field(default_factory=dict)
+
+    def _get(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self.materialized:
+            self.materialized[name] = build()
+        return self.materialized[name]
+
+    @property
+    def ncc(self) -> DataFrame:
+        t, p = self.tables, self.params
+        return self._get("number_customer_country", lambda: geo.number_customer_country(t.user_info, t.geography, p))
 
+    @property
+    def events_updated(self) -> DataFrame | None:
+        """Materialised table if there is one; reports otherwise derive what they need."""
+        return self.materialized.get("events_updated")
 
-def _rfm_base(t: Tables, p: Params) -> DataFrame:
-    # the per-user totals need no global ids, so the cheaper id-less sessions feed it
-    return rfm.rfm_base(ss.sessions(t.events, p), t.user_info, p)
+    @property
+    def rfm_base(self) -> DataFrame:
+        t, p = self.tables, self.params
+        # per-user totals need no global ids, so id-less sessions feed it when no table exists
+        eu = self.events_updated
+        return self._get("rfm_base", lambda: rfm.rfm_base(eu if eu is not None else ss.sessions(t.events, p),
+                                                          t.user_info, p))
 
+    @property
+    def rfm_scores(self) -> DataFrame:
+        return self._get("rfm_scores", lambda: rfm.rfm_scores(self.rfm_base, self.params))
 
-def _rfm_segments(t: Tables, p: Params) -> DataFrame:
-    return rfm.rfm_segments(rfm.rfm_scores(_rfm_base(t, p), p))
+    @property
+    def rfm_segments(self) -> DataFrame:
+        return self._get("rfm_segments", lambda: rfm.rfm_segments(self.rfm_scores))
 
 
 @dataclass(frozen=True)
 class Report:
-    fn: Callable[[Tables, Params], DataFrame]
+    fn: Callable[[Derived], DataFrame]
     event_view: str = "events"
 
 
+def _r(fn, view: str = "events") -> Report:
+    return Report(fn, view)
+
+
 REPORTS: dict[str, Report] = {
     # platform usage
-    "platform_use": Report(lambda t, p: pl.platform_use(t.events)),
-    "volume_use": Report(lambda t, p: pl.volume_use(t.events)),
-    "platform_comparison": Report(lambda t, p: pl.platform_comparison(t.events)),
-    "daily_platform_trends": Report(lambda t, p: pl.daily_platform_trends(t.events)),
-    "platform_performance": Report(lambda t, p: pl.platform_performance(t.events)),
+    "platform_use": _r(lambda d: pl.platform_use(d.tables.events)),
+    "volume_use": _r(lambda d: pl.volume_use(d.tables.events)),
+    "platform_comparison": _r(lambda d: pl.platform_comparison(d.tables.events)),
+    "daily_platform_trends": _r(lambda d: pl.daily_platform_trends(d.tables.events)),
+    "platform_performance": _r(lambda d: pl.platform_performance(d.tables.events)),
     # retention
-    "retention_intervals": Report(lambda t, p: rt.retention_intervals(t.user_info, p)),
-    "cohort_retention_monthly": Report(lambda t, p: rt.cohort_retention_monthly(t.user_info, p)),
-    "platform_retention": Report(lambda t, p: rt.platform_retention(t.user_info, p)),
+    "retention_intervals": _r(lambda d: rt.retention_intervals(d.tables.user_info, d.params)),
+    "cohort_retention_monthly": _r(lambda d: rt.cohort_retention_monthly(d.tables.user_info, d.params)),
+    "platform_retention": _r(lambda d: rt.platform_retention(d.tables.user_info, d.params)),
     # trial abuse
-    "abuse_by_country": Report(lambda t, p: ab.abuse_by_country(t.user_info, t.geography, p)),
-    "serious_cheaters": Report(lambda t, p: ab.serious_cheaters(t.user_info, t.geography, p)),
-    "trial_suspension_by_country": Report(lambda t, p: ab.trial_suspension_by_country(t.user_info, t.geography, p)),
-    "platform_fraud": Report(lambda t, p: ab.platform_fraud(t.user_info, p)),
-    "fraud_by_month": Report(lambda t, p: ab.fraud_by_month(t.user_info, p)),
-    "account_anomalies": Report(lambda t, p: ab.account_anomalies(t.user_info, p)),
+    "abuse_by_country": _r(lambda d: ab.abuse_by_country(d.tables.user_info, d.tables.geography, d.params)),
+    "serious_cheaters": _r(lambda d: ab.serious_cheaters(d.tables.user_info, d.tables.geography, d.params)),
+    "trial_suspension_by_country": _r(
+        lambda d: ab.trial_suspension_by_country(d.tables.user_info, d.tables.geography, d.params)),
+    "platform_fraud": _r(lambda d: ab.platform_fraud(d.tables.user_info, d.params)),
+    "fraud_by_month": _r(lambda d: ab.fraud_by_month(d.tables.user_info, d.params)),
+    "account_anomalies": _r(lambda d: ab.account_anomalies(d.tables.user_info, d.params)),
     # geography
-    "number_customer_country": Report(_ncc),
-    "top_countries": Report(lambda t, p: geo.top_countries(_ncc(t, p), p)),
-    "country_revenue": Report(lambda t, p: geo.country_revenue(_ncc(t, p), t.events, p)),
-    "country_platform_share": Report(lambda t, p: geo.country_platform_share(_ncc(t, p), t.user_info, p)),
-    "os_by_top_countries": Report(lambda t, p: geo.os_by_top_countries(_ncc(t, p), t.user_info, p)),
-    "country_engagement": Report(lambda t, p: geo.country_engagement(_ncc(t, p), t.user_info, t.events, p)),
-    "seasonal_by_top_countries": Report(lambda t, p: geo.seasonal_by_top_countries(_ncc(t, p), t.events, p),
-                                        event_view="orders"),
-    "country_clusters": Report(lambda t, p: geo.country_clusters(_ncc(t, p), t.user_info, t.events, p)),
-    "timezone_usage": Report(lambda t, p: geo.timezone_usage(_ncc(t, p), t.events, p)),
+    "number_customer_country": _r(lambda d: d.ncc),
+    "top_countries": _r(lambda d: geo.top_countries(d.ncc, d.params)),
+    "country_revenue": _r(lambda d: geo.country_revenue(d.ncc, d.tables.events, d.params)),
+    "country_platform_share": _r(lambda d: geo.country_platform_share(d.ncc, d.tables.user_info, d.params)),
+    "os_by_top_countries": _r(lambda d: geo.os_by_top_countries(d.ncc, d.tables.user_info, d.params)),
+    "country_engagement": _r(lambda d: geo.country_engagement(d.ncc, d.tables.user_info, d.tables.events, d.params)),
+    "seasonal_by_top_countries": _r(lambda d: geo.seasonal_by_top_countries(d.ncc, d.tables.events, d.params),
+                                    "orders"),
+    "country_clusters": _r(lambda d: geo.country_clusters(d.ncc, d.tables.user_info, d.tables.events, d.params)),
+    "timezone_usage": _r(lambda d: geo.timezone_usage(d.ncc, d.tables.events, d.params)),
     # anchored sessions
-    "events_updated": Report(lambda t, p: ss.events_updated(t.events, p)),
-    "session_compare": Report(lambda t, p: ss.session_compare(t.events, p)),
-    "session_user_impact": Report(lambda t, p: ss.session_user_impact(t.events, p)),
-    "session_platform_impact": Report(lambda t, p: ss.session_platform_impact(t.events, p)),
-    "session_daily_impact": Report(lambda t, p: ss.session_daily_impact(t.events, p)),
-    "gaming_patterns": Report(lambda t, p: ss.gaming_patterns(t.events, p)),
+    "events_updated": _r(lambda d: d.events_updated if d.events_updated is not None
+                         else ss.events_updated(d.tables.events, d.params)),
+    "session_compare": _r(lambda d: ss.session_compare(d.tables.events, d.params, d.events_updated)),
+    "session_user_impact": _r(lambda d: ss.session_user_impact(d.tables.events, d.params, d.events_updated)),
+    "session_platform_impact": _r(lambda d: ss.session_platform_impact(d.tables.events, d.params, d.events_updated)),
+    "session_daily_impact": _r(lambda d: ss.session_daily_impact(d.tables.events, d.params, d.events_updated)),
+    "gaming_patterns": _r(lambda d: ss.gaming_patterns(d.tables.events, d.params)),
     # RFM
-    "rfm_base": Report(_rfm_base),
-    "rfm_scores": Report(lambda t, p: rfm.rfm_scores(_rfm_base(t, p), p)),
-    "rfm_segments": Report(_rfm_segments),
-    "segment_summary": Report(lambda t, p: rfm.segment_summary(_rfm_segments(t, p))),
-    "rfm_score_distribution": Report(lambda t, p: rfm.rfm_score_distribution(_rfm_segments(t, p), p)),
-    "segment_by_country": Report(lambda t, p: rfm.segment_by_country(_rfm_segments(t, p), t.user_info,
-                                                                     t.geography, p)),
-    "segment_by_platform": Report(lambda t, p: rfm.segment_by_platform(_rfm_segments(t, p), t.user_info)),
-    "segment_lifecycle": Report(lambda t, p: rfm.segment_lifecycle(_rfm_segments(t, p), p)),
-    "segment_transitions": Report(lambda t, p: rfm.segment_transitions(_rfm_segments(t, p))),
+    "rfm_base": _r(lambda d: d.rfm_base),
+    "rfm_scores": _r(lambda d: d.rfm_scores),
+    "rfm_segments": _r(lambda d: d.rfm_segments),
+    "segment_summary": _r(lambda d: rfm.segment_summary(d.rfm_segments)),
+    "rfm_score_distribution": _r(lambda d: rfm.rfm_score_distribution(d.rfm_segments, d.params)),
+    "segment_by_country": _r(lambda d: rfm.segment_by_country(d.rfm_segments, d.tables.user_info,
+                                                              d.tables.geography, d.params)),
+    "segment_by_platform": _r(lambda d: rfm.segment_by_platform(d.rfm_segments, d.tables.user_info)),
+    "segment_lifecycle": _r(lambda d: rfm.segment_lifecycle(d.rfm_segments, d.params)),
+    "segment_transitions": _r(lambda d: rfm.segment_transitions(d.rfm_segments)),
     # business KPIs
-    "dau_by_platform": Report(lambda t, p: kpi.dau_by_platform(t.events)),
-    "mau_growth": Report(lambda t, p: kpi.mau_growth(t.events), event_view="orders"),
-    "acquisition_by_month": Report(lambda t, p: kpi.acquisition_by_month(t.user_info)),
-    "revenue_metrics": Report(lambda t, p: kpi.revenue_metrics(t.user_info, t.events)),
-    "feature_usage": Report(lambda t, p: kpi.feature_usage(t.user_info, t.events)),
-    "engagement_segments": Report(lambda t, p: kpi.engagement_segments(t.events, p)),
-    "churn_status": Report(lambda t, p: kpi.churn_status(t.user_info, t.events, p)),
-    "platform_kpis": Report(lambda t, p: kpi.platform_kpis(t.user_info, t.events, p)),
-    "weekly_trends": Report(lambda t, p: kpi.weekly_trends(t.events), event_view="orders"),
-    "clv_segments": Report(lambda t, p: kpi.clv_segments(t.user_info, t.events, p)),
-    "os_performance": Report(lambda t, p: kpi.os_performance(t.user_info, t.events, p)),
-    "peak_hours": Report(lambda t, p: kpi.peak_hours(t.events)),
-    "cohort_revenue": Report(lambda t, p: kpi.cohort_revenue(t.user_info, t.events)),
+    "dau_by_platform": _r(lambda d: kpi.dau_by_platform(d.tables.events)),
+    "mau_growth": _r(lambda d: kpi.mau_growth(d.tables.events), "orders"),
+    "acquisition_by_month": _r(lambda d: kpi.acquisition_by_month(d.tables.user_info)),
+    "revenue_metrics": _r(lambda d: kpi.revenue_metrics(d.tables.user_info, d.tables.events)),
+    "feature_usage": _r(lambda d: kpi.feature_usage(d.tables.user_info, d.tables.events)),
+    "engagement_segments": _r(lambda d: kpi.engagement_segments(d.tables.events, d.params)),
+    "churn_status": _r(lambda d: kpi.churn_status(d.tables.user_info, d.tables.events, d.params)),
+    "platform_kpis": _r(lambda d: kpi.platform_kpis(d.tables.user_info, d.tables.events, d.params)),
+    "weekly_trends": _r(lambda d: kpi.weekly_trends(d.tables.events), "orders"),
+    "clv_segments": _r(lambda d: kpi.clv_segments(d.tables.user_info, d.tables.events, d.params)),
+    "os_performance": _r(lambda d: kpi.os_performance(d.tables.user_info, d.tables.events, d.params)),
+    "peak_hours": _r(lambda d: kpi.peak_hours(d.tables.events)),
+    "cohort_revenue": _r(lambda d: kpi.cohort_revenue(d.tables.user_info, d.tables.events)),
 }
+
+# derived tables the original scripts materialise, in dependency order
+DERIVED_TABLES = ["platform_use", "volume_use", "number_customer_country", "serious_cheaters",
+                  "events_updated", "rfm_base", "rfm_scores", "rfm_segments"]
