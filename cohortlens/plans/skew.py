@@ -2,13 +2,17 @@
 
 ``MIN(x) OVER (PARTITION BY keys)`` puts a whole group into one task.  Here
 the minimum is computed with a map-side-combined aggregation (one row
-per group leaves each task) and joined back.  Groups above
-``hot_key_rows`` rows are salted: the heaviest ``hot_key_limit`` of them
-(a proven bound, so broadcast) get ``ceil(rows / salt_rows_per_task)``
-salts; their rows pick a salt from a hash of their own content and the
-statistic row is replicated once per salt.  All other groups — including
-hot ones beyond the limit — take the ordinary exact shuffle join with
-salt 0, so no row is dropped or capped.
+per group leaves each task) and joined back on the keys plus a salt:
+
+* every group with more than ``hot_key_rows`` rows gets
+  ``s = ceil(rows / salt_rows_per_task)`` salts (at most ``MAX_SALTS``),
+  and its statistic row is replicated for salts ``0 .. s-1``;
+* the heaviest ``hot_key_limit`` such groups (a proven bound, so
+  broadcast) tell their rows to pick a salt from a hash of the row's
+  content, spreading the group over ``s`` tasks;
+* all other rows use salt 0 — including rows of hot groups beyond the
+  limit, which still meet replica 0 — so every row is joined exactly
+  once and nothing is dropped or capped.
 """
 
 from __future__ import annotations
@@ -21,32 +25,30 @@ from pyspark.sql import functions as F
 MAX_SALTS = 4096
 
 
-def _on(left: DataFrame, right: DataFrame, keys: list[str]):
-    # NULL keys form groups of their own, as in PARTITION BY
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def _salts(rows_col: str, hot_key_rows: int, salt_rows_per_task: int) -> F.Column:
+    n = F.col(rows_col)
+    return (F.when(n > hot_key_rows, F.least(F.ceil(n / F.lit(salt_rows_per_task)), F.lit(MAX_SALTS)))
+            .otherwise(F.lit(1)).cast("int"))
 
 
 def attach_group_min(df: DataFrame, keys: list[str], value: str, out: str, *,
                      hot_key_rows: int, hot_key_limit: int, salt_rows_per_task: int) -> DataFrame:
     stats = df.groupBy(*keys).agg(F.min(value).alias(out), F.count(F.lit(1)).alias("_rows"))
-    salts = F.least(F.ceil(F.col("_rows") / F.lit(salt_rows_per_task)), F.lit(MAX_SALTS)).cast("int")
+
     hot = (stats.filter(F.col("_rows") > hot_key_rows)
            .orderBy(F.col("_rows").desc()).limit(hot_key_limit)
-           .select(*[F.col(k).alias(f"_h_{k}") for k in keys], salts.alias("_salts")))
+           .select(*[F.col(k).alias(f"_h_{k}") for k in keys],
+                   _salts("_rows", hot_key_rows, salt_rows_per_task).alias("_hs")))
     hot = F.broadcast(hot)  # at most hot_key_limit rows
-
-    def tag(side: DataFrame) -> DataFrame:
-        cond = reduce(lambda a, b: a & b, [side[k].eqNullSafe(hot[f"_h_{k}"]) for k in keys])
-        return side.join(hot, cond, "left").drop(*[f"_h_{k}" for k in keys])
-
-    cols = df.columns
-    rows = tag(df).withColumn(
-        "_salt", F.when(F.col("_salts").isNull(), F.lit(0))
-        .otherwise(F.pmod(F.xxhash64(*cols), F.col("_salts")).cast("int"))).drop("_salts")
-    stat_rows = tag(stats.drop("_rows")).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
-    stat_rows = stat_rows.select(*[F.col(k).alias(f"_s_{k}") for k in keys], out, F.col("_salt").alias("_s_salt"))
-    cond = reduce(lambda a, b: a & b,
-                  [rows[k].eqNullSafe(stat_rows[f"_s_{k}"]) for k in keys]) & (rows["_salt"] == stat_rows["_s_salt"])
-    return (rows.join(stat_rows, cond, "inner")
+    on_hot = reduce(lambda a, b: a & b, [df[k].eqNullSafe(hot[f"_h_{k}"]) for k in keys])
+    rows = (df.join(hot, on_hot, "left")
+            .withColumn("_salt", F.when(F.col("_hs").isNull(), F.lit(0))
+                        .otherwise(F.pmod(F.xxhash64(*[df[c] for c in df.columns]), F.col("_hs")).cast("int")))
+            .drop("_hs", *[f"_h_{k}" for k in keys]))
+
+    replicas = stats.select(
+        *[F.col(k).alias(f"_s_{k}") for k in keys], out,
+        F.explode(F.sequence(F.lit(0), _salts("_rows", hot_key_rows, salt_rows_per_task) - 1)).alias("_s_salt"))
+    on = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(replicas[f"_s_{k}"]) for k in keys])
+    return (rows.join(replicas, on & (rows["_salt"] == replicas["_s_salt"]), "inner")
             .drop(*[f"_s_{k}" for k in keys], "_s_salt", "_salt"))

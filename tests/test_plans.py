@@ -49,3 +49,14 @@ def test_salted_group_min_equals_plain_min(spark):
         mins[k] = min(mins.get(k, t), t)
     assert got == sorted((i, mins[k]) for i, k, _ in rows)
     assert len(got) == len(rows)
+
+
+def test_salted_group_min_with_more_hot_keys_than_limit(spark):
+    rnd = random.Random(5)
+    rows = [(i, ["h1", "h2", "h3", None][i % 4], rnd.randint(0, 1000)) for i in range(800)]
+    df = spark.createDataFrame(rows, "id long, k string, t long")
+    got = attach_group_min(df, ["k"], "t", "m", hot_key_rows=100, hot_key_limit=1, salt_rows_per_task=30)
+    mins = {}
+    for _, k, t in rows:
+        mins[k] = min(mins.get(k, t), t)
+    assert sorted((r.id, r.m) for r in got.collect()) == sorted((i, mins[k]) for i, k, _ in rows)
