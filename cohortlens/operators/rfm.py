@@ -9,12 +9,15 @@ Its three row numbers are distributed (``plans.numbering``).
 ``round(p * N)`` of each ordering.  In the default ``reference`` mode
 recency is ordered descending while the CASE assumes ascending
 thresholds, so R only takes the values 1 and 4; ``corrected`` orders
-recency ascending.  The nine thresholds and N are scalar subqueries
-(one small aggregation each, evaluated once and inlined), not joins.
+recency ascending.  The nine thresholds come from two one-row
+aggregations and enter the scoring as literals (no cross join).
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,16 +59,26 @@ def _score(value: F.Column, t: list[F.Column]) -> F.Column:
     ], F.lit(4)).cast("long")
 
 
+def rfm_thresholds(base: DataFrame, params: Params = DEFAULT) -> dict[str, list]:
+    """The nine score thresholds: for each metric, the value at row
+    ``round(p * N)`` of its ordering (``CAST(p * N AS INT64)`` rounds half
+    away from zero); ``None`` where that row does not exist.
+
+    Two one-row aggregations (N, then all nine values in one pass over the
+    rows at those positions); only those scalars reach the driver."""
+    n = base.agg(F.count("user_id")).first()[0]
+    ks = [math.floor(p * n + 0.5) for p in params.rfm_quantiles]
+    metrics = ("recency", "frequency", "monetary")
+    picks = [F.max(F.when(F.col(f"{m}_rn") == k, F.col(m))).alias(f"{m}{i}")
+             for m in metrics for i, k in enumerate(ks)]
+    at_positions = reduce(lambda a, b: a | b, [F.col(f"{m}_rn").isin(ks) for m in metrics])
+    row = base.filter(at_positions).agg(*picks).first()
+    return {m: [row[f"{m}{i}"] for i in range(len(ks))] for m in metrics}
+
+
 def rfm_scores(base: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """(CTAS ``rfm_scores``)"""
-    n = base.agg(F.count("user_id")).scalar()
-    picks = []
-    for metric in ("recency", "frequency", "monetary"):
-        for i, p in enumerate(params.rfm_quantiles):
-            k = F.floor(n * F.lit(p) + F.lit(0.5))  # CAST(p * N AS INT64) rounds half away from zero
-            picks.append(F.max(F.when(F.col(f"{metric}_rn") == k, F.col(metric))).alias(f"{metric}{i}"))
-    thresholds = base.agg(F.struct(*picks).alias("t")).scalar()  # one row, evaluated once
-    t = {m: [thresholds.getField(f"{m}{i}") for i in range(3)] for m in ("recency", "frequency", "monetary")}
+    t = {m: [F.lit(v) for v in vals] for m, vals in rfm_thresholds(base, params).items()}
     return base.select(
         "*",
         _score(F.col("recency"), t["recency"]).alias("R"),
