@@ -4,8 +4,9 @@ They run over temp views ``user_info``, ``events`` and ``geography`` and
 keep the original shape: eight scans and seven joins for the interval
 retention, a window plus a single-partition global ROW_NUMBER for the
 session table, the materialised account x account x event join for
-country engagement, and three global ROW_NUMBERs for RFM.  Only
-``bench.py`` uses them; the library never does.
+country engagement, and three global ROW_NUMBERs for RFM (which reads a
+materialised ``events_updated`` view, as the pipeline version does).
+Only ``bench.py`` uses them; the library never does.
 """
 
 AS_OF = "DATE'2024-02-01'"
@@ -26,6 +27,7 @@ SELECT day0.created_date, day0.day0 / day0.day0 AS day0_retention,
 {_cols}
 FROM day0
 {_joins}
+ORDER BY day0.created_date
 """
 
 EVENTS_UPDATED_CTE = """
@@ -70,11 +72,11 @@ SELECT country, COUNT(*) AS total_users,
        COUNT(CASE WHEN total_events > 0 THEN 1 END) AS engaged_users,
        ROUND(COUNT(CASE WHEN total_events > 0 THEN 1 END) * 100.0 / COUNT(*), 2) AS engagement_rate
 FROM country_engagement GROUP BY country HAVING COUNT(*) >= 20
+ORDER BY avg_revenue_per_user DESC
 """
 
 _months = f"((year({AS_OF}) - year(ui.created_date)) * 12 + (month({AS_OF}) - month(ui.created_date)))"
 RFM_BASE = f"""
-WITH {EVENTS_UPDATED_CTE}
 SELECT ui.user_id, ui.created_date,
        datediff({AS_OF}, MAX(e.date)) AS recency,
        try_divide(COUNT(e.id), {_months}) AS frequency,
