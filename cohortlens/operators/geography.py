@@ -19,7 +19,7 @@ from ..functions.labels import (MARKET_HIGH_RISK, MARKET_HIGH_VALUE, MARKET_MEDI
                                 TIMEZONE_BANDS, TIMEZONE_UNKNOWN)
 from ..params import DEFAULT, Params
 from ..plans.broadcast import dimension
-from ..plans.fanout import events_per_user, left_weight
+from ..plans.fanout import events_per_user, join_user_events, left_weight
 
 
 def number_customer_country(user_info: DataFrame, geography: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -51,7 +51,7 @@ def top_countries(ncc: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 def country_revenue(ncc: DataFrame, events: DataFrame, params: Params = DEFAULT) -> DataFrame:
     acc = _accounts_per(ncc, ["country", "country_code", "user_id"], "_a")
-    rows = acc.join(events_per_user(events), "user_id", "left")
+    rows = join_user_events(acc, events_per_user(events))
     a = F.col("_a")
     agg = (rows.groupBy("country", "country_code")
            .agg(F.count("user_id").alias("total_users"),
@@ -192,7 +192,7 @@ def timezone_region(longitude) -> F.Column:
 def timezone_usage(ncc: DataFrame, events: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Usage by 60-degree longitude band (Unknown bands dropped)."""
     left = _accounts_per(ncc, ["country", "user_id", "longitude"], "_a")
-    rows = left.join(events_per_user(events), "user_id", "left")
+    rows = join_user_events(left, events_per_user(events))
     per_user = rows.select(
         "user_id",
         timezone_region("longitude").alias("timezone_region"),

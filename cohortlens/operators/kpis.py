@@ -4,9 +4,9 @@ Account x event reports join ``user_info`` to events on ``user_id``
 (many accounts per user, so every event repeats per account).  Both
 sides are reduced first — events to one row per user
 (``plans.fanout.events_per_user``), accounts to one row per report group
-and user — and the joined totals are rebuilt from counts.  The
-pre-aggregation also collapses accounts without a user (NULL keys, which
-a shuffle join would send to a single task) to a handful of rows.
+and user — and the joined totals are rebuilt from counts.  Accounts
+without a user (NULL keys, which a shuffle join would send to a single
+task) bypass the join (``plans.fanout.join_user_events``).
 
 Averages of money and ratios are accumulated exactly (``exact_avg``) so
 they do not depend on row order.
@@ -21,7 +21,7 @@ from ..functions.columns import (date_lit, days_between_ts, dbl, div, exact_avg,
                                  order_key, pct, rnd)
 from ..functions.labels import CHURN_STATUSES, CLV_SEGMENTS, ENGAGEMENT_SEGMENTS, PLATFORMS
 from ..params import DEFAULT, Params
-from ..plans.fanout import events_per_user, left_weight
+from ..plans.fanout import events_per_user, join_user_events, left_weight
 from ..plans.numbering import weighted_percentile_cont
 
 WEB, ANDROID, IOS = PLATFORMS
@@ -73,7 +73,7 @@ def revenue_metrics(user_info: DataFrame, events: DataFrame) -> DataFrame:
     """One row.  The median is PERCENTILE_CONT(0.5) of fee over the joined
     rows, i.e. each event weighted by its user's number of accounts."""
     acc = _accounts(user_info.filter(F.col("user_id").isNotNull()), ["user_id"])
-    j = acc.join(events_per_user(events), "user_id", "left")
+    j = join_user_events(acc, events_per_user(events))
     a = F.col("_a")
     totals = j.agg(
         F.count("user_id").alias("total_users"),
@@ -98,7 +98,7 @@ def revenue_metrics(user_info: DataFrame, events: DataFrame) -> DataFrame:
 
 def feature_usage(user_info: DataFrame, events: DataFrame) -> DataFrame:
     acc = _accounts(user_info.filter(F.col("feature").isNotNull()), ["feature", "user_id"])
-    j = acc.join(events_per_user(events), "user_id", "left")
+    j = join_user_events(acc, events_per_user(events))
     a = F.col("_a")
     agg = j.groupBy("feature").agg(
         F.count("user_id").alias("users_with_feature"),
@@ -142,7 +142,7 @@ def engagement_segments(events: DataFrame, params: Params = DEFAULT) -> DataFram
 
 def churn_status(user_info: DataFrame, events: DataFrame, params: Params = DEFAULT) -> DataFrame:
     acc = _accounts(user_info, ["user_id", "created_date", "last_login", "platform"])
-    j = acc.join(events_per_user(events), "user_id", "left").filter(F.col("platform").isNotNull())
+    j = join_user_events(acc, events_per_user(events)).filter(F.col("platform").isNotNull())
     since = F.datediff(date_lit(params.as_of), F.coalesce(F.col("last_login"), F.col("created_date")))
     d = params.churn_days
     status = first_match([(since <= d[0], F.lit(CHURN_STATUSES[0])), (since <= d[1], F.lit(CHURN_STATUSES[1])),
@@ -170,7 +170,7 @@ def _account_event_summary(user_info: DataFrame, events: DataFrame, key: str, pa
     life = life_days(params.as_of)
     acc = _accounts(user_info.filter(F.col(key).isNotNull()), [key, "user_id"],
                     _ls=F.sum(life), _lc=F.count(life))
-    j = acc.join(events_per_user(events), "user_id", "left")
+    j = join_user_events(acc, events_per_user(events))
     a, w = F.col("_a"), left_weight()
     return j.groupBy(key).agg(
         F.count("user_id").alias("total_users"),
@@ -213,7 +213,7 @@ def weekly_trends(events: DataFrame) -> DataFrame:
 
 def clv_segments(user_info: DataFrame, events: DataFrame, params: Params = DEFAULT) -> DataFrame:
     acc = _accounts(user_info, ["user_id", "platform", "created_date", "last_login"])
-    j = acc.join(events_per_user(events), "user_id", "left").filter(F.col("platform").isNotNull())
+    j = join_user_events(acc, events_per_user(events)).filter(F.col("platform").isNotNull())
     a = F.col("_a")
     rows = j.select(
         "platform", life_days(params.as_of).alias("_life"),
@@ -263,7 +263,7 @@ def peak_hours(events: DataFrame) -> DataFrame:
 def cohort_revenue(user_info: DataFrame, events: DataFrame) -> DataFrame:
     acc = _accounts(user_info.filter(F.col("created_date").isNotNull()),
                     [F.trunc("created_date", "MM").alias("cohort_month"), "user_id"])
-    j = acc.join(events_per_user(events), "user_id", "left")
+    j = join_user_events(acc, events_per_user(events))
     a = F.col("_a")
     rows = j.select("cohort_month",
                     F.coalesce(a * F.col("ev_fee"), F.lit(0)).alias("_rev"),

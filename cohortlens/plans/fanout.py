@@ -42,3 +42,16 @@ def events_per_user(events: DataFrame) -> DataFrame:
 def left_weight() -> F.Column:
     """Joined-row multiplicity of a left-joined account: its events, or 1 when unmatched."""
     return F.when(F.col("ev_rows").isNull(), F.lit(1)).otherwise(F.col("ev_rows"))
+
+
+def join_user_events(accounts: DataFrame, per_user: DataFrame) -> DataFrame:
+    """``accounts LEFT JOIN per_user ON user_id``.
+
+    Accounts without a user can never match, but a shuffle join would send
+    every NULL key to the same task; they bypass the join and are added
+    back with empty event columns.  Catalyst pushes each branch's NULL test
+    below the account aggregation into the scan, so each branch aggregates
+    only its own accounts."""
+    known = accounts.filter(F.col("user_id").isNotNull()).join(per_user, "user_id", "left")
+    unknown = accounts.filter(F.col("user_id").isNull())
+    return known.unionByName(unknown, allowMissingColumns=True)

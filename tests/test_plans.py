@@ -24,14 +24,16 @@ def test_weighted_median_matches_expanded_multiset(spark):
     for n in (1, 2, 7, 300):
         vals = [(float(rnd.randint(0, 40)), rnd.randint(1, 4)) for _ in range(n)]
         df = spark.createDataFrame(vals + [(None, 5)], "v double, w long")
-        got = weighted_percentile_cont(df, "v", "w", 0.5, "m", 3).collect()[0].m
         expanded = sorted(v for v, w in vals for _ in range(w))
-        assert got == statistics.median(expanded)
+        for bound in (None, 1_000_000):  # distributed path and bounded local path
+            got = weighted_percentile_cont(df, "v", "w", 0.5, "m", 3, local_max_values=bound).collect()[0].m
+            assert got == statistics.median(expanded)
 
 
 def test_weighted_median_empty_is_null(spark):
     df = spark.createDataFrame([(None, 1)], "v double, w long")
     assert weighted_percentile_cont(df, "v", "w").collect()[0][0] is None
+    assert weighted_percentile_cont(df, "v", "w", local_max_values=None).collect()[0][0] is None
 
 
 def test_salted_group_min_equals_plain_min(spark):
