@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import date_lit, dbl, div, exact, exact_avg, exact_times, first_match, month_boundaries, pct, rnd
-from ..functions.labels import SEG_AT_RISK, SEG_OTHER, SEG_POTENTIAL, SEG_REGULAR, SEG_VIP, SEG_WALK_IN
+from ..functions.labels import SEG_AT_RISK, SEG_POTENTIAL, SEG_REGULAR, SEG_VIP, SEG_WALK_IN
 from ..params import DEFAULT, Params
 from ..plans.broadcast import dimension
 from ..plans.numbering import dense_row_number
@@ -87,19 +87,18 @@ def rfm_scores(base: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 
 def rfm_segments(scores: DataFrame) -> DataFrame:
-    """(CTAS ``rfm_segments``)"""
+    """(CTAS ``rfm_segments``)  Scores 1-2 are low, 3-4 high: low frequency
+    and spend -> walk-in guests; low frequency, high spend -> potential;
+    otherwise (high frequency) stale high-recency scores split regular /
+    VIP by spend, and low recency scores are at risk."""
     r, f, m = F.col("R"), F.col("F"), F.col("M")
-    lo = lambda c: c.isin(1, 2)
-    hi = lambda c: c.isin(3, 4)
+    low_f, low_m, high_r = f <= 2, m <= 2, r >= 3
     segment = first_match([
-        (lo(r) & lo(f) & lo(m), F.lit(SEG_WALK_IN)),
-        (hi(r) & lo(f) & lo(m), F.lit(SEG_WALK_IN)),
-        (lo(r) & lo(f) & hi(m), F.lit(SEG_POTENTIAL)),
-        (hi(r) & lo(f) & hi(m), F.lit(SEG_POTENTIAL)),
-        (hi(r) & hi(f) & lo(m), F.lit(SEG_REGULAR)),
-        (hi(r) & hi(f) & hi(m), F.lit(SEG_VIP)),
-        (lo(r) & hi(f), F.lit(SEG_AT_RISK)),
-    ], F.lit(SEG_OTHER))
+        (low_f & low_m, F.lit(SEG_WALK_IN)),
+        (low_f, F.lit(SEG_POTENTIAL)),
+        (high_r & low_m, F.lit(SEG_REGULAR)),
+        (high_r, F.lit(SEG_VIP)),
+    ], F.lit(SEG_AT_RISK))
     return scores.select(
         *BASE_COLS, "R", "F", "M",
         F.concat(r.cast("string"), f.cast("string"), m.cast("string")).alias("rfm_score"),

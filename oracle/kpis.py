@@ -5,255 +5,241 @@ SQL = {}
 
 def XAVG(x: str) -> str:
     """Average accumulated exactly, as the library does for money/ratios."""
-    return f"(CAST(SUM(CAST({x} AS DECIMAL(27,12))) AS DOUBLE) / COUNT({x}))"
+    return f"(CAST(sum(CAST({x} AS DECIMAL(27,12))) AS DOUBLE) / count({x}))"
 
 
 def DAVG(x: str) -> str:
     """Average of a decimal column: exact sum over non-null count."""
-    return f"(CAST(SUM({x}) AS DOUBLE) / COUNT({x}))"
+    return f"(CAST(sum({x}) AS DOUBLE) / count({x}))"
 
 
+# accounts x the events of their person (left join; unmatched accounts keep one row)
+JOINED = """
+, joined AS (
+  SELECT u.*, e.user_id AS event_user, e.id AS event_id, e.fee, e.volume
+  FROM user_info u LEFT JOIN uevents e ON e.user_id = u.user_id
+)"""
+
 SQL["dau_by_platform"] = with_adapter("""
-, daily_metrics AS (
-  SELECT date, platform, COUNT(DISTINCT user_id) AS dau, COUNT(*) AS total_events,
-         SUM(volume) AS daily_volume, SUM(fee) AS daily_revenue
+, per_platform AS (
+  SELECT date, platform, count(DISTINCT user_id) AS users, sum(fee) AS fee, sum(volume) AS volume
   FROM uevents GROUP BY date, platform
 )
 SELECT date,
-       CAST(SUM(CASE WHEN platform = 'web' THEN dau ELSE 0 END) AS BIGINT) AS web_dau,
-       CAST(SUM(CASE WHEN platform = 'android' THEN dau ELSE 0 END) AS BIGINT) AS android_dau,
-       CAST(SUM(CASE WHEN platform = 'ios' THEN dau ELSE 0 END) AS BIGINT) AS ios_dau,
-       CAST(SUM(dau) AS BIGINT) AS total_dau,
-       CAST(SUM(daily_revenue) AS DOUBLE) AS total_daily_revenue,
-       SUM(daily_volume) AS total_daily_volume
-FROM daily_metrics GROUP BY date
+       CAST(coalesce(sum(users) FILTER (WHERE platform = 'web'), 0) AS BIGINT)     AS web_dau,
+       CAST(coalesce(sum(users) FILTER (WHERE platform = 'android'), 0) AS BIGINT) AS android_dau,
+       CAST(coalesce(sum(users) FILTER (WHERE platform = 'ios'), 0) AS BIGINT)     AS ios_dau,
+       CAST(sum(users) AS BIGINT)  AS total_dau,
+       CAST(sum(fee) AS DOUBLE)    AS total_daily_revenue,
+       sum(volume)                 AS total_daily_volume
+FROM per_platform GROUP BY date
 """)
 
+# growth against the previous month that has data
 SQL["mau_growth"] = with_adapter(f"""
-, monthly_metrics AS (
-  SELECT CAST(EXTRACT(YEAR FROM date) AS BIGINT) AS year, CAST(EXTRACT(MONTH FROM date) AS BIGINT) AS month,
-         COUNT(DISTINCT user_id) AS mau, SUM(fee) AS monthly_revenue, SUM(volume) AS monthly_volume
+, months AS (
+  SELECT CAST(year(date) AS BIGINT) AS year, CAST(month(date) AS BIGINT) AS month,
+         count(DISTINCT user_id) AS mau, sum(fee) AS fee, sum(volume) AS volume
   FROM oevents GROUP BY 1, 2
-), monthly_growth AS (
-  SELECT year, month, mau, monthly_revenue, monthly_volume,
-         LAG(mau) OVER (ORDER BY year NULLS FIRST, month NULLS FIRST) AS prev_mau,
-         LAG(monthly_revenue) OVER (ORDER BY year NULLS FIRST, month NULLS FIRST) AS prev_revenue
-  FROM monthly_metrics
+), chained AS (
+  SELECT *, lag(mau) OVER w AS mau_before, lag(fee) OVER w AS fee_before
+  FROM months WINDOW w AS (ORDER BY year NULLS FIRST, month NULLS FIRST)
 )
 SELECT year, month, mau,
-       {R('monthly_revenue', 2)} AS monthly_revenue,
-       {R('monthly_volume', 0)} AS monthly_volume,
-       CASE WHEN prev_mau IS NOT NULL THEN {R(PCT('mau - prev_mau', 'prev_mau'), 2)} ELSE NULL END AS mau_growth_rate,
-       CASE WHEN prev_revenue IS NOT NULL THEN {R(PCT('monthly_revenue - prev_revenue', 'prev_revenue'), 2)} ELSE NULL END AS revenue_growth_rate
-FROM monthly_growth
+       {R('fee', 2)} AS monthly_revenue, {R('volume', 0)} AS monthly_volume,
+       {R(PCT('mau - mau_before', 'mau_before'), 2)} AS mau_growth_rate,
+       {R(PCT('fee - fee_before', 'fee_before'), 2)} AS revenue_growth_rate
+FROM chained
 """)
 
 SQL["acquisition_by_month"] = with_adapter(f"""
-, acquisition_metrics AS (
-  SELECT CAST(date_trunc('month', created_date) AS DATE) AS acquisition_month, COUNT(*) AS new_users,
-         COUNT(CASE WHEN platform = 'web' THEN 1 END) AS web_acquisitions,
-         COUNT(CASE WHEN platform = 'android' THEN 1 END) AS android_acquisitions,
-         COUNT(CASE WHEN platform = 'ios' THEN 1 END) AS ios_acquisitions
+, monthly AS (
+  SELECT CAST(date_trunc('month', created_date) AS DATE) AS acquisition_month, count(*) AS n,
+         count(*) FILTER (WHERE platform = 'web') AS w,
+         count(*) FILTER (WHERE platform = 'android') AS a,
+         count(*) FILTER (WHERE platform = 'ios') AS i
   FROM user_info WHERE created_date IS NOT NULL GROUP BY 1
 )
-SELECT acquisition_month, new_users, web_acquisitions, android_acquisitions, ios_acquisitions,
-       {R(PCT('web_acquisitions', 'new_users'), 1)} AS web_acquisition_rate,
-       {R(PCT('android_acquisitions', 'new_users'), 1)} AS android_acquisition_rate,
-       {R(PCT('ios_acquisitions', 'new_users'), 1)} AS ios_acquisition_rate
-FROM acquisition_metrics
+SELECT acquisition_month, n AS new_users, w AS web_acquisitions, a AS android_acquisitions, i AS ios_acquisitions,
+       {R(PCT('w', 'n'), 1)} AS web_acquisition_rate,
+       {R(PCT('a', 'n'), 1)} AS android_acquisition_rate,
+       {R(PCT('i', 'n'), 1)} AS ios_acquisition_rate
+FROM monthly
 """)
 
-SQL["revenue_metrics"] = with_adapter(f"""
-, revenue_analysis AS (
-  SELECT COUNT(DISTINCT e.user_id) AS paying_users, COUNT(DISTINCT ui.user_id) AS total_users,
-         SUM(e.fee) AS total_revenue, {DAVG('e.fee')} AS avg_transaction_value,
-         quantile_cont(CAST(e.fee AS DOUBLE), 0.5) AS median_transaction_value,
-         COUNT(e.id) AS total_transactions
-  FROM user_info ui LEFT JOIN uevents e ON ui.user_id = e.user_id
+SQL["revenue_metrics"] = with_adapter(JOINED + f"""
+, overall AS (
+  SELECT count(DISTINCT user_id) AS people, count(DISTINCT event_user) AS payers,
+         sum(fee) AS revenue, {DAVG('fee')} AS mean_fee,
+         quantile_cont(CAST(fee AS DOUBLE), 0.5) AS median_fee, count(event_id) AS n_events
+  FROM joined
 )
-SELECT total_users, paying_users,
-       {R(PCT('paying_users', 'total_users'), 2)} AS conversion_rate,
-       {R('total_revenue', 2)} AS total_revenue,
-       {R(DIV('total_revenue', 'paying_users'), 2)} AS arpu,
-       {R('avg_transaction_value', 2)} AS avg_transaction_value,
-       {R('median_transaction_value', 2)} AS median_transaction_value,
-       total_transactions,
-       {R(DIV('total_transactions', 'paying_users'), 2)} AS avg_transactions_per_user
-FROM revenue_analysis
+SELECT people AS total_users, payers AS paying_users,
+       {R(PCT('payers', 'people'), 2)} AS conversion_rate,
+       {R('revenue', 2)} AS total_revenue,
+       {R(DIV('revenue', 'payers'), 2)} AS arpu,
+       {R('mean_fee', 2)} AS avg_transaction_value,
+       {R('median_fee', 2)} AS median_transaction_value,
+       n_events AS total_transactions,
+       {R(DIV('n_events', 'payers'), 2)} AS avg_transactions_per_user
+FROM overall
 """)
 
-SQL["feature_usage"] = with_adapter(f"""
-, feature_usage AS (
-  SELECT ui.feature, COUNT(DISTINCT ui.user_id) AS users_with_feature,
-         COUNT(DISTINCT e.user_id) AS active_users_with_feature,
-         COALESCE(SUM(e.fee), 0) AS revenue_from_feature, COUNT(e.id) AS events_from_feature
-  FROM user_info ui LEFT JOIN uevents e ON ui.user_id = e.user_id
-  WHERE ui.feature IS NOT NULL GROUP BY ui.feature
+SQL["feature_usage"] = with_adapter(JOINED + f"""
+, per_feature AS (
+  SELECT feature, count(DISTINCT user_id) AS people, count(DISTINCT event_user) AS active,
+         coalesce(sum(fee), 0) AS revenue, count(event_id) AS n_events
+  FROM joined WHERE feature IS NOT NULL GROUP BY feature
 )
-SELECT feature, users_with_feature, active_users_with_feature,
-       {R(PCT('active_users_with_feature', 'users_with_feature'), 2)} AS feature_activation_rate,
-       {R('revenue_from_feature', 2)} AS feature_revenue,
-       {R(DIV('revenue_from_feature', 'active_users_with_feature'), 2)} AS revenue_per_active_user,
-       events_from_feature,
-       {R(DIV('events_from_feature', 'active_users_with_feature'), 2)} AS events_per_active_user
-FROM feature_usage
+SELECT feature, people AS users_with_feature, active AS active_users_with_feature,
+       {R(PCT('active', 'people'), 2)} AS feature_activation_rate,
+       {R('revenue', 2)} AS feature_revenue,
+       {R(DIV('revenue', 'active'), 2)} AS revenue_per_active_user,
+       n_events AS events_from_feature,
+       {R(DIV('n_events', 'active'), 2)} AS events_per_active_user
+FROM per_feature
 """)
 
 SQL["engagement_segments"] = with_adapter(f"""
-, engagement_metrics AS (
-  SELECT e.user_id, COUNT(DISTINCT CAST(e.datetime AS DATE)) AS active_days, COUNT(e.id) AS total_events,
-         SUM(e.volume) AS total_volume, SUM(e.fee) AS total_revenue,
-         date_sub('day', MIN(e.datetime), MAX(e.datetime)) + 1 AS user_lifetime_days
-  FROM uevents e GROUP BY e.user_id
+, people AS (
+  SELECT user_id, count(DISTINCT CAST(datetime AS DATE)) AS days_seen, count(id) AS n,
+         sum(volume) AS volume, sum(fee) AS fee,
+         date_sub('day', min(datetime), max(datetime)) + 1 AS span_days
+  FROM uevents GROUP BY user_id
 )
-SELECT CASE WHEN total_events >= 60 THEN 'Power Users (100+ events)'
-            WHEN total_events >= 45 THEN 'High Users (50-99 events)'
-            WHEN total_events >= 30 THEN 'Medium Users (20-49 events)'
-            WHEN total_events >= 15 THEN 'Low Users (5-19 events)'
+SELECT CASE WHEN n >= 60 THEN 'Power Users (100+ events)'
+            WHEN n >= 45 THEN 'High Users (50-99 events)'
+            WHEN n >= 30 THEN 'Medium Users (20-49 events)'
+            WHEN n >= 15 THEN 'Low Users (5-19 events)'
             ELSE 'Minimal Users (1-4 events)' END AS user_segment,
-       COUNT(*) AS user_count,
-       {R('AVG(active_days)', 1)} AS avg_active_days,
-       {R('AVG(total_events)', 1)} AS avg_total_events,
-       {R('AVG(total_volume)', 1)} AS avg_total_volume,
-       {R(DAVG('total_revenue'), 2)} AS avg_total_revenue,
-       {R('AVG(user_lifetime_days)', 1)} AS avg_lifetime_days,
-       {R(XAVG(DIV('active_days', 'user_lifetime_days')), 3)} AS avg_engagement_ratio
-FROM engagement_metrics GROUP BY 1
+       count(*) AS user_count,
+       {R('avg(days_seen)', 1)} AS avg_active_days,
+       {R('avg(n)', 1)} AS avg_total_events,
+       {R('avg(volume)', 1)} AS avg_total_volume,
+       {R(DAVG('fee'), 2)} AS avg_total_revenue,
+       {R('avg(span_days)', 1)} AS avg_lifetime_days,
+       {R(XAVG(DIV('days_seen', 'span_days')), 3)} AS avg_engagement_ratio
+FROM people GROUP BY 1
 """)
 
-SQL["churn_status"] = with_adapter(f"""
-, user_activity AS (
-  SELECT ui.user_id, ui.created_date, ui.last_login, ui.platform,
-         {LIFE('ui')} AS days_active,
-         date_diff('day', COALESCE(ui.last_login, ui.created_date), {AS_OF}) AS days_since_last_activity,
-         COUNT(e.id) AS total_events, SUM(e.fee) AS total_revenue
-  FROM user_info ui LEFT JOIN uevents e ON ui.user_id = e.user_id
-  GROUP BY ui.user_id, ui.created_date, ui.last_login, ui.platform
-), churn_classification AS (
-  SELECT *, CASE WHEN days_since_last_activity <= 7 THEN 'Active'
-                 WHEN days_since_last_activity <= 30 THEN 'At Risk'
-                 WHEN days_since_last_activity <= 90 THEN 'Dormant'
-                 ELSE 'Churned' END AS churn_status
-  FROM user_activity
+SQL["churn_status"] = with_adapter(JOINED + f"""
+, activity AS (
+  SELECT user_id, created_date, last_login, platform,
+         any_value({LIFE()}) AS active_days,
+         any_value(date_diff('day', coalesce(last_login, created_date), {AS_OF})) AS idle_days,
+         count(event_id) AS n_events, sum(fee) AS spent
+  FROM joined GROUP BY user_id, created_date, last_login, platform
+), labelled AS (
+  SELECT *, CASE WHEN idle_days <= 7 THEN 'Active' WHEN idle_days <= 30 THEN 'At Risk'
+                 WHEN idle_days <= 90 THEN 'Dormant' ELSE 'Churned' END AS churn_status
+  FROM activity WHERE platform IS NOT NULL
 )
-SELECT churn_status, platform, COUNT(*) AS user_count,
-       {R(PCT('COUNT(*)', 'SUM(COUNT(*)) OVER ()'), 2)} AS percentage,
-       {R('AVG(days_active)', 1)} AS avg_days_active,
-       {R('AVG(total_events)', 1)} AS avg_events,
-       {R(DAVG('total_revenue'), 2)} AS avg_revenue
-FROM churn_classification WHERE platform IS NOT NULL
-GROUP BY churn_status, platform
+SELECT churn_status, platform, count(*) AS user_count,
+       {R(PCT('count(*)', 'sum(count(*)) OVER ()'), 2)} AS percentage,
+       {R('avg(active_days)', 1)} AS avg_days_active,
+       {R('avg(n_events)', 1)} AS avg_events,
+       {R(DAVG('spent'), 2)} AS avg_revenue
+FROM labelled GROUP BY churn_status, platform
 """)
 
-SQL["platform_kpis"] = with_adapter(f"""
-, platform_metrics AS (
-  SELECT ui.platform, COUNT(DISTINCT ui.user_id) AS total_users,
-         COUNT(DISTINCT CASE WHEN e.user_id IS NOT NULL THEN ui.user_id END) AS active_users,
-         COUNT(e.id) AS total_events, SUM(e.fee) AS total_revenue, SUM(e.volume) AS total_volume,
-         AVG({LIFE('ui')}) AS avg_user_lifetime
-  FROM user_info ui LEFT JOIN uevents e ON ui.user_id = e.user_id
-  WHERE ui.platform IS NOT NULL GROUP BY ui.platform
-)
-SELECT platform, total_users, active_users,
-       {R(PCT('active_users', 'total_users'), 2)} AS activation_rate,
-       total_events,
-       {R('total_revenue', 2)} AS total_revenue,
-       {R('total_volume', 0)} AS total_volume,
-       {R(DIV('total_revenue', 'active_users'), 2)} AS revenue_per_active_user,
-       {R(DIV('total_events', 'active_users'), 2)} AS events_per_active_user,
-       {R('avg_user_lifetime', 1)} AS avg_user_lifetime_days,
-       {R(DIV('total_revenue', 'total_users'), 2)} AS revenue_per_total_user
-FROM platform_metrics
+
+def _account_summary(key: str) -> str:
+    return f"""
+, per_{key} AS (
+  SELECT {key}, count(DISTINCT user_id) AS people,
+         count(DISTINCT user_id) FILTER (WHERE event_user IS NOT NULL) AS active,
+         count(event_id) AS n_events, sum(fee) AS revenue, sum(volume) AS volume,
+         avg({LIFE()}) AS mean_life
+  FROM joined WHERE {key} IS NOT NULL GROUP BY {key}
+)"""
+
+
+SQL["platform_kpis"] = with_adapter(JOINED + _account_summary("platform") + f"""
+SELECT platform, people AS total_users, active AS active_users,
+       {R(PCT('active', 'people'), 2)} AS activation_rate,
+       n_events AS total_events,
+       {R('revenue', 2)} AS total_revenue,
+       {R('volume', 0)} AS total_volume,
+       {R(DIV('revenue', 'active'), 2)} AS revenue_per_active_user,
+       {R(DIV('n_events', 'active'), 2)} AS events_per_active_user,
+       {R('mean_life', 1)} AS avg_user_lifetime_days,
+       {R(DIV('revenue', 'people'), 2)} AS revenue_per_total_user
+FROM per_platform
+""")
+
+SQL["os_performance"] = with_adapter(JOINED + _account_summary("os") + f"""
+SELECT os, people AS total_users, active AS active_users,
+       {R(PCT('active', 'people'), 2)} AS activation_rate,
+       {R('revenue', 2)} AS total_revenue,
+       {R(DIV('revenue', 'active'), 2)} AS revenue_per_active_user,
+       {R(DIV('n_events', 'active'), 2)} AS events_per_active_user,
+       {R('mean_life', 1)} AS avg_retention_days
+FROM per_os WHERE people >= 10
 """)
 
 SQL["weekly_trends"] = with_adapter(f"""
-, weekly_trends AS (
-  SELECT CAST(date_trunc('week', date) AS DATE) AS week_start, COUNT(DISTINCT user_id) AS weekly_active_users,
-         COUNT(*) AS weekly_events, SUM(fee) AS weekly_revenue, SUM(volume) AS weekly_volume
+, weeks AS (
+  SELECT CAST(date_trunc('week', date) AS DATE) AS week_start, count(DISTINCT user_id) AS wau,
+         count(*) AS n, sum(fee) AS fee, sum(volume) AS volume
   FROM oevents GROUP BY 1
+), chained AS (
+  SELECT *, lag(wau) OVER (ORDER BY week_start NULLS FIRST) AS wau_before FROM weeks
 )
-SELECT week_start, weekly_active_users, weekly_events,
-       {R('weekly_revenue', 2)} AS weekly_revenue,
-       {R('weekly_volume', 0)} AS weekly_volume,
-       LAG(weekly_active_users) OVER (ORDER BY week_start NULLS FIRST) AS prev_week_users,
-       {R(PCT('weekly_active_users - LAG(weekly_active_users) OVER (ORDER BY week_start NULLS FIRST)',
-              'LAG(weekly_active_users) OVER (ORDER BY week_start NULLS FIRST)'), 2)} AS user_growth_rate,
-       {R(DIV('weekly_revenue', 'weekly_active_users'), 2)} AS revenue_per_user_weekly
-FROM weekly_trends
+SELECT week_start, wau AS weekly_active_users, n AS weekly_events,
+       {R('fee', 2)} AS weekly_revenue, {R('volume', 0)} AS weekly_volume,
+       wau_before AS prev_week_users,
+       {R(PCT('wau - wau_before', 'wau_before'), 2)} AS user_growth_rate,
+       {R(DIV('fee', 'wau'), 2)} AS revenue_per_user_weekly
+FROM chained
 """)
 
-SQL["clv_segments"] = with_adapter(f"""
-, user_clv AS (
-  SELECT ui.user_id, ui.platform, ui.created_date, ui.last_login,
-         {LIFE('ui')} AS lifetime_days,
-         COUNT(e.id) AS total_transactions,
-         COALESCE(SUM(e.fee), 0) AS total_revenue,
-         COALESCE(SUM(e.volume), 0) AS total_volume
-  FROM user_info ui LEFT JOIN uevents e ON ui.user_id = e.user_id
-  GROUP BY ui.user_id, ui.platform, ui.created_date, ui.last_login
-), clv_segments AS (
-  SELECT *, CASE WHEN total_revenue >= 4000 THEN 'High Value (100+)'
-                 WHEN total_revenue >= 2000 THEN 'Medium Value (50-99)'
-                 WHEN total_revenue >= 1000 THEN 'Low Value (10-49)'
-                 WHEN total_revenue > 0 THEN 'Minimal Value (0-9)'
+SQL["clv_segments"] = with_adapter(JOINED + f"""
+, value AS (
+  SELECT user_id, platform, created_date, last_login, any_value({LIFE()}) AS life,
+         count(event_id) AS n_tx, coalesce(sum(fee), 0) AS spent
+  FROM joined GROUP BY user_id, platform, created_date, last_login
+), banded AS (
+  SELECT *, CASE WHEN spent >= 4000 THEN 'High Value (100+)'
+                 WHEN spent >= 2000 THEN 'Medium Value (50-99)'
+                 WHEN spent >= 1000 THEN 'Low Value (10-49)'
+                 WHEN spent > 0 THEN 'Minimal Value (0-9)'
                  ELSE 'No Revenue' END AS clv_segment
-  FROM user_clv
-)
-SELECT clv_segment, platform, COUNT(*) AS user_count,
-       {R('AVG(lifetime_days)', 1)} AS avg_lifetime_days,
-       {R('AVG(total_transactions)', 1)} AS avg_transactions,
-       {R(DAVG('total_revenue'), 2)} AS avg_revenue,
-       {R('SUM(total_revenue)', 2)} AS segment_total_revenue,
-       {R(XAVG(DIV('total_revenue', 'lifetime_days')), 3)} AS avg_daily_revenue
-FROM clv_segments WHERE platform IS NOT NULL
-GROUP BY clv_segment, platform
-""")
-
-SQL["os_performance"] = with_adapter(f"""
-, os_performance AS (
-  SELECT ui.os, COUNT(DISTINCT ui.user_id) AS total_users, COUNT(DISTINCT e.user_id) AS active_users,
-         COUNT(e.id) AS total_events, SUM(e.fee) AS total_revenue,
-         AVG({LIFE('ui')}) AS avg_retention_days
-  FROM user_info ui LEFT JOIN uevents e ON ui.user_id = e.user_id
-  WHERE ui.os IS NOT NULL GROUP BY ui.os
+  FROM value WHERE platform IS NOT NULL
 )
-SELECT os, total_users, active_users,
-       {R(PCT('active_users', 'total_users'), 2)} AS activation_rate,
-       {R('total_revenue', 2)} AS total_revenue,
-       {R(DIV('total_revenue', 'active_users'), 2)} AS revenue_per_active_user,
-       {R(DIV('total_events', 'active_users'), 2)} AS events_per_active_user,
-       {R('avg_retention_days', 1)} AS avg_retention_days
-FROM os_performance WHERE total_users >= 10
+SELECT clv_segment, platform, count(*) AS user_count,
+       {R('avg(life)', 1)} AS avg_lifetime_days,
+       {R('avg(n_tx)', 1)} AS avg_transactions,
+       {R(DAVG('spent'), 2)} AS avg_revenue,
+       {R('sum(spent)', 2)} AS segment_total_revenue,
+       {R(XAVG(DIV('spent', 'life')), 3)} AS avg_daily_revenue
+FROM banded GROUP BY clv_segment, platform
 """)
 
 SQL["peak_hours"] = with_adapter(f"""
-, hourly_usage AS (
-  SELECT CAST(EXTRACT(HOUR FROM datetime) AS BIGINT) AS hour_of_day, COUNT(DISTINCT user_id) AS unique_users,
-         COUNT(*) AS total_events, SUM(fee) AS hourly_revenue, SUM(volume) AS hourly_volume
+, hours AS (
+  SELECT CAST(hour(datetime) AS BIGINT) AS hour_of_day, count(DISTINCT user_id) AS people,
+         count(*) AS n, sum(fee) AS fee, sum(volume) AS volume
   FROM uevents GROUP BY 1
 )
-SELECT hour_of_day, unique_users, total_events,
-       {R('hourly_revenue', 2)} AS hourly_revenue,
-       {R('hourly_volume', 0)} AS hourly_volume,
-       {R(DIV('total_events', 'unique_users'), 2)} AS events_per_user_per_hour,
-       CAST(RANK() OVER (ORDER BY total_events DESC) AS BIGINT) AS usage_rank
-FROM hourly_usage
+SELECT hour_of_day, people AS unique_users, n AS total_events,
+       {R('fee', 2)} AS hourly_revenue, {R('volume', 0)} AS hourly_volume,
+       {R(DIV('n', 'people'), 2)} AS events_per_user_per_hour,
+       CAST(rank() OVER (ORDER BY n DESC) AS BIGINT) AS usage_rank
+FROM hours
 """)
 
-SQL["cohort_revenue"] = with_adapter(f"""
-, monthly_cohorts AS (
-  SELECT CAST(date_trunc('month', ui.created_date) AS DATE) AS cohort_month, ui.user_id,
-         COALESCE(SUM(e.fee), 0) AS user_revenue, COUNT(e.id) AS user_events
-  FROM user_info ui LEFT JOIN uevents e ON ui.user_id = e.user_id
-  WHERE ui.created_date IS NOT NULL
-  GROUP BY 1, ui.user_id
+SQL["cohort_revenue"] = with_adapter(JOINED + f"""
+, members AS (
+  SELECT CAST(date_trunc('month', created_date) AS DATE) AS cohort_month, user_id,
+         coalesce(sum(fee), 0) AS spent, count(event_id) AS n_events
+  FROM joined WHERE created_date IS NOT NULL GROUP BY 1, user_id
 )
-SELECT cohort_month, COUNT(*) AS cohort_size,
-       COUNT(CASE WHEN user_revenue > 0 THEN 1 END) AS paying_users,
-       {R(PCT('COUNT(CASE WHEN user_revenue > 0 THEN 1 END)', 'COUNT(*)'), 2)} AS conversion_rate,
-       {R('SUM(user_revenue)', 2)} AS cohort_total_revenue,
-       {R(DAVG('user_revenue'), 2)} AS avg_revenue_per_user,
-       {R(DIV('SUM(user_revenue)', 'COUNT(CASE WHEN user_revenue > 0 THEN 1 END)'), 2)} AS avg_revenue_per_paying_user,
-       {R('AVG(user_events)', 1)} AS avg_events_per_user
-FROM monthly_cohorts GROUP BY cohort_month
+SELECT cohort_month, count(*) AS cohort_size,
+       count(*) FILTER (WHERE spent > 0) AS paying_users,
+       {R(PCT('count(*) FILTER (WHERE spent > 0)', 'count(*)'), 2)} AS conversion_rate,
+       {R('sum(spent)', 2)} AS cohort_total_revenue,
+       {R(DAVG('spent'), 2)} AS avg_revenue_per_user,
+       {R(DIV('sum(spent)', 'count(*) FILTER (WHERE spent > 0)'), 2)} AS avg_revenue_per_paying_user,
+       {R('avg(n_events)', 1)} AS avg_events_per_user
+FROM members GROUP BY cohort_month
 """)

@@ -2,55 +2,55 @@ from .common import DIV, PCT, R, with_adapter
 
 SQL = {}
 
+# every calendar date that has any event, with per-platform event counts
 SQL["platform_use"] = with_adapter("""
-, a AS (
-  SELECT COUNT(*) AS number_customers, platform, date FROM uevents GROUP BY platform, date
-), dates AS (SELECT DISTINCT date FROM uevents)
-SELECT d.date,
-       CAST(COALESCE(SUM(CASE WHEN a.platform = 'web' THEN number_customers END), 0) AS BIGINT) AS web,
-       CAST(COALESCE(SUM(CASE WHEN a.platform = 'android' THEN number_customers END), 0) AS BIGINT) AS android,
-       CAST(COALESCE(SUM(CASE WHEN a.platform = 'ios' THEN number_customers END), 0) AS BIGINT) AS ios
-FROM dates d LEFT JOIN a ON a.date IS NOT DISTINCT FROM d.date
-GROUP BY d.date
+SELECT date,
+       count(*) FILTER (WHERE platform = 'web')     AS web,
+       count(*) FILTER (WHERE platform = 'android') AS android,
+       count(*) FILTER (WHERE platform = 'ios')     AS ios
+FROM uevents
+GROUP BY date
 """)
 
 SQL["volume_use"] = with_adapter("""
-SELECT SUM(volume) AS volume, date FROM uevents GROUP BY date
+SELECT sum(volume) AS volume, date FROM uevents GROUP BY date
 """)
 
 SQL["platform_comparison"] = with_adapter("""
+, known AS (SELECT * FROM uevents WHERE user_id IS NOT NULL)
 SELECT platform,
-       COUNT(DISTINCT user_id) AS unique_users,
-       COUNT(*) AS total_sessions,
-       SUM(volume) AS total_volume,
-       CAST(SUM(fee) AS DOUBLE) AS total_revenue,
-       SUM(volume) / COUNT(volume) AS avg_volume_per_session,
-       CAST(SUM(fee) AS DOUBLE) / COUNT(fee) AS avg_fee_per_session
-FROM uevents
-WHERE user_id IS NOT NULL
+       count(DISTINCT user_id)                  AS unique_users,
+       count(*)                                 AS total_sessions,
+       sum(volume)                              AS total_volume,
+       CAST(sum(fee) AS DOUBLE)                 AS total_revenue,
+       sum(volume) / count(volume)              AS avg_volume_per_session,
+       CAST(sum(fee) AS DOUBLE) / count(fee)    AS avg_fee_per_session
+FROM known
 GROUP BY platform
 """)
 
 SQL["daily_platform_trends"] = with_adapter("""
 SELECT date, platform,
-       COUNT(DISTINCT user_id) AS daily_active_users,
-       SUM(volume) AS daily_volume,
-       CAST(SUM(fee) AS DOUBLE) AS daily_revenue
-FROM uevents GROUP BY date, platform
+       count(DISTINCT user_id)  AS daily_active_users,
+       sum(volume)              AS daily_volume,
+       CAST(sum(fee) AS DOUBLE) AS daily_revenue
+FROM uevents
+GROUP BY date, platform
 """)
 
 SQL["platform_performance"] = with_adapter(f"""
-, platform_stats AS (
-  SELECT platform, COUNT(DISTINCT user_id) AS users,
-         SUM(volume) / COUNT(volume) AS avg_volume,
-         CAST(SUM(fee) AS DOUBLE) / COUNT(fee) AS avg_fee,
-         COUNT(*) AS sessions
+, per_platform AS (
+  SELECT platform,
+         count(DISTINCT user_id)               AS users,
+         count(*)                              AS sessions,
+         sum(volume) / count(volume)           AS mean_volume,
+         CAST(sum(fee) AS DOUBLE) / count(fee) AS mean_fee
   FROM uevents GROUP BY platform
-)
-SELECT platform, users, sessions,
-       {R(DIV('sessions', 'users'), 2)} AS sessions_per_user,
-       {R('avg_volume', 2)} AS avg_volume,
-       {R('avg_fee', 2)} AS avg_fee,
-       {R(PCT('users', 'SUM(users) OVER ()'), 2)} AS user_percentage
-FROM platform_stats
+), everyone AS (SELECT sum(users) AS all_users FROM per_platform)
+SELECT p.platform, p.users, p.sessions,
+       {R(DIV('p.sessions', 'p.users'), 2)}        AS sessions_per_user,
+       {R('p.mean_volume', 2)}                     AS avg_volume,
+       {R('p.mean_fee', 2)}                        AS avg_fee,
+       {R(PCT('p.users', 'e.all_users'), 2)}       AS user_percentage
+FROM per_platform p, everyone e
 """)
