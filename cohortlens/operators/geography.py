@@ -19,7 +19,7 @@ from ..functions.labels import (MARKET_HIGH_RISK, MARKET_HIGH_VALUE, MARKET_MEDI
                                 TIMEZONE_BANDS, TIMEZONE_UNKNOWN)
 from ..params import DEFAULT, Params
 from ..plans.broadcast import dimension
-from ..plans.fanout import events_per_user, join_user_events, left_weight
+from ..plans.fanout import join_user_events, left_weight, per_user_totals
 
 
 def number_customer_country(user_info: DataFrame, geography: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -49,9 +49,10 @@ def top_countries(ncc: DataFrame, params: Params = DEFAULT) -> DataFrame:
             .limit(params.top_countries_k))
 
 
-def country_revenue(ncc: DataFrame, events: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def country_revenue(ncc: DataFrame, events: DataFrame, params: Params = DEFAULT,
+                    per_user: DataFrame | None = None) -> DataFrame:
     acc = _accounts_per(ncc, ["country", "country_code", "user_id"], "_a")
-    rows = join_user_events(acc, events_per_user(events))
+    rows = join_user_events(acc, per_user_totals(events, per_user))
     a = F.col("_a")
     agg = (rows.groupBy("country", "country_code")
            .agg(F.count("user_id").alias("total_users"),
@@ -100,19 +101,19 @@ def os_by_top_countries(ncc: DataFrame, user_info: DataFrame, params: Params = D
 
 
 def country_engagement(ncc: DataFrame, user_info: DataFrame, events: DataFrame,
-                       params: Params = DEFAULT) -> DataFrame:
+                       params: Params = DEFAULT, per_user: DataFrame | None = None) -> DataFrame:
     left = _accounts_per(ncc.filter(F.col("user_id").isNotNull()), ["country", "user_id"], "_a")
     mid = _accounts_per(user_info.filter(F.col("user_id").isNotNull()),
                         ["user_id", "created_date", "last_login"], "_b")
-    rows = left.join(mid, "user_id").join(events_per_user(events), "user_id", "left")
+    rows = left.join(mid, "user_id").join(per_user_totals(events, per_user), "user_id", "left")
     mult = F.col("_a") * F.col("_b")
-    per_user = rows.select(
+    per_person = rows.select(
         "country",
         life_days(params.as_of).alias("_life"),
         (mult * F.coalesce(F.col("ev_ids"), F.lit(0))).alias("_events"),
         (mult * F.col("ev_volume")).alias("_volume"),
         (mult * F.col("ev_fee")).alias("_fee"))
-    agg = (per_user.groupBy("country")
+    agg = (per_person.groupBy("country")
            .agg(F.count(F.lit(1)).alias("total_users"),
                 F.avg("_life").alias("_avg_life"),
                 F.avg("_events").alias("_avg_events"),
@@ -149,7 +150,7 @@ def seasonal_by_top_countries(ncc: DataFrame, events: DataFrame, params: Params
 
 
 def country_clusters(ncc: DataFrame, user_info: DataFrame, events: DataFrame,
-                     params: Params = DEFAULT) -> DataFrame:
+                     params: Params = DEFAULT, per_user: DataFrame | None = None) -> DataFrame:
     """Country value/risk classes.  Coordinates come from NCC, which took them
     from the geography row of the same code."""
     left = _accounts_per(ncc.filter(F.col("user_id").isNotNull()),
@@ -158,7 +159,7 @@ def country_clusters(ncc: DataFrame, user_info: DataFrame, events: DataFrame,
     users = (user_info.filter(F.col("user_id").isNotNull()).groupBy("user_id")
              .agg(F.count(F.lit(1)).alias("_c"), F.sum(life).alias("_ls"), F.count(life).alias("_lc"),
                   F.count(F.when(life <= params.trial_days, F.lit(1))).alias("_t")))
-    rows = left.join(users, "user_id").join(events_per_user(events), "user_id", "left")
+    rows = left.join(users, "user_id").join(per_user_totals(events, per_user), "user_id", "left")
     aw = F.col("_a") * left_weight()
     agg = (rows.groupBy("country", "latitude", "longitude")
            .agg(F.count("user_id").alias("user_count"),
@@ -189,17 +190,18 @@ def timezone_region(longitude) -> F.Column:
                        F.lit(TIMEZONE_UNKNOWN))
 
 
-def timezone_usage(ncc: DataFrame, events: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def timezone_usage(ncc: DataFrame, events: DataFrame, params: Params = DEFAULT,
+                   per_user: DataFrame | None = None) -> DataFrame:
     """Usage by 60-degree longitude band (Unknown bands dropped)."""
     left = _accounts_per(ncc, ["country", "user_id", "longitude"], "_a")
-    rows = join_user_events(left, events_per_user(events))
-    per_user = rows.select(
+    rows = join_user_events(left, per_user_totals(events, per_user))
+    per_person = rows.select(
         "user_id",
         timezone_region("longitude").alias("timezone_region"),
         (F.col("_a") * F.coalesce(F.col("ev_ids"), F.lit(0))).alias("_events"),
         (F.col("_a") * F.col("ev_fee")).alias("_rev"),
     ).filter(F.col("timezone_region") != TIMEZONE_UNKNOWN)
-    agg = per_user.groupBy("timezone_region").agg(
+    agg = per_person.groupBy("timezone_region").agg(
         F.countDistinct("user_id").alias("users"),
         F.sum("_events").alias("total_events"),
         F.sum("_rev").alias("_rev_sum"),

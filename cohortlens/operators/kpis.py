@@ -21,7 +21,7 @@ from ..functions.columns import (date_lit, days_between_ts, dbl, div, exact_avg,
                                  order_key, pct, rnd)
 from ..functions.labels import CHURN_STATUSES, CLV_SEGMENTS, ENGAGEMENT_SEGMENTS, PLATFORMS
 from ..params import DEFAULT, Params
-from ..plans.fanout import events_per_user, join_user_events, left_weight
+from ..plans.fanout import join_user_events, left_weight, per_user_totals
 from ..plans.numbering import weighted_percentile_cont
 
 WEB, ANDROID, IOS = PLATFORMS
@@ -69,11 +69,11 @@ def _accounts(user_info: DataFrame, keys: list, **extra) -> DataFrame:
     return user_info.groupBy(*keys).agg(*aggs)
 
 
-def revenue_metrics(user_info: DataFrame, events: DataFrame) -> DataFrame:
+def revenue_metrics(user_info: DataFrame, events: DataFrame, per_user: DataFrame | None = None) -> DataFrame:
     """One row.  The median is PERCENTILE_CONT(0.5) of fee over the joined
     rows, i.e. each event weighted by its user's number of accounts."""
     acc = _accounts(user_info.filter(F.col("user_id").isNotNull()), ["user_id"])
-    j = join_user_events(acc, events_per_user(events))
+    j = join_user_events(acc, per_user_totals(events, per_user))
     a = F.col("_a")
     totals = j.agg(
         F.count("user_id").alias("total_users"),
@@ -96,9 +96,9 @@ def revenue_metrics(user_info: DataFrame, events: DataFrame) -> DataFrame:
         rnd(div("total_transactions", "paying_users"), 2).alias("avg_transactions_per_user"))
 
 
-def feature_usage(user_info: DataFrame, events: DataFrame) -> DataFrame:
+def feature_usage(user_info: DataFrame, events: DataFrame, per_user: DataFrame | None = None) -> DataFrame:
     acc = _accounts(user_info.filter(F.col("feature").isNotNull()), ["feature", "user_id"])
-    j = join_user_events(acc, events_per_user(events))
+    j = join_user_events(acc, per_user_totals(events, per_user))
     a = F.col("_a")
     agg = j.groupBy("feature").agg(
         F.count("user_id").alias("users_with_feature"),
@@ -140,9 +140,10 @@ def engagement_segments(events: DataFrame, params: Params = DEFAULT) -> DataFram
             .orderBy(F.col("avg_total_revenue").desc_nulls_last()))
 
 
-def churn_status(user_info: DataFrame, events: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def churn_status(user_info: DataFrame, events: DataFrame, params: Params = DEFAULT,
+                 per_user: DataFrame | None = None) -> DataFrame:
     acc = _accounts(user_info, ["user_id", "created_date", "last_login", "platform"])
-    j = join_user_events(acc, events_per_user(events)).filter(F.col("platform").isNotNull())
+    j = join_user_events(acc, per_user_totals(events, per_user)).filter(F.col("platform").isNotNull())
     since = F.datediff(date_lit(params.as_of), F.coalesce(F.col("last_login"), F.col("created_date")))
     d = params.churn_days
     status = first_match([(since <= d[0], F.lit(CHURN_STATUSES[0])), (since <= d[1], F.lit(CHURN_STATUSES[1])),
@@ -164,13 +165,14 @@ def churn_status(user_info: DataFrame, events: DataFrame, params: Params = DEFAU
     ).orderBy(order_key("churn_status", CHURN_STATUSES), "platform")
 
 
-def _account_event_summary(user_info: DataFrame, events: DataFrame, key: str, params: Params) -> DataFrame:
+def _account_event_summary(user_info: DataFrame, events: DataFrame, key: str, params: Params,
+                           per_user: DataFrame | None = None) -> DataFrame:
     """Per ``key`` value: users, active users, events, revenue, volume and the
     event-weighted average account life (shared by platform and os KPIs)."""
     life = life_days(params.as_of)
     acc = _accounts(user_info.filter(F.col(key).isNotNull()), [key, "user_id"],
                     _ls=F.sum(life), _lc=F.count(life))
-    j = join_user_events(acc, events_per_user(events))
+    j = join_user_events(acc, per_user_totals(events, per_user))
     a, w = F.col("_a"), left_weight()
     return j.groupBy(key).agg(
         F.count("user_id").alias("total_users"),
@@ -181,8 +183,9 @@ def _account_event_summary(user_info: DataFrame, events: DataFrame, key: str, pa
         div(F.sum(F.col("_ls") * w), F.sum(F.col("_lc") * w)).alias("_life"))
 
 
-def platform_kpis(user_info: DataFrame, events: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    s = _account_event_summary(user_info, events, "platform", params)
+def platform_kpis(user_info: DataFrame, events: DataFrame, params: Params = DEFAULT,
+                  per_user: DataFrame | None = None) -> DataFrame:
+    s = _account_event_summary(user_info, events, "platform", params, per_user)
     return s.select(
         "platform", "total_users", "active_users",
         rnd(pct("active_users", "total_users"), 2).alias("activation_rate"),
@@ -211,9 +214,10 @@ def weekly_trends(events: DataFrame) -> DataFrame:
     ).orderBy("week_start")
 
 
-def clv_segments(user_info: DataFrame, events: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def clv_segments(user_info: DataFrame, events: DataFrame, params: Params = DEFAULT,
+                 per_user: DataFrame | None = None) -> DataFrame:
     acc = _accounts(user_info, ["user_id", "platform", "created_date", "last_login"])
-    j = join_user_events(acc, events_per_user(events)).filter(F.col("platform").isNotNull())
+    j = join_user_events(acc, per_user_totals(events, per_user)).filter(F.col("platform").isNotNull())
     a = F.col("_a")
     rows = j.select(
         "platform", life_days(params.as_of).alias("_life"),
@@ -234,8 +238,10 @@ def clv_segments(user_info: DataFrame, events: DataFrame, params: Params = DEFAU
     return agg.orderBy(order_key("clv_segment", CLV_SEGMENTS), "platform")
 
 
-def os_performance(user_info: DataFrame, events: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    s = _account_event_summary(user_info, events, "os", params).filter(F.col("total_users") >= params.os_min_users)
+def os_performance(user_info: DataFrame, events: DataFrame, params: Params = DEFAULT,
+                   per_user: DataFrame | None = None) -> DataFrame:
+    s = (_account_event_summary(user_info, events, "os", params, per_user)
+         .filter(F.col("total_users") >= params.os_min_users))
     return s.select(
         "os", "total_users", "active_users",
         rnd(pct("active_users", "total_users"), 2).alias("activation_rate"),
@@ -260,10 +266,10 @@ def peak_hours(events: DataFrame) -> DataFrame:
     ).orderBy("hour_of_day")
 
 
-def cohort_revenue(user_info: DataFrame, events: DataFrame) -> DataFrame:
+def cohort_revenue(user_info: DataFrame, events: DataFrame, per_user: DataFrame | None = None) -> DataFrame:
     acc = _accounts(user_info.filter(F.col("created_date").isNotNull()),
                     [F.trunc("created_date", "MM").alias("cohort_month"), "user_id"])
-    j = join_user_events(acc, events_per_user(events))
+    j = join_user_events(acc, per_user_totals(events, per_user))
     a = F.col("_a")
     rows = j.select("cohort_month",
                     F.coalesce(a * F.col("ev_fee"), F.lit(0)).alias("_rev"),

@@ -102,9 +102,13 @@ def session_key_stats(events: DataFrame, params: Params = DEFAULT,
     return original.join(updated, SESSION_KEY)
 
 
-def session_compare(events: DataFrame, params: Params = DEFAULT,
-                    events_updated: DataFrame | None = None) -> DataFrame:
-    st = session_key_stats(events, params, events_updated).filter(
+def _stats(events, params, events_updated, stats) -> DataFrame:
+    return stats if stats is not None else session_key_stats(events, params, events_updated)
+
+
+def session_compare(events: DataFrame, params: Params = DEFAULT, events_updated: DataFrame | None = None,
+                    stats: DataFrame | None = None) -> DataFrame:
+    st = _stats(events, params, events_updated, stats).filter(
         F.col("original_events") > F.col("updated_events"))
     reduced = F.col("original_events") - F.col("updated_events")
     return (st.select(
@@ -115,9 +119,9 @@ def session_compare(events: DataFrame, params: Params = DEFAULT,
         .limit(params.session_compare_k))
 
 
-def session_user_impact(events: DataFrame, params: Params = DEFAULT,
-                        events_updated: DataFrame | None = None) -> DataFrame:
-    st = session_key_stats(events, params, events_updated)
+def session_user_impact(events: DataFrame, params: Params = DEFAULT, events_updated: DataFrame | None = None,
+                        stats: DataFrame | None = None) -> DataFrame:
+    st = _stats(events, params, events_updated, stats)
     reduced = F.col("original_events") - F.col("updated_events")
     users = (st.groupBy("user_id")
              .agg(F.sum("original_events").alias("_orig"), F.sum("updated_events").alias("_upd"),
@@ -137,9 +141,9 @@ def session_user_impact(events: DataFrame, params: Params = DEFAULT,
             .orderBy(F.col("avg_original_events").desc()))
 
 
-def session_platform_impact(events: DataFrame, params: Params = DEFAULT,
-                            events_updated: DataFrame | None = None) -> DataFrame:
-    st = session_key_stats(events, params, events_updated)
+def session_platform_impact(events: DataFrame, params: Params = DEFAULT, events_updated: DataFrame | None = None,
+                            stats: DataFrame | None = None) -> DataFrame:
+    st = _stats(events, params, events_updated, stats)
     per_user = (st.groupBy("user_id", "platform")
                 .agg(F.sum("original_events").alias("_orig"), F.sum("updated_events").alias("_upd"))
                 .filter(F.col("_orig") > F.col("_upd")))
@@ -153,9 +157,9 @@ def session_platform_impact(events: DataFrame, params: Params = DEFAULT,
     ).orderBy(F.col("platform_reduction_pct").desc_nulls_last())
 
 
-def session_daily_impact(events: DataFrame, params: Params = DEFAULT,
-                         events_updated: DataFrame | None = None) -> DataFrame:
-    st = session_key_stats(events, params, events_updated)
+def session_daily_impact(events: DataFrame, params: Params = DEFAULT, events_updated: DataFrame | None = None,
+                         stats: DataFrame | None = None) -> DataFrame:
+    st = _stats(events, params, events_updated, stats)
     daily = (st.groupBy("date")
              .agg(F.sum("original_events").alias("daily_original_events"),
                   F.sum("updated_events").alias("daily_updated_events"),

@@ -39,6 +39,12 @@ def events_per_user(events: DataFrame) -> DataFrame:
     )
 
 
+def per_user_totals(events: DataFrame, per_user: DataFrame | None = None) -> DataFrame:
+    """``per_user`` when a materialised ``events_per_user`` table is given
+    (one pass over the events shared by every report), else computed."""
+    return per_user if per_user is not None else events_per_user(events)
+
+
 def left_weight() -> F.Column:
     """Joined-row multiplicity of a left-joined account: its events, or 1 when unmatched."""
     return F.when(F.col("ev_rows").isNull(), F.lit(1)).otherwise(F.col("ev_rows"))

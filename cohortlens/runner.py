@@ -3,7 +3,10 @@
 Derived tables are written first, in dependency order, to a warehouse
 folder (shared storage on a cluster) and read back, so every report
 reads the materialised table instead of recomputing it — and the
-lineage of everything downstream is cut at each table.  Reports are then
+lineage of everything downstream is cut at each table.  Two shared
+intermediates are materialised the same way: per-user event totals
+(one pass over the events for all ten account x event reports) and the
+per-key before/after session counts (for the four session reports).  Reports are then
 handed to ``sink(name, df)``.
 """
 
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .params import DEFAULT, Params
 from .sources.sinks import write_table
 from .sources.tables import Tables
-from .suite import DERIVED_TABLES, REPORTS, Derived
+from .suite import DERIVED_TABLES, REPORTS, SHARED_TABLES, Derived
 
 Sink = Callable[[str, DataFrame], None]
 Hook = Callable[[str, float], None]
@@ -42,11 +45,17 @@ def run_pipeline(spark: SparkSession, views: dict[str, Tables], warehouse: str,
         if on_step:
             on_step(name, time.time() - t0)
 
-    for name in DERIVED_TABLES:
+    def materialise(name: str, build: Callable[[Derived], DataFrame]) -> None:
         path = f"{base}/{name}"
-        step(name, lambda: write_table(REPORTS[name].fn(main), path=path))
+        step(name, lambda: write_table(build(main), path=path))
         main.materialized[name] = spark.read.parquet(path)
 
+    for name in DERIVED_TABLES:
+        materialise(name, REPORTS[name].fn)
+        if name == "events_updated":
+            for shared, build in SHARED_TABLES.items():
+                materialise(shared, build)
+
     others = {v: Derived(t, params, {"number_customer_country": main.materialized["number_customer_country"]})
               for v, t in views.items() if v != "events"}
     for name, report in REPORTS.items():

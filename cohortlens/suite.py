@@ -27,6 +27,7 @@ from .operators import retention as rt
 from .operators import rfm
 from .operators import sessions as ss
 from .params import DEFAULT, Params
+from .plans.fanout import events_per_user
 from .sources.tables import Tables
 
 
@@ -51,6 +52,16 @@ class Derived:
         """Materialised table if there is one; reports otherwise derive what they need."""
         return self.materialized.get("events_updated")
 
+    @property
+    def per_user(self) -> DataFrame | None:
+        """Materialised per-user event totals, shared by the account x event reports."""
+        return self.materialized.get("user_event_totals")
+
+    @property
+    def session_stats(self) -> DataFrame | None:
+        """Materialised per (user, platform, date) before/after session counts."""
+        return self.materialized.get("session_key_stats")
+
     @property
     def rfm_base(self) -> DataFrame:
         t, p = self.tables, self.params
@@ -100,21 +111,26 @@ REPORTS: dict[str, Report] = {
     # geography
     "number_customer_country": _r(lambda d: d.ncc),
     "top_countries": _r(lambda d: geo.top_countries(d.ncc, d.params)),
-    "country_revenue": _r(lambda d: geo.country_revenue(d.ncc, d.tables.events, d.params)),
+    "country_revenue": _r(lambda d: geo.country_revenue(d.ncc, d.tables.events, d.params, d.per_user)),
     "country_platform_share": _r(lambda d: geo.country_platform_share(d.ncc, d.tables.user_info, d.params)),
     "os_by_top_countries": _r(lambda d: geo.os_by_top_countries(d.ncc, d.tables.user_info, d.params)),
-    "country_engagement": _r(lambda d: geo.country_engagement(d.ncc, d.tables.user_info, d.tables.events, d.params)),
+    "country_engagement": _r(lambda d: geo.country_engagement(d.ncc, d.tables.user_info, d.tables.events, d.params,
+                                                              d.per_user)),
     "seasonal_by_top_countries": _r(lambda d: geo.seasonal_by_top_countries(d.ncc, d.tables.events, d.params),
                                     "orders"),
-    "country_clusters": _r(lambda d: geo.country_clusters(d.ncc, d.tables.user_info, d.tables.events, d.params)),
-    "timezone_usage": _r(lambda d: geo.timezone_usage(d.ncc, d.tables.events, d.params)),
+    "country_clusters": _r(lambda d: geo.country_clusters(d.ncc, d.tables.user_info, d.tables.events, d.params,
+                                                          d.per_user)),
+    "timezone_usage": _r(lambda d: geo.timezone_usage(d.ncc, d.tables.events, d.params, d.per_user)),
     # anchored sessions
     "events_updated": _r(lambda d: d.events_updated if d.events_updated is not None
                          else ss.events_updated(d.tables.events, d.params)),
-    "session_compare": _r(lambda d: ss.session_compare(d.tables.events, d.params, d.events_updated)),
-    "session_user_impact": _r(lambda d: ss.session_user_impact(d.tables.events, d.params, d.events_updated)),
-    "session_platform_impact": _r(lambda d: ss.session_platform_impact(d.tables.events, d.params, d.events_updated)),
-    "session_daily_impact": _r(lambda d: ss.session_daily_impact(d.tables.events, d.params, d.events_updated)),
+    "session_compare": _r(lambda d: ss.session_compare(d.tables.events, d.params, d.events_updated, d.session_stats)),
+    "session_user_impact": _r(lambda d: ss.session_user_impact(d.tables.events, d.params, d.events_updated,
+                                                                d.session_stats)),
+    "session_platform_impact": _r(lambda d: ss.session_platform_impact(d.tables.events, d.params, d.events_updated,
+                                                                        d.session_stats)),
+    "session_daily_impact": _r(lambda d: ss.session_daily_impact(d.tables.events, d.params, d.events_updated,
+                                                                  d.session_stats)),
     "gaming_patterns": _r(lambda d: ss.gaming_patterns(d.tables.events, d.params)),
     # RFM
     "rfm_base": _r(lambda d: d.rfm_base),
@@ -131,18 +147,25 @@ REPORTS: dict[str, Report] = {
     "dau_by_platform": _r(lambda d: kpi.dau_by_platform(d.tables.events)),
     "mau_growth": _r(lambda d: kpi.mau_growth(d.tables.events), "orders"),
     "acquisition_by_month": _r(lambda d: kpi.acquisition_by_month(d.tables.user_info)),
-    "revenue_metrics": _r(lambda d: kpi.revenue_metrics(d.tables.user_info, d.tables.events)),
-    "feature_usage": _r(lambda d: kpi.feature_usage(d.tables.user_info, d.tables.events)),
+    "revenue_metrics": _r(lambda d: kpi.revenue_metrics(d.tables.user_info, d.tables.events, d.per_user)),
+    "feature_usage": _r(lambda d: kpi.feature_usage(d.tables.user_info, d.tables.events, d.per_user)),
     "engagement_segments": _r(lambda d: kpi.engagement_segments(d.tables.events, d.params)),
-    "churn_status": _r(lambda d: kpi.churn_status(d.tables.user_info, d.tables.events, d.params)),
-    "platform_kpis": _r(lambda d: kpi.platform_kpis(d.tables.user_info, d.tables.events, d.params)),
+    "churn_status": _r(lambda d: kpi.churn_status(d.tables.user_info, d.tables.events, d.params, d.per_user)),
+    "platform_kpis": _r(lambda d: kpi.platform_kpis(d.tables.user_info, d.tables.events, d.params, d.per_user)),
     "weekly_trends": _r(lambda d: kpi.weekly_trends(d.tables.events), "orders"),
-    "clv_segments": _r(lambda d: kpi.clv_segments(d.tables.user_info, d.tables.events, d.params)),
-    "os_performance": _r(lambda d: kpi.os_performance(d.tables.user_info, d.tables.events, d.params)),
+    "clv_segments": _r(lambda d: kpi.clv_segments(d.tables.user_info, d.tables.events, d.params, d.per_user)),
+    "os_performance": _r(lambda d: kpi.os_performance(d.tables.user_info, d.tables.events, d.params, d.per_user)),
     "peak_hours": _r(lambda d: kpi.peak_hours(d.tables.events)),
-    "cohort_revenue": _r(lambda d: kpi.cohort_revenue(d.tables.user_info, d.tables.events)),
+    "cohort_revenue": _r(lambda d: kpi.cohort_revenue(d.tables.user_info, d.tables.events, d.per_user)),
 }
 
 # derived tables the original scripts materialise, in dependency order
 DERIVED_TABLES = ["platform_use", "volume_use", "number_customer_country", "serious_cheaters",
                   "events_updated", "rfm_base", "rfm_scores", "rfm_segments"]
+
+# shared intermediate tables a pipeline run materialises once (after
+# ``events_updated``) so that no report re-reads the whole event table for them
+SHARED_TABLES: dict[str, Callable[[Derived], DataFrame]] = {
+    "user_event_totals": lambda d: events_per_user(d.tables.events),
+    "session_key_stats": lambda d: ss.session_key_stats(d.tables.events, d.params, d.events_updated),
+}
