@@ -84,10 +84,6 @@ def percent_text(x: Column) -> Column:
     return F.concat(F.regexp_replace(x.cast("string"), r"\.0$", ""), F.lit("%"))
 
 
-def as_long(c) -> Column:
-    return col(c).cast("long")
-
-
 def minutes_between(start, end) -> Column:
     """Whole elapsed minutes (truncated), as the gaming report uses."""
     return F.timestamp_diff("MINUTE", col(start), col(end))

@@ -17,15 +17,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import (date_lit, days_between_ts, dbl, div, exact_avg, first_match, life_days,
-                                 order_key, pct, rnd)
+from ..functions.columns import (date_lit, days_between_ts, div, exact_avg, first_match, life_days, order_key,
+                                 pct, rnd)
 from ..functions.labels import CHURN_STATUSES, CLV_SEGMENTS, ENGAGEMENT_SEGMENTS, PLATFORMS
 from ..params import DEFAULT, Params
 from ..plans.fanout import join_user_events, left_weight, per_user_totals
 from ..plans.numbering import weighted_percentile_cont
 
-WEB, ANDROID, IOS = PLATFORMS
-
 
 def dau_by_platform(events: DataFrame) -> DataFrame:
     daily = events.groupBy("date", "platform").agg(

@@ -1,4 +1,4 @@
-from .common import AS_OF, LIFE, PCT, R, TEXT_PCT, with_adapter
+from .common import LIFE, PCT, R, TEXT_PCT, with_adapter
 
 SQL = {}
 
