@@ -35,9 +35,11 @@ def attach_group_min(df: DataFrame, keys: list[str], value: str, out: str, *,
                      hot_key_rows: int, hot_key_limit: int, salt_rows_per_task: int) -> DataFrame:
     stats = df.groupBy(*keys).agg(F.min(value).alias(out), F.count(F.lit(1)).alias("_rows"))
 
+    # the hot list carries the group's statistic too, so both uses of ``stats``
+    # need the same aggregate and Spark computes it once (reused exchange)
     hot = (stats.filter(F.col("_rows") > hot_key_rows)
            .orderBy(F.col("_rows").desc()).limit(hot_key_limit)
-           .select(*[F.col(k).alias(f"_h_{k}") for k in keys],
+           .select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col(out).alias("_h_stat"),
                    _salts("_rows", hot_key_rows, salt_rows_per_task).alias("_hs")))
     hot = F.broadcast(hot)  # at most hot_key_limit rows
     on_hot = reduce(lambda a, b: a & b, [df[k].eqNullSafe(hot[f"_h_{k}"]) for k in keys])
@@ -50,5 +52,7 @@ def attach_group_min(df: DataFrame, keys: list[str], value: str, out: str, *,
         *[F.col(k).alias(f"_s_{k}") for k in keys], out,
         F.explode(F.sequence(F.lit(0), _salts("_rows", hot_key_rows, salt_rows_per_task) - 1)).alias("_s_salt"))
     on = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(replicas[f"_s_{k}"]) for k in keys])
-    return (rows.join(replicas, on & (rows["_salt"] == replicas["_s_salt"]), "inner")
-            .drop(*[f"_s_{k}" for k in keys], "_s_salt", "_salt"))
+    joined = rows.join(replicas, on & (rows["_salt"] == replicas["_s_salt"]), "inner")
+    # hot groups take the statistic from the broadcast list (same value)
+    return (joined.withColumn(out, F.coalesce(joined["_h_stat"], joined[out]))
+            .drop(*[f"_s_{k}" for k in keys], "_s_salt", "_salt", "_h_stat"))

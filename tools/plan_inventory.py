@@ -27,6 +27,7 @@ from cohortlens.suite import REPORTS, Derived  # noqa: E402
 
 COUNTS = [
     ("scans", r"FileScan parquet|Scan parquet"),
+    ("reused exchanges", r"ReusedExchange"),
     ("hash shuffles", r"Exchange hashpartitioning"),
     ("range shuffles", r"Exchange rangepartitioning"),
     ("single-partition", r"Exchange SinglePartition"),
@@ -39,7 +40,7 @@ COUNTS = [
 
 
 def final_plan(df) -> str:
-    df.write.format("noop").mode("overwrite").save()
+    df.collect()  # executes this DataFrame's own plan, so explain shows the final adaptive plan
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
         df.explain()
@@ -61,7 +62,8 @@ def main(argv):
     lines = ["# Physical plan inventory", "",
              f"Final adaptive plans of every report in stand-alone mode on `{os.path.basename(sf_dir)}` "
              "(`tools/plan_inventory.py`).  Plans of reports that materialise an intermediate "
-             "(distributed row numbers) show the plan after that step, which reads the materialised rows.  "
+             "(distributed row numbers) show the plan after that step, which reads the materialised rows; "
+             "`ReusedExchange` marks a shuffle computed once and read by two branches.  "
              "AQE turns sort-merge joins into broadcast joins at runtime where a side turned out small; "
              "single-partition exchanges only ever feed windows over already aggregated rows or the "
              "per-partition offset table.", "",
