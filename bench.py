@@ -12,9 +12,12 @@ nothing is collected to the driver.  After ``BENCH_WARMUP`` (default 1)
 uncounted run, each key's time is the median over ``BENCH_RUNS``
 (default 3) pipeline runs, each in a fresh folder.
 
-With ``BENCH_NAIVE=1`` (default) four statements are also run as literal
-Spark SQL of the original text (``tools/naive_spark_sql.py``) for
-comparison.  Prints one JSON line.
+``value`` is the sum of the per-step medians of the sequential runs.  The
+pipeline is then also run with ``BENCH_PARALLEL`` (default 4) independent
+steps as concurrent Spark jobs (``parallel_pipeline_wall_sec``).  With
+``BENCH_NAIVE=1`` (default) four reports also run as straightforward
+Spark SQL plans (``tools/naive_spark_sql.py``) for comparison.  Prints one
+JSON line.
 """
 
 from __future__ import annotations
@@ -78,6 +81,14 @@ def main() -> None:
         walls.append(time.time() - t)
     results = {k: round(statistics.median(v), 3) for k, v in samples.items()}
 
+    # the same pipeline with independent steps as concurrent Spark jobs
+    parallel = int(os.environ.get("BENCH_PARALLEL", "4"))
+    parallel_walls = []
+    for i in range(runs if parallel > 1 else 0):
+        t = time.time()
+        run_pipeline(spark, views(), f"{scratch}/parallel{i}", params, max_parallel=parallel)
+        parallel_walls.append(time.time() - t)
+
     naive_results: dict[str, float] = {}
     if naive:
         from tools.naive_spark_sql import NAIVE_SQL
@@ -102,6 +113,8 @@ def main() -> None:
         "cpus": cpus,
         "runs": runs,
         "pipeline_wall_sec": [round(w, 3) for w in walls],
+        "parallel_steps": parallel,
+        "parallel_pipeline_wall_sec": [round(w, 3) for w in parallel_walls],
         "input_prep_sec": round(prep, 3),
     }
     if naive_results:

@@ -6,13 +6,18 @@ reads the materialised table instead of recomputing it — and the
 lineage of everything downstream is cut at each table.  Two shared
 intermediates are materialised the same way: per-user event totals
 (one pass over the events for all ten account x event reports) and the
-per-key before/after session counts (for the four session reports).  Reports are then
-handed to ``sink(name, df)``.
+per-key before/after session counts (for the four session reports).
+Reports are then handed to ``sink(name, df)``.
+
+With ``max_parallel > 1`` independent steps run as concurrent Spark jobs
+from a thread pool (a step starts once the tables it reads exist), which
+keeps executors busy while small reports plan, schedule and finish.
 """
 
 from __future__ import annotations
 
 import time
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,42 +30,75 @@ from .suite import DERIVED_TABLES, REPORTS, SHARED_TABLES, Derived
 Sink = Callable[[str, DataFrame], None]
 Hook = Callable[[str, float], None]
 
+# which materialised tables each derived step reads (others read base tables only)
+TABLE_DEPENDENCIES = {
+    "session_key_stats": ["events_updated"],
+    "rfm_base": ["events_updated"],
+    "rfm_scores": ["rfm_base"],
+    "rfm_segments": ["rfm_scores"],
+}
+
 
 def noop_sink(name: str, df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
+def _run_dag(steps: dict[str, Callable[[], None]], deps: dict[str, list[str]], max_parallel: int) -> None:
+    if max_parallel <= 1:
+        done: set[str] = set()
+        while len(done) < len(steps):
+            for name in steps:
+                if name not in done and all(d in done for d in deps.get(name, [])):
+                    steps[name]()
+                    done.add(name)
+        return
+    with ThreadPoolExecutor(max_workers=max_parallel) as pool:
+        pending, running, done = dict(steps), {}, set()
+        while pending or running:
+            for name in [n for n in pending if all(d in done for d in deps.get(n, []))]:
+                running[pool.submit(pending.pop(name))] = name
+            finished, _ = wait(running, return_when=FIRST_COMPLETED)
+            for f in finished:
+                f.result()  # re-raise a failed step
+                done.add(running.pop(f))
+
+
 def run_pipeline(spark: SparkSession, views: dict[str, Tables], warehouse: str, params: Params = DEFAULT,
                  sink: Sink = noop_sink, on_step: Hook | None = None,
-                 reports: list[str] | None = None) -> dict[str, DataFrame]:
+                 reports: list[str] | None = None, max_parallel: int = 1) -> dict[str, DataFrame]:
     """``views["events"]`` holds the main tables; other keys (e.g. ``"orders"``)
     serve reports registered with that event view.  Returns the
     materialised derived tables."""
     base = warehouse.rstrip("/")
     main = Derived(views["events"], params)
 
-    def step(name: str, action: Callable[[], None]) -> None:
-        t0 = time.time()
-        action()
-        if on_step:
-            on_step(name, time.time() - t0)
+    def timed(name: str, action: Callable[[], None]) -> Callable[[], None]:
+        def run() -> None:
+            t0 = time.time()
+            action()
+            if on_step:
+                on_step(name, time.time() - t0)
+        return run
 
-    def materialise(name: str, build: Callable[[Derived], DataFrame]) -> None:
-        path = f"{base}/{name}"
-        step(name, lambda: write_table(build(main), path=path))
-        main.materialized[name] = spark.read.parquet(path)
+    def materialise(name: str, build: Callable[[Derived], DataFrame]) -> Callable[[], None]:
+        def action() -> None:
+            path = f"{base}/{name}"
+            write_table(build(main), path=path)
+            main.materialized[name] = spark.read.parquet(path)
+        return timed(name, action)
 
-    for name in DERIVED_TABLES:
-        materialise(name, REPORTS[name].fn)
-        if name == "events_updated":
-            for shared, build in SHARED_TABLES.items():
-                materialise(shared, build)
+    derived = {name: materialise(name, REPORTS[name].fn) for name in DERIVED_TABLES}
+    derived.update({name: materialise(name, build) for name, build in SHARED_TABLES.items()})
+    _run_dag(derived, TABLE_DEPENDENCIES, max_parallel)
 
     others = {v: Derived(t, params, {"number_customer_country": main.materialized["number_customer_country"]})
               for v, t in views.items() if v != "events"}
-    for name, report in REPORTS.items():
-        if name in DERIVED_TABLES or (reports and name not in reports):
-            continue
+
+    def report_step(name: str) -> Callable[[], None]:
+        report = REPORTS[name]
         d = main if report.event_view == "events" else others[report.event_view]
-        step(name, lambda: sink(name, report.fn(d)))
+        return timed(name, lambda: sink(name, report.fn(d)))
+
+    names = [n for n in REPORTS if n not in DERIVED_TABLES and (not reports or n in reports)]
+    _run_dag({n: report_step(n) for n in names}, {}, max_parallel)
     return dict(main.materialized)

@@ -1,4 +1,4 @@
-"""The pipeline (materialised CTAS + shared tables) equals the stand-alone reports."""
+"""The pipeline (materialised CTAS + shared tables, concurrent steps) equals the stand-alone reports."""
 
 import __spark_entry__ as entry
 from tools.check_oracle import compare
@@ -15,7 +15,7 @@ def test_pipeline_matches_standalone(spark, tmp_path):
     got, steps = {}, []
     derived = run_pipeline(spark, views, str(tmp_path / "wh"), testdata.TEST_PARAMS,
                            sink=lambda name, df: got.__setitem__(name, entry._decimals_as_double(df).toPandas()),
-                           on_step=lambda name, sec: steps.append(name))
+                           on_step=lambda name, sec: steps.append(name), max_parallel=4)
     for name in DERIVED_TABLES:
         got[name] = entry._decimals_as_double(derived[name]).toPandas()
     assert set(got) == set(REPORTS)
