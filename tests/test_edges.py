@@ -221,3 +221,15 @@ def test_rfm_small_sizes_use_rounded_positions(spark):
         assert len(scores) == n
         if n == 1:  # position round(0.25) = 0 -> NULL threshold -> ELSE 4
             assert (scores[0].R, scores[0].F, scores[0].M) == (4, 4, 4)
+
+
+def test_rfm_threshold_positions_round_half_away(spark):
+    for n, positions in ((1, (0, 1, 1)), (2, (1, 1, 2)), (6, (2, 3, 5))):
+        # metric value = its own position, so the threshold equals the position taken
+        base = spark.createDataFrame(
+            [(i, None, i, float(i), float(i), i, i, i) for i in range(1, n + 1)],
+            "user_id long, created_date date, recency long, frequency double, monetary double, "
+            "recency_rn long, frequency_rn long, monetary_rn long")
+        t = rfm.rfm_thresholds(base, P)
+        want = [p if p >= 1 else None for p in positions]
+        assert t["recency"] == want and t["frequency"] == [None if w is None else float(w) for w in want]
