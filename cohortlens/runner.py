@@ -7,7 +7,10 @@ lineage of everything downstream is cut at each table.  Two shared
 intermediates are materialised the same way: per-user event totals
 (one pass over the events for all ten account x event reports) and the
 per-key before/after session counts (for the four session reports).
-Reports are then handed to ``sink(name, df)``.
+The per-user totals are stored bucketed by ``user_id`` with as many
+buckets as shuffle partitions, so the ten reports that join them on
+``user_id`` read that side without a shuffle.  Reports are then handed
+to ``sink(name, df)``.
 
 With ``max_parallel > 1`` independent steps run as concurrent Spark jobs
 from a thread pool (a step starts once the tables it reads exist), which
@@ -17,19 +20,23 @@ keeps executors busy while small reports plan, schedule and finish.
 from __future__ import annotations
 
 import time
+import uuid
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .params import DEFAULT, Params
-from .sources.sinks import write_table
+from .sources.sinks import write_bucketed, write_table
 from .sources.tables import Tables
 from .suite import DERIVED_TABLES, REPORTS, SHARED_TABLES, Derived
 
 Sink = Callable[[str, DataFrame], None]
 Hook = Callable[[str, float], None]
 
+# shared tables stored bucketed by this key (every reader joins on it)
+BUCKETED = {"user_event_totals": "user_id"}
+
 # which materialised tables each derived step reads (others read base tables only)
 TABLE_DEPENDENCIES = {
     "session_key_stats": ["events_updated"],
@@ -80,9 +87,16 @@ def run_pipeline(spark: SparkSession, views: dict[str, Tables], warehouse: str,
                 on_step(name, time.time() - t0)
         return run
 
+    run_id = uuid.uuid4().hex[:12]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
     def materialise(name: str, build: Callable[[Derived], DataFrame]) -> Callable[[], None]:
         def action() -> None:
             path = f"{base}/{name}"
+            if name in BUCKETED:
+                main.materialized[name] = write_bucketed(build(main), path, f"cohortlens_{run_id}_{name}",
+                                                         BUCKETED[name], buckets)
+                return
             write_table(build(main), path=path)
             main.materialized[name] = spark.read.parquet(path)
         return timed(name, action)

@@ -20,3 +20,12 @@ def write_table(df: DataFrame, path: str | None = None, table: str | None = None
         w.save(path)
     else:
         w.saveAsTable(table)
+
+
+def write_bucketed(df: DataFrame, path: str, table: str, key: str, buckets: int) -> DataFrame:
+    """Materialise ``df`` at ``path`` as catalog table ``table`` bucketed and
+    sorted by ``key``; later joins on ``key`` with the same number of
+    partitions read it without a shuffle.  Returns the table."""
+    (df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+     .option("path", path).saveAsTable(table))
+    return df.sparkSession.table(table)
