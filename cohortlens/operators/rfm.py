@@ -3,7 +3,8 @@
 ``rfm_base`` joins recalculated events to accounts on ``user_id`` (one
 row per (user, created_date), totals multiplied by the number of such
 accounts, as the join does) after reducing events to one row per user.
-Its three row numbers are distributed (``plans.numbering``).
+Its three row numbers come from one distributed sort
+(``plans.numbering``, numbered per metric).
 
 ``rfm_scores`` compares each value with the value found at row
 ``round(p * N)`` of each ordering.  In the default ``reference`` mode
@@ -43,12 +44,33 @@ def rfm_base(events_updated: DataFrame, user_info: DataFrame, params: Params = D
         F.datediff(date_lit(params.as_of), F.col("_last")).cast("long").alias("recency"),
         div(F.col("_a") * F.col("_n"), months).alias("frequency"),
         div(F.col("_a") * F.col("_f"), months).alias("monetary"))
-    tie = [F.col("user_id").asc(), F.col("created_date").asc_nulls_first()]
-    rec = F.col("recency").desc_nulls_last() if params.recency_mode == "reference" else F.col("recency").asc_nulls_first()
-    base = dense_row_number(base, [rec] + tie, "recency_rn")
-    base = dense_row_number(base, [F.col("frequency").asc_nulls_first()] + tie, "frequency_rn")
-    base = dense_row_number(base, [F.col("monetary").asc_nulls_first()] + tie, "monetary_rn")
-    return base.select(*BASE_COLS, "recency_rn", "frequency_rn", "monetary_rn")
+    return _ranked(base, params)
+
+
+def _ranked(base: DataFrame, params: Params) -> DataFrame:
+    """The three ROW_NUMBERs in one distributed sort.
+
+    Each row becomes three (metric, null-rank, value) rows; sorting on
+    (metric, null-rank, value, user_id, created_date) and numbering per
+    metric gives all three orders at once (recency descending with NULLs
+    last in reference mode, the others ascending with NULLs first), and
+    one grouping on the row key folds them back."""
+    def entry(m: int, value: str, descending: bool) -> F.Column:
+        v = F.col(value).cast("double")
+        null_rank = F.when(F.col(value).isNull(), F.lit(1 if descending else 0)).otherwise(F.lit(0 if descending else 1))
+        return F.struct(F.lit(m).alias("_m"), null_rank.alias("_null"), (-v if descending else v).alias("_v"))
+
+    reference = params.recency_mode == "reference"
+    long = base.select(*BASE_COLS, F.explode(F.array(
+        entry(0, "recency", reference), entry(1, "frequency", False), entry(2, "monetary", False))).alias("_e"))
+    long = long.select(*BASE_COLS, "_e._m", "_e._null", "_e._v")
+    order = [F.col("_null").asc(), F.col("_v").asc(), F.col("user_id").asc(), F.col("created_date").asc_nulls_first()]
+    ranked = dense_row_number(long, order, "_rn", partition_by=["_m"])
+    rn = {i: F.max(F.when(F.col("_m") == i, F.col("_rn"))) for i in range(3)}
+    return ranked.groupBy("user_id", "created_date").agg(
+        F.max("recency").alias("recency"), F.max("frequency").alias("frequency"), F.max("monetary").alias("monetary"),
+        rn[0].alias("recency_rn"), rn[1].alias("frequency_rn"), rn[2].alias("monetary_rn"),
+    ).select(*BASE_COLS, "recency_rn", "frequency_rn", "monetary_rn")
 
 
 def _score(value: F.Column, t: list[F.Column]) -> F.Column:

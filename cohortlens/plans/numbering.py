@@ -20,6 +20,7 @@ Order statistics reuse steps 1-4 on a value histogram.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{base}/cohortlens-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)  # known schema: no footer-reading job
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
@@ -63,15 +64,31 @@ def _offsets(staged: DataFrame, weight: Column) -> DataFrame:
 
 
 def dense_row_number(df: DataFrame, order: list[Column], out: str = "rn",
-                     num_partitions: int | None = None) -> DataFrame:
-    """``df`` plus ``out`` = 1..N in ``order``; ``order`` must be a total order."""
-    staged = _staged(df, order, num_partitions)
-    offsets = _offsets(staged, F.lit(1))
-    return (
-        staged.join(F.broadcast(offsets.select("_pid", "_offset")), "_pid")
-        .withColumn(out, (F.col("_offset") + F.col("_local") + 1).cast("long"))
-        .drop("_pid", "_local", "_offset")
-    )
+                     num_partitions: int | None = None, partition_by: list[str] | None = None) -> DataFrame:
+    """``df`` plus ``out`` = 1..N in ``order`` (a total order), restarting per
+    value of ``partition_by`` — ``ROW_NUMBER() OVER ([PARTITION BY g] ORDER BY
+    order)`` without putting a group in one task.
+
+    ``partition_by`` is meant for a few large groups: rows are range-sorted
+    on (group, order), and the offsets table has one row per (range
+    partition, group), which is what gets broadcast."""
+    groups = partition_by or []
+    staged = _staged(df, [F.col(g).asc_nulls_first() for g in groups] + order, num_partitions)
+    if not groups:
+        offsets = _offsets(staged, F.lit(1))
+        return (staged.join(F.broadcast(offsets.select("_pid", "_offset")), "_pid")
+                .withColumn(out, (F.col("_offset") + F.col("_local") + 1).cast("long"))
+                .drop("_pid", "_local", "_offset"))
+    per = staged.groupBy("_pid", *groups).agg(F.count(F.lit(1)).alias("_n"), F.min("_local").alias("_start"))
+    before = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select(*[F.col(g).alias(f"_o_{g}") for g in groups], F.col("_pid").alias("_o_pid"), "_start",
+                         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = F.broadcast(offsets)  # (range partitions) x (groups) rows
+    on = reduce(lambda a, b: a & b, [staged[g].eqNullSafe(offsets[f"_o_{g}"]) for g in groups]) \
+        & (staged["_pid"] == offsets["_o_pid"])
+    return (staged.join(offsets, on)
+            .withColumn(out, (F.col("_offset") + F.col("_local") - F.col("_start") + 1).cast("long"))
+            .drop("_pid", "_local", "_offset", "_start", "_o_pid", *[f"_o_{g}" for g in groups]))
 
 
 def weighted_percentile_cont(df: DataFrame, value: str, weight: str, q: float = 0.5,

@@ -97,8 +97,9 @@ def run_pipeline(spark: SparkSession, views: dict[str, Tables], warehouse: str,
                 main.materialized[name] = write_bucketed(build(main), path, f"cohortlens_{run_id}_{name}",
                                                          BUCKETED[name], buckets)
                 return
-            write_table(build(main), path=path)
-            main.materialized[name] = spark.read.parquet(path)
+            df = build(main)
+            write_table(df, path=path)
+            main.materialized[name] = spark.read.schema(df.schema).parquet(path)
         return timed(name, action)
 
     derived = {name: materialise(name, REPORTS[name].fn) for name in DERIVED_TABLES}

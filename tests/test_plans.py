@@ -62,3 +62,16 @@ def test_salted_group_min_with_more_hot_keys_than_limit(spark):
     for _, k, t in rows:
         mins[k] = min(mins.get(k, t), t)
     assert sorted((r.id, r.m) for r in got.collect()) == sorted((i, mins[k]) for i, k, _ in rows)
+
+
+def test_row_number_partitioned_by_few_groups(spark):
+    rnd = random.Random(9)
+    vals = [(i, rnd.choice(["a", "b", None]), rnd.randint(0, 20)) for i in range(500)]
+    df = spark.createDataFrame(vals, "id long, g string, v long")
+    got = dense_row_number(df, [F.col("v").asc(), F.col("id").asc()], "rn", 4, partition_by=["g"])
+    got = {r.id: r.rn for r in got.collect()}
+    want = {}
+    for g in ("a", "b", None):
+        for i, t in enumerate(sorted((t for t in vals if t[1] == g), key=lambda t: (t[2], t[0]))):
+            want[t[0]] = i + 1
+    assert got == want
