@@ -7,7 +7,7 @@ Its three row numbers come from one distributed sort
 (``plans.numbering``, numbered per metric).
 
 ``rfm_scores`` compares each value with the value found at row
-``round(p * N)`` of each ordering.  In the default ``reference`` mode
+``round(p * N)`` of each ordering.  In the default ``original`` mode
 recency is ordered descending while the CASE assumes ascending
 thresholds, so R only takes the values 1 and 4; ``corrected`` orders
 recency ascending.  The nine thresholds come from two one-row
@@ -53,16 +53,16 @@ def _ranked(base: DataFrame, params: Params) -> DataFrame:
     Each row becomes three (metric, null-rank, value) rows; sorting on
     (metric, null-rank, value, user_id, created_date) and numbering per
     metric gives all three orders at once (recency descending with NULLs
-    last in reference mode, the others ascending with NULLs first), and
+    last in original mode, the others ascending with NULLs first), and
     one grouping on the row key folds them back."""
     def entry(m: int, value: str, descending: bool) -> F.Column:
         v = F.col(value).cast("double")
         null_rank = F.when(F.col(value).isNull(), F.lit(1 if descending else 0)).otherwise(F.lit(0 if descending else 1))
         return F.struct(F.lit(m).alias("_m"), null_rank.alias("_null"), (-v if descending else v).alias("_v"))
 
-    reference = params.recency_mode == "reference"
+    original = params.recency_mode == "original"
     long = base.select(*BASE_COLS, F.explode(F.array(
-        entry(0, "recency", reference), entry(1, "frequency", False), entry(2, "monetary", False))).alias("_e"))
+        entry(0, "recency", original), entry(1, "frequency", False), entry(2, "monetary", False))).alias("_e"))
     long = long.select(*BASE_COLS, "_e._m", "_e._null", "_e._v")
     order = [F.col("_null").asc(), F.col("_v").asc(), F.col("user_id").asc(), F.col("created_date").asc_nulls_first()]
     ranked = dense_row_number(long, order, "_rn", partition_by=["_m"])

@@ -61,7 +61,7 @@ class Params:
 
     # RFM
     rfm_quantiles: tuple[float, float, float] = (0.25, 0.5, 0.75)
-    recency_mode: str = "reference"    # "reference" ranks recency descending, "corrected" ascending
+    recency_mode: str = "original"     # "original" ranks recency descending, "corrected" ascending
     rfm_distribution_k: int = 20
     rfm_country_min_customers: int = 10
 

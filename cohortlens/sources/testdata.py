@@ -18,7 +18,7 @@ from .tables import Tables, conform
 
 AS_OF = dt.date(2024, 2, 1)
 
-# thresholds scaled to the synthetic data (reference defaults would leave
+# thresholds scaled to the synthetic data (the default thresholds would leave
 # several reports empty or single-class)
 TEST_PARAMS = Params(
     as_of=AS_OF,

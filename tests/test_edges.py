@@ -233,3 +233,10 @@ def test_rfm_threshold_positions_round_half_away(spark):
         t = rfm.rfm_thresholds(base, P)
         want = [p if p >= 1 else None for p in positions]
         assert t["recency"] == want and t["frequency"] == [None if w is None else float(w) for w in want]
+
+
+def test_rfm_corrected_mode_uses_all_recency_scores(spark):
+    u, e = _rfm_inputs(spark, 12)
+    p = P.with_(recency_mode="corrected")
+    scores = rfm.rfm_scores(rfm.rfm_base(sessions.sessions(e, p), u, p), p).collect()
+    assert {r.R for r in scores} == {1, 2, 3, 4}
