@@ -9,6 +9,7 @@ as-is.
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 
@@ -57,3 +58,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = os.environ.get(_LOCAL_CKPT_ENV) or tempfile.mkdtemp(prefix="cohortlens-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
+
+
+def scale_settings(largest_shuffle_bytes: int, cores: int, target_partition_bytes: int = 192 << 20) -> dict[str, str]:
+    """Starting Spark settings for a cluster run of the suite.
+
+    The largest shuffle is the session recalculation's join over the event
+    table (about the events' size in bytes).  Shuffle partitions are sized
+    so one partition is ~``target_partition_bytes`` there (and never fewer
+    than 3 waves of ``cores``); AQE coalesces the smaller shuffles of the
+    other reports and splits skewed partitions at runtime.  Scan splits use
+    the same target."""
+    partitions = max(3 * cores, math.ceil(largest_shuffle_bytes / target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+    }

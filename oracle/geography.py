@@ -23,10 +23,10 @@ SQL["number_customer_country"] = with_adapter(NCC + "\nSELECT user_id, country_c
 
 SQL["top_countries"] = with_adapter(NCC + f"""
 , sized AS (SELECT country, count(user_id) AS n FROM placed GROUP BY country),
-  total AS (SELECT sum(n) AS all_n FROM sized)
-SELECT s.country, s.n AS number_customers, {R(PCT('s.n', 't.all_n'), 2)} AS percentage
-FROM sized s, total t
-ORDER BY s.n DESC, s.country ASC LIMIT 15
+  shares AS (SELECT country, n, {R(PCT('n', 'sum(n) OVER ()'), 2)} AS percentage FROM sized)
+SELECT country, n AS number_customers, percentage
+FROM shares
+ORDER BY n DESC, country ASC LIMIT 15
 """)
 
 # placed accounts x the events of their person (left join: people without events keep one row)

@@ -46,11 +46,11 @@ SQL["platform_performance"] = with_adapter(f"""
          sum(volume) / count(volume)           AS mean_volume,
          CAST(sum(fee) AS DOUBLE) / count(fee) AS mean_fee
   FROM uevents GROUP BY platform
-), everyone AS (SELECT sum(users) AS all_users FROM per_platform)
-SELECT p.platform, p.users, p.sessions,
-       {R(DIV('p.sessions', 'p.users'), 2)}        AS sessions_per_user,
-       {R('p.mean_volume', 2)}                     AS avg_volume,
-       {R('p.mean_fee', 2)}                        AS avg_fee,
-       {R(PCT('p.users', 'e.all_users'), 2)}       AS user_percentage
-FROM per_platform p, everyone e
+)
+SELECT platform, users, sessions,
+       {R(DIV('sessions', 'users'), 2)}                  AS sessions_per_user,
+       {R('mean_volume', 2)}                             AS avg_volume,
+       {R('mean_fee', 2)}                                AS avg_fee,
+       {R(PCT('users', 'sum(users) OVER ()'), 2)}        AS user_percentage
+FROM per_platform
 """)

@@ -50,13 +50,19 @@ SCORED = BASE + """
   FROM positions q LEFT JOIN ranked r ON r.monetary_rn = q.pos
 ), scored AS (
   SELECT k.*,
-    CAST(CASE WHEN k.recency < c.r1 THEN 1 WHEN k.recency >= c.r1 AND k.recency < c.r2 THEN 2
-              WHEN k.recency >= c.r2 AND k.recency < c.r3 THEN 3 ELSE 4 END AS BIGINT) AS R,
-    CAST(CASE WHEN k.frequency < f.f1 THEN 1 WHEN k.frequency >= f.f1 AND k.frequency < f.f2 THEN 2
-              WHEN k.frequency >= f.f2 AND k.frequency < f.f3 THEN 3 ELSE 4 END AS BIGINT) AS F,
-    CAST(CASE WHEN k.monetary < m.m1 THEN 1 WHEN k.monetary >= m.m1 AND k.monetary < m.m2 THEN 2
-              WHEN k.monetary >= m.m2 AND k.monetary < m.m3 THEN 3 ELSE 4 END AS BIGINT) AS M
-  FROM ranked k, cut c, cut_f f, cut_m m
+    CAST(CASE WHEN k.recency < (SELECT r1 FROM cut) THEN 1
+              WHEN k.recency >= (SELECT r1 FROM cut) AND k.recency < (SELECT r2 FROM cut) THEN 2
+              WHEN k.recency >= (SELECT r2 FROM cut) AND k.recency < (SELECT r3 FROM cut) THEN 3
+              ELSE 4 END AS BIGINT) AS R,
+    CAST(CASE WHEN k.frequency < (SELECT f1 FROM cut_f) THEN 1
+              WHEN k.frequency >= (SELECT f1 FROM cut_f) AND k.frequency < (SELECT f2 FROM cut_f) THEN 2
+              WHEN k.frequency >= (SELECT f2 FROM cut_f) AND k.frequency < (SELECT f3 FROM cut_f) THEN 3
+              ELSE 4 END AS BIGINT) AS F,
+    CAST(CASE WHEN k.monetary < (SELECT m1 FROM cut_m) THEN 1
+              WHEN k.monetary >= (SELECT m1 FROM cut_m) AND k.monetary < (SELECT m2 FROM cut_m) THEN 2
+              WHEN k.monetary >= (SELECT m2 FROM cut_m) AND k.monetary < (SELECT m3 FROM cut_m) THEN 3
+              ELSE 4 END AS BIGINT) AS M
+  FROM ranked k
 )"""
 
 SEGMENTS = SCORED + """
