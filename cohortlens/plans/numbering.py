@@ -98,7 +98,7 @@ def weighted_percentile_cont(df: DataFrame, value: str, weight: str, q: float =
     ``weight`` times (NULL values skipped).
 
     The values are first reduced to a histogram (one row per distinct value,
-    map-side combined).  When the histogram has at most ``local_max_values``
+    map-side combined) and materialised.  When the histogram has at most ``local_max_values``
     rows (checked with one bounded count), Spark's exact ``percentile``
     aggregate with the weights as frequencies finishes it — its buffer holds
     one entry per distinct value, so the check bounds it.  Beyond that bound
@@ -108,6 +108,8 @@ def weighted_percentile_cont(df: DataFrame, value: str, weight: str, q: float =
     """
     hist = (df.filter(F.col(value).isNotNull() & (F.col(weight) > 0))
             .groupBy(value).agg(F.sum(weight).cast("long").alias("_w")))
+    # written once, so the size check and the percentile both read the histogram, not the events
+    hist = reliable_checkpoint(hist)
     if local_max_values is not None and fits(hist, local_max_values):
         return hist.agg(F.percentile(F.col(value), F.lit(q), F.col("_w")).cast("double").alias(out))
     staged = _staged(hist, [F.col(value).asc()], num_partitions)
