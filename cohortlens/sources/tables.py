@@ -80,6 +80,17 @@ def read_parquet_tables(spark: SparkSession, path: str) -> Tables:
     return Tables(rd("user_info"), rd("events"), rd("geography"))
 
 
+def read_tables(spark: SparkSession, path: str, fmt: str = "parquet", options: dict | None = None) -> Tables:
+    """Read the three tables from ``path/<name>`` in any Spark source format
+    (``csv``, ``json``, ``orc``, ``parquet``...).  The declared schemas are
+    given to the reader, so text formats are parsed without a schema
+    inference pass over the data."""
+    def rd(name):
+        reader = spark.read.format(fmt).schema(SCHEMAS[name]).options(**(options or {}))
+        return conform(reader.load(f"{path.rstrip('/')}/{name}"), name)
+    return Tables(rd("user_info"), rd("events"), rd("geography"))
+
+
 def read_catalog_tables(spark: SparkSession, database: str | None = None) -> Tables:
     """Read the three tables from the session catalog (``saveAsTable`` output)."""
     prefix = f"{database}." if database else ""
