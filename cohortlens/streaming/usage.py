@@ -1,7 +1,8 @@
 """The daily platform-usage table (``platform_use`` + ``volume_use``)
 maintained from an event stream with Structured Streaming.
 
-Days are one-day tumbling event-time windows on ``datetime`` (UTC), so
+Days are one-day tumbling event-time windows on ``datetime`` (its
+wall-clock calendar day, independent of the session time zone), so
 with a watermark each day is emitted once in append mode when it can no
 longer change, and its state is dropped.  Events without a timestamp
 cannot be placed in a window and are not counted here (the batch report
@@ -18,15 +19,25 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.labels import PLATFORMS
 
 
+def _wall_clock_as_utc(c: str) -> F.Column:
+    """The TIMESTAMP_NTZ wall-clock time as the same wall-clock time in UTC,
+    so one-day windows are calendar days whatever the session time zone."""
+    t = F.col(c)
+    return F.make_timestamp(F.year(t), F.month(t), F.dayofmonth(t), F.hour(t), F.minute(t),
+                            F.date_part(F.lit("SECOND"), t), F.lit("UTC"))
+
+
 def platform_use_stream(events: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Streaming DataFrame: date, web, android, ios, volume — one row per day."""
-    ts = F.col("datetime").cast("timestamp")
-    agg = (events.withColumn("_ts", ts)
+    agg = (events.withColumn("_ts", _wall_clock_as_utc("datetime"))
            .withWatermark("_ts", watermark)
            .groupBy(F.window("_ts", "1 day").alias("_day"))
            .agg(*[F.count(F.when(F.col("platform") == p, F.lit(1))).alias(p) for p in PLATFORMS],
                 F.sum("volume").alias("volume")))
-    return agg.select(F.to_date(F.col("_day.start")).alias("date"), *PLATFORMS, "volume")
+    # the window starts at a UTC midnight; its calendar date from epoch days
+    day = F.date_add(F.lit("1970-01-01").cast("date"),
+                     F.floor(F.unix_seconds(F.col("_day.start")) / 86400).cast("int"))
+    return agg.select(day.alias("date"), *PLATFORMS, "volume")
 
 
 def start_platform_use(events: DataFrame, path: str, checkpoint: str, watermark: str = "1 day",

@@ -119,3 +119,17 @@ def test_salted_sessions_equal_unsalted_on_real_data(tables):
     plain = sorted(tuple(r) for r in sessions.session_buckets(tables.events, P).select(*cols).collect())
     salted = sorted(tuple(r) for r in sessions.session_buckets(tables.events, salted_params).select(*cols).collect())
     assert plain == salted and len(plain) > 0
+
+
+def test_batch_reports_do_not_depend_on_session_time_zone(spark, tables):
+    from cohortlens.operators import kpis
+    before = spark.conf.get("spark.sql.session.timeZone")
+    results = []
+    try:
+        for tz in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            results.append((sorted(map(tuple, kpis.peak_hours(tables.events).collect())),
+                            sorted(map(tuple, sessions.session_buckets(tables.events, P).collect()))))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert results[0] == results[1] == results[2]

@@ -41,3 +41,21 @@ def test_append_mode_writes_closed_days(spark, tmp_path):
     batch = {r.date: r.web for r in platform.platform_use(spark.read.parquet(src)).collect()}
     # every emitted day is final and equals the batch value
     assert all(batch[r.date] == r.web for r in written)
+
+
+def test_stream_days_do_not_depend_on_session_time_zone(spark, tmp_path):
+    src = str(tmp_path / "events")
+    testdata.events(spark, SF).write.parquet(src)
+    want = {r.date: r.web for r in platform.platform_use(spark.read.parquet(src)).collect()}
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for i, tz in enumerate(("America/New_York", "Asia/Tokyo")):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            stream = spark.readStream.schema(EVENTS_SCHEMA).parquet(src)
+            q = (platform_use_stream(stream).writeStream.format("memory").queryName(f"tz_usage_{i}")
+                 .outputMode("complete").option("checkpointLocation", str(tmp_path / f"ckpt{i}")).start())
+            q.processAllAvailable()
+            q.stop()
+            assert {r.date: r.web for r in spark.table(f"tz_usage_{i}").collect()} == want, tz
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
