@@ -187,10 +187,11 @@ def gaming_patterns(events: DataFrame, params: Params = DEFAULT) -> DataFrame:
          .filter(F.col("daily_events") >= params.gaming_report_min_events))
     n, hrs = F.col("daily_events"), F.col("unique_hours")
     dur = F.col("session_duration_minutes")
+    likely, possible, suspicious = params.gaming_likely, params.gaming_possible, params.gaming_suspicious
     assessment = first_match([
-        ((n > 50) & (dur < 60), F.lit(GAMING_LIKELY)),
-        ((n > 30) & (hrs <= 2), F.lit(GAMING_POSSIBLE)),
-        ((n > 20) & (dur < 30), F.lit(GAMING_SUSPICIOUS)),
+        ((n > likely[0]) & (dur < likely[1]), F.lit(GAMING_LIKELY)),
+        ((n > possible[0]) & (hrs <= possible[1]), F.lit(GAMING_POSSIBLE)),
+        ((n > suspicious[0]) & (dur < suspicious[1]), F.lit(GAMING_SUSPICIOUS)),
     ], F.lit(GAMING_NORMAL))
     return (g.withColumn("session_duration_minutes", minutes_between("_first", "_last").cast("long"))
             .select("user_id", "platform", "date", "daily_events", "unique_hours", "session_duration_minutes",

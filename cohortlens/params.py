@@ -58,6 +58,9 @@ class Params:
     gaming_min_events: int = 10
     gaming_report_min_events: int = 15
     gaming_k: int = 50
+    gaming_likely: tuple[int, int] = (50, 60)        # more than N events within fewer than M minutes
+    gaming_possible: tuple[int, int] = (30, 2)       # more than N events within at most H distinct hours
+    gaming_suspicious: tuple[int, int] = (20, 30)    # more than N events within fewer than M minutes
 
     # RFM
     rfm_quantiles: tuple[float, float, float] = (0.25, 0.5, 0.75)
