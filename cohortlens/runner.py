@@ -13,8 +13,9 @@ buckets as shuffle partitions, so the ten reports that join them on
 to ``sink(name, df)``.
 
 With ``max_parallel > 1`` independent steps run as concurrent Spark jobs
-from a thread pool (a step starts once the tables it reads exist), which
-keeps executors busy while small reports plan, schedule and finish.
+from a thread pool; derived tables and reports form one dependency graph
+(a step starts as soon as the tables it reads exist), so reports over the
+base tables run while the session and RFM chain is still being built.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ from .suite import DERIVED_TABLES, REPORTS, SHARED_TABLES, Derived
 Sink = Callable[[str, DataFrame], None]
 Hook = Callable[[str, float], None]
 
+# tables that do not depend on the event table (shareable across event views)
+ACCOUNT_SIDE_TABLES = {"number_customer_country"}
+
 # shared tables stored bucketed by this key (every reader joins on it)
 BUCKETED = {"user_event_totals": "user_id"}
 
@@ -102,18 +106,25 @@ def run_pipeline(spark: SparkSession, views: dict[str, Tables], warehouse: str,
             main.materialized[name] = spark.read.schema(df.schema).parquet(path)
         return timed(name, action)
 
-    derived = {name: materialise(name, REPORTS[name].fn) for name in DERIVED_TABLES}
-    derived.update({name: materialise(name, build) for name, build in SHARED_TABLES.items()})
-    _run_dag(derived, TABLE_DEPENDENCIES, max_parallel)
-
-    others = {v: Derived(t, params, {"number_customer_country": main.materialized["number_customer_country"]})
-              for v, t in views.items() if v != "events"}
+    steps = {name: materialise(name, REPORTS[name].fn) for name in DERIVED_TABLES}
+    steps.update({name: materialise(name, build) for name, build in SHARED_TABLES.items()})
+    deps = dict(TABLE_DEPENDENCIES)
 
     def report_step(name: str) -> Callable[[], None]:
         report = REPORTS[name]
-        d = main if report.event_view == "events" else others[report.event_view]
-        return timed(name, lambda: sink(name, report.fn(d)))
 
-    names = [n for n in REPORTS if n not in DERIVED_TABLES and (not reports or n in reports)]
-    _run_dag({n: report_step(n) for n in names}, {}, max_parallel)
+        def action() -> None:
+            if report.event_view == "events":
+                d = main
+            else:  # another event table: only tables built from accounts alone are shared
+                d = Derived(views[report.event_view], params,
+                            {k: main.materialized[k] for k in report.needs if k in ACCOUNT_SIDE_TABLES})
+            sink(name, report.fn(d))
+        return timed(name, action)
+
+    for name in REPORTS:
+        if name not in DERIVED_TABLES and (not reports or name in reports):
+            steps[name] = report_step(name)
+            deps[name] = list(REPORTS[name].needs)
+    _run_dag(steps, deps, max_parallel)
     return dict(main.materialized)

@@ -83,10 +83,11 @@ class Derived:
 class Report:
     fn: Callable[[Derived], DataFrame]
     event_view: str = "events"
+    needs: tuple[str, ...] = ()   # materialised tables it reads in a pipeline run
 
 
-def _r(fn, view: str = "events") -> Report:
-    return Report(fn, view)
+def _r(fn, view: str = "events", needs: tuple[str, ...] = ()) -> Report:
+    return Report(fn, view, needs)
 
 
 REPORTS: dict[str, Report] = {
@@ -110,51 +111,51 @@ REPORTS: dict[str, Report] = {
     "account_anomalies": _r(lambda d: ab.account_anomalies(d.tables.user_info, d.params)),
     # geography
     "number_customer_country": _r(lambda d: d.ncc),
-    "top_countries": _r(lambda d: geo.top_countries(d.ncc, d.params)),
-    "country_revenue": _r(lambda d: geo.country_revenue(d.ncc, d.tables.events, d.params, d.per_user)),
-    "country_platform_share": _r(lambda d: geo.country_platform_share(d.ncc, d.tables.user_info, d.params)),
-    "os_by_top_countries": _r(lambda d: geo.os_by_top_countries(d.ncc, d.tables.user_info, d.params)),
+    "top_countries": _r(lambda d: geo.top_countries(d.ncc, d.params), needs=("number_customer_country",)),
+    "country_revenue": _r(lambda d: geo.country_revenue(d.ncc, d.tables.events, d.params, d.per_user), needs=("number_customer_country", "user_event_totals")),
+    "country_platform_share": _r(lambda d: geo.country_platform_share(d.ncc, d.tables.user_info, d.params), needs=("number_customer_country",)),
+    "os_by_top_countries": _r(lambda d: geo.os_by_top_countries(d.ncc, d.tables.user_info, d.params), needs=("number_customer_country",)),
     "country_engagement": _r(lambda d: geo.country_engagement(d.ncc, d.tables.user_info, d.tables.events, d.params,
-                                                              d.per_user)),
+                                                              d.per_user), needs=("number_customer_country", "user_event_totals")),
     "seasonal_by_top_countries": _r(lambda d: geo.seasonal_by_top_countries(d.ncc, d.tables.events, d.params),
-                                    "orders"),
+                                    "orders", needs=("number_customer_country",)),
     "country_clusters": _r(lambda d: geo.country_clusters(d.ncc, d.tables.user_info, d.tables.events, d.params,
-                                                          d.per_user)),
-    "timezone_usage": _r(lambda d: geo.timezone_usage(d.ncc, d.tables.events, d.params, d.per_user)),
+                                                          d.per_user), needs=("number_customer_country", "user_event_totals")),
+    "timezone_usage": _r(lambda d: geo.timezone_usage(d.ncc, d.tables.events, d.params, d.per_user), needs=("number_customer_country", "user_event_totals")),
     # anchored sessions
     "events_updated": _r(lambda d: d.events_updated if d.events_updated is not None
                          else ss.events_updated(d.tables.events, d.params)),
-    "session_compare": _r(lambda d: ss.session_compare(d.tables.events, d.params, d.events_updated, d.session_stats)),
+    "session_compare": _r(lambda d: ss.session_compare(d.tables.events, d.params, d.events_updated, d.session_stats), needs=("session_key_stats",)),
     "session_user_impact": _r(lambda d: ss.session_user_impact(d.tables.events, d.params, d.events_updated,
-                                                                d.session_stats)),
+                                                                d.session_stats), needs=("session_key_stats",)),
     "session_platform_impact": _r(lambda d: ss.session_platform_impact(d.tables.events, d.params, d.events_updated,
-                                                                        d.session_stats)),
+                                                                        d.session_stats), needs=("session_key_stats",)),
     "session_daily_impact": _r(lambda d: ss.session_daily_impact(d.tables.events, d.params, d.events_updated,
-                                                                  d.session_stats)),
+                                                                  d.session_stats), needs=("session_key_stats",)),
     "gaming_patterns": _r(lambda d: ss.gaming_patterns(d.tables.events, d.params)),
     # RFM
     "rfm_base": _r(lambda d: d.rfm_base),
     "rfm_scores": _r(lambda d: d.rfm_scores),
     "rfm_segments": _r(lambda d: d.rfm_segments),
-    "segment_summary": _r(lambda d: rfm.segment_summary(d.rfm_segments)),
-    "rfm_score_distribution": _r(lambda d: rfm.rfm_score_distribution(d.rfm_segments, d.params)),
+    "segment_summary": _r(lambda d: rfm.segment_summary(d.rfm_segments), needs=("rfm_segments",)),
+    "rfm_score_distribution": _r(lambda d: rfm.rfm_score_distribution(d.rfm_segments, d.params), needs=("rfm_segments",)),
     "segment_by_country": _r(lambda d: rfm.segment_by_country(d.rfm_segments, d.tables.user_info,
-                                                              d.tables.geography, d.params)),
-    "segment_by_platform": _r(lambda d: rfm.segment_by_platform(d.rfm_segments, d.tables.user_info)),
-    "segment_lifecycle": _r(lambda d: rfm.segment_lifecycle(d.rfm_segments, d.params)),
-    "segment_transitions": _r(lambda d: rfm.segment_transitions(d.rfm_segments)),
+                                                              d.tables.geography, d.params), needs=("rfm_segments",)),
+    "segment_by_platform": _r(lambda d: rfm.segment_by_platform(d.rfm_segments, d.tables.user_info), needs=("rfm_segments",)),
+    "segment_lifecycle": _r(lambda d: rfm.segment_lifecycle(d.rfm_segments, d.params), needs=("rfm_segments",)),
+    "segment_transitions": _r(lambda d: rfm.segment_transitions(d.rfm_segments), needs=("rfm_segments",)),
     # business KPIs
     "dau_by_platform": _r(lambda d: kpi.dau_by_platform(d.tables.events)),
     "mau_growth": _r(lambda d: kpi.mau_growth(d.tables.events), "orders"),
     "acquisition_by_month": _r(lambda d: kpi.acquisition_by_month(d.tables.user_info)),
-    "revenue_metrics": _r(lambda d: kpi.revenue_metrics(d.tables.user_info, d.tables.events, d.per_user)),
-    "feature_usage": _r(lambda d: kpi.feature_usage(d.tables.user_info, d.tables.events, d.per_user)),
+    "revenue_metrics": _r(lambda d: kpi.revenue_metrics(d.tables.user_info, d.tables.events, d.per_user), needs=("user_event_totals",)),
+    "feature_usage": _r(lambda d: kpi.feature_usage(d.tables.user_info, d.tables.events, d.per_user), needs=("user_event_totals",)),
     "engagement_segments": _r(lambda d: kpi.engagement_segments(d.tables.events, d.params)),
-    "churn_status": _r(lambda d: kpi.churn_status(d.tables.user_info, d.tables.events, d.params, d.per_user)),
-    "platform_kpis": _r(lambda d: kpi.platform_kpis(d.tables.user_info, d.tables.events, d.params, d.per_user)),
+    "churn_status": _r(lambda d: kpi.churn_status(d.tables.user_info, d.tables.events, d.params, d.per_user), needs=("user_event_totals",)),
+    "platform_kpis": _r(lambda d: kpi.platform_kpis(d.tables.user_info, d.tables.events, d.params, d.per_user), needs=("user_event_totals",)),
     "weekly_trends": _r(lambda d: kpi.weekly_trends(d.tables.events), "orders"),
-    "clv_segments": _r(lambda d: kpi.clv_segments(d.tables.user_info, d.tables.events, d.params, d.per_user)),
-    "os_performance": _r(lambda d: kpi.os_performance(d.tables.user_info, d.tables.events, d.params, d.per_user)),
+    "clv_segments": _r(lambda d: kpi.clv_segments(d.tables.user_info, d.tables.events, d.params, d.per_user), needs=("user_event_totals",)),
+    "os_performance": _r(lambda d: kpi.os_performance(d.tables.user_info, d.tables.events, d.params, d.per_user), needs=("user_event_totals",)),
     "peak_hours": _r(lambda d: kpi.peak_hours(d.tables.events)),
     "cohort_revenue": _r(lambda d: kpi.cohort_revenue(d.tables.user_info, d.tables.events, d.per_user)),
 }
