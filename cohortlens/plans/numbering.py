@@ -38,16 +38,12 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)  # known schema: no footer-reading job
 
 
-def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _staged(df: DataFrame, order: list[Column], num_partitions: int | None) -> DataFrame:
-    n = _partitions(df, num_partitions)
+    # without an explicit count AQE sizes the range partitions by data volume;
+    # coalesced partitions are still contiguous key ranges in order
+    ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
     staged = (
-        df.repartitionByRange(n, *order)
+        ranged
         .sortWithinPartitions(*order)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33))
