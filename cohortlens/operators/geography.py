@@ -19,7 +19,7 @@ from ..functions.labels import (MARKET_HIGH_RISK, MARKET_HIGH_VALUE, MARKET_MEDI
                                 TIMEZONE_BANDS, TIMEZONE_UNKNOWN)
 from ..params import DEFAULT, Params
 from ..plans.broadcast import dimension
-from ..plans.fanout import join_user_events, left_weight, per_user_totals
+from ..plans.fanout import join_user_events, left_weight, per_user_totals, rows_per
 
 
 def number_customer_country(user_info: DataFrame, geography: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -36,10 +36,6 @@ def _top_countries(ncc: DataFrame, k: int) -> DataFrame:
     return F.broadcast(top)  # k rows
 
 
-def _accounts_per(ncc_or_users: DataFrame, keys: list[str], name: str) -> DataFrame:
-    return ncc_or_users.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-
-
 def top_countries(ncc: DataFrame, params: Params = DEFAULT) -> DataFrame:
     agg = ncc.groupBy("country").agg(F.count("user_id").alias("number_customers"))
     everyone = Window.partitionBy()  # one row per country
@@ -51,7 +47,7 @@ def top_countries(ncc: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 def country_revenue(ncc: DataFrame, events: DataFrame, params: Params = DEFAULT,
                     per_user: DataFrame | None = None) -> DataFrame:
-    acc = _accounts_per(ncc, ["country", "country_code", "user_id"], "_a")
+    acc = rows_per(ncc, ["country", "country_code", "user_id"], "_a")
     rows = join_user_events(acc, per_user_totals(events, per_user))
     a = F.col("_a")
     agg = (rows.groupBy("country", "country_code")
@@ -76,8 +72,8 @@ def _share_by_country(ncc: DataFrame, user_info: DataFrame, attr: str, out_count
     left = ncc.filter(F.col("user_id").isNotNull())
     if countries is not None:
         left = left.join(countries, "country", "left_semi")
-    left = _accounts_per(left, ["user_id", "country"], "_a")
-    right = _accounts_per(user_info.filter(F.col(attr).isNotNull() & F.col("user_id").isNotNull()),
+    left = rows_per(left, ["user_id", "country"], "_a")
+    right = rows_per(user_info.filter(F.col(attr).isNotNull() & F.col("user_id").isNotNull()),
                           ["user_id", attr], "_b")
     agg = (left.join(right, "user_id").groupBy("country", attr)
            .agg(F.sum(F.col("_a") * F.col("_b")).alias(out_count)))
@@ -102,8 +98,8 @@ def os_by_top_countries(ncc: DataFrame, user_info: DataFrame, params: Params = D
 
 def country_engagement(ncc: DataFrame, user_info: DataFrame, events: DataFrame,
                        params: Params = DEFAULT, per_user: DataFrame | None = None) -> DataFrame:
-    left = _accounts_per(ncc.filter(F.col("user_id").isNotNull()), ["country", "user_id"], "_a")
-    mid = _accounts_per(user_info.filter(F.col("user_id").isNotNull()),
+    left = rows_per(ncc.filter(F.col("user_id").isNotNull()), ["country", "user_id"], "_a")
+    mid = rows_per(user_info.filter(F.col("user_id").isNotNull()),
                         ["user_id", "created_date", "last_login"], "_b")
     rows = left.join(mid, "user_id").join(per_user_totals(events, per_user), "user_id", "left")
     mult = F.col("_a") * F.col("_b")
@@ -135,7 +131,7 @@ def country_engagement(ncc: DataFrame, user_info: DataFrame, events: DataFrame,
 def seasonal_by_top_countries(ncc: DataFrame, events: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Month-of-year activity (years folded together) in the top countries."""
     top = _top_countries(ncc, params.seasonal_top_countries_k)
-    left = _accounts_per(ncc.filter(F.col("user_id").isNotNull()).join(top, "country", "left_semi"),
+    left = rows_per(ncc.filter(F.col("user_id").isNotNull()).join(top, "country", "left_semi"),
                          ["country", "user_id"], "_a")
     monthly = (events.filter(F.col("user_id").isNotNull())
                .groupBy("user_id", F.month("date").cast("long").alias("month"))
@@ -153,7 +149,7 @@ def country_clusters(ncc: DataFrame, user_info: DataFrame, events: DataFrame,
                      params: Params = DEFAULT, per_user: DataFrame | None = None) -> DataFrame:
     """Country value/risk classes.  Coordinates come from NCC, which took them
     from the geography row of the same code."""
-    left = _accounts_per(ncc.filter(F.col("user_id").isNotNull()),
+    left = rows_per(ncc.filter(F.col("user_id").isNotNull()),
                          ["country", "latitude", "longitude", "user_id"], "_a")
     life = life_days(params.as_of)
     users = (user_info.filter(F.col("user_id").isNotNull()).groupBy("user_id")
@@ -193,7 +189,7 @@ def timezone_region(longitude) -> F.Column:
 def timezone_usage(ncc: DataFrame, events: DataFrame, params: Params = DEFAULT,
                    per_user: DataFrame | None = None) -> DataFrame:
     """Usage by 60-degree longitude band (Unknown bands dropped)."""
-    left = _accounts_per(ncc, ["country", "user_id", "longitude"], "_a")
+    left = rows_per(ncc, ["country", "user_id", "longitude"], "_a")
     rows = join_user_events(left, per_user_totals(events, per_user))
     per_person = rows.select(
         "user_id",

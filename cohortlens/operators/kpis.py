@@ -21,7 +21,7 @@ from ..functions.columns import (date_lit, days_between_ts, div, exact_avg, firs
                                  pct, rnd)
 from ..functions.labels import CHURN_STATUSES, CLV_SEGMENTS, ENGAGEMENT_SEGMENTS, PLATFORMS
 from ..params import DEFAULT, Params
-from ..plans.fanout import join_user_events, left_weight, per_user_totals
+from ..plans.fanout import join_user_events, left_weight, per_user_totals, rows_per
 from ..plans.numbering import weighted_percentile_cont
 
 
@@ -62,15 +62,10 @@ def acquisition_by_month(user_info: DataFrame) -> DataFrame:
     ).orderBy("acquisition_month")
 
 
-def _accounts(user_info: DataFrame, keys: list, **extra) -> DataFrame:
-    aggs = [F.count(F.lit(1)).alias("_a")] + [v.alias(k) for k, v in extra.items()]
-    return user_info.groupBy(*keys).agg(*aggs)
-
-
 def revenue_metrics(user_info: DataFrame, events: DataFrame, per_user: DataFrame | None = None) -> DataFrame:
     """One row.  The median is PERCENTILE_CONT(0.5) of fee over the joined
     rows, i.e. each event weighted by its user's number of accounts."""
-    acc = _accounts(user_info.filter(F.col("user_id").isNotNull()), ["user_id"])
+    acc = rows_per(user_info.filter(F.col("user_id").isNotNull()), ["user_id"])
     j = join_user_events(acc, per_user_totals(events, per_user))
     a = F.col("_a")
     totals = j.agg(
@@ -95,7 +90,7 @@ def revenue_metrics(user_info: DataFrame, events: DataFrame, per_user: DataFrame
 
 
 def feature_usage(user_info: DataFrame, events: DataFrame, per_user: DataFrame | None = None) -> DataFrame:
-    acc = _accounts(user_info.filter(F.col("feature").isNotNull()), ["feature", "user_id"])
+    acc = rows_per(user_info.filter(F.col("feature").isNotNull()), ["feature", "user_id"])
     j = join_user_events(acc, per_user_totals(events, per_user))
     a = F.col("_a")
     agg = j.groupBy("feature").agg(
@@ -140,7 +135,7 @@ def engagement_segments(events: DataFrame, params: Params = DEFAULT) -> DataFram
 
 def churn_status(user_info: DataFrame, events: DataFrame, params: Params = DEFAULT,
                  per_user: DataFrame | None = None) -> DataFrame:
-    acc = _accounts(user_info, ["user_id", "created_date", "last_login", "platform"])
+    acc = rows_per(user_info, ["user_id", "created_date", "last_login", "platform"])
     j = join_user_events(acc, per_user_totals(events, per_user)).filter(F.col("platform").isNotNull())
     since = F.datediff(date_lit(params.as_of), F.coalesce(F.col("last_login"), F.col("created_date")))
     d = params.churn_days
@@ -168,7 +163,7 @@ def _account_event_summary(user_info: DataFrame, events: DataFrame, key: str, pa
     """Per ``key`` value: users, active users, events, revenue, volume and the
     event-weighted average account life (shared by platform and os KPIs)."""
     life = life_days(params.as_of)
-    acc = _accounts(user_info.filter(F.col(key).isNotNull()), [key, "user_id"],
+    acc = rows_per(user_info.filter(F.col(key).isNotNull()), [key, "user_id"],
                     _ls=F.sum(life), _lc=F.count(life))
     j = join_user_events(acc, per_user_totals(events, per_user))
     a, w = F.col("_a"), left_weight()
@@ -214,7 +209,7 @@ def weekly_trends(events: DataFrame) -> DataFrame:
 
 def clv_segments(user_info: DataFrame, events: DataFrame, params: Params = DEFAULT,
                  per_user: DataFrame | None = None) -> DataFrame:
-    acc = _accounts(user_info, ["user_id", "platform", "created_date", "last_login"])
+    acc = rows_per(user_info, ["user_id", "platform", "created_date", "last_login"])
     j = join_user_events(acc, per_user_totals(events, per_user)).filter(F.col("platform").isNotNull())
     a = F.col("_a")
     rows = j.select(
@@ -265,7 +260,7 @@ def peak_hours(events: DataFrame) -> DataFrame:
 
 
 def cohort_revenue(user_info: DataFrame, events: DataFrame, per_user: DataFrame | None = None) -> DataFrame:
-    acc = _accounts(user_info.filter(F.col("created_date").isNotNull()),
+    acc = rows_per(user_info.filter(F.col("created_date").isNotNull()),
                     [F.trunc("created_date", "MM").alias("cohort_month"), "user_id"])
     j = join_user_events(acc, per_user_totals(events, per_user))
     a = F.col("_a")

@@ -23,6 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def rows_per(df: DataFrame, keys: list, name: str = "_a", **extra: F.Column) -> DataFrame:
+    """Row count (``name``) and ``extra`` aggregates per ``keys`` — the account
+    side of a fan-out join reduced to one row per report group and user."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name), *[v.alias(k) for k, v in extra.items()])
+
+
 def events_per_user(events: DataFrame) -> DataFrame:
     """One row per non-null user: event counts and sums (map-side combined)."""
     return (
