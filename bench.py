@@ -14,7 +14,8 @@ uncounted run, each key's time is the median over ``BENCH_RUNS``
 
 ``queries`` holds the per-step medians of the sequential runs and
 ``sequential_total_sec`` their sum.  The pipeline is then run with
-``BENCH_PARALLEL`` (default 4) independent steps as concurrent Spark jobs;
+``BENCH_PARALLEL`` (default: half of ``BENCH_CPUS``, at least 2) independent
+steps as concurrent Spark jobs;
 ``value`` is the median wall time of those runs (``BENCH_PARALLEL=1``
 makes ``value`` the sequential total instead).  With
 ``BENCH_NAIVE=1`` (default) four reports also run as straightforward
@@ -84,7 +85,7 @@ def main() -> None:
     results = {k: round(statistics.median(v), 3) for k, v in samples.items()}
 
     # the same pipeline with independent steps as concurrent Spark jobs
-    parallel = int(os.environ.get("BENCH_PARALLEL", "4"))
+    parallel = int(os.environ.get("BENCH_PARALLEL", str(max(2, cpus // 2))))
     parallel_walls = []
     for i in range(runs if parallel > 1 else 0):
         t = time.time()
