@@ -75,3 +75,37 @@ def test_row_number_partitioned_by_few_groups(spark):
         for i, t in enumerate(sorted((t for t in vals if t[1] == g), key=lambda t: (t[2], t[0]))):
             want[t[0]] = i + 1
     assert got == want
+
+
+def test_dimension_broadcast_only_within_counted_bound(spark):
+    import contextlib
+    import io
+
+    from cohortlens.plans.broadcast import dimension
+
+    facts = spark.range(0, 2000).selectExpr("id", "cast(id % 50 as string) AS code")
+    dim = spark.range(0, 50).selectExpr("cast(id as string) AS code", "id * 2 AS v")
+
+    def plan(df):
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain()
+        return buf.getvalue()
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # only the explicit hint may broadcast
+    try:
+        small = facts.join(dimension(dim, max_rows=100), "code")
+        large = facts.join(dimension(dim, max_rows=10), "code")
+        assert "BroadcastHashJoin" in plan(small) and "BroadcastHashJoin" not in plan(large)
+        assert small.count() == large.count() == 2000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_scale_settings_size_partitions_from_bytes():
+    from cohortlens.session import scale_settings
+
+    s = scale_settings(100 * 10 ** 12, cores=8000)
+    assert int(s["spark.sql.shuffle.partitions"]) == -(-100 * 10 ** 12 // (192 << 20))
+    assert scale_settings(10 ** 6, cores=8)["spark.sql.shuffle.partitions"] == "24"
+    assert s["spark.sql.adaptive.skewJoin.enabled"] == "true"
