@@ -20,3 +20,22 @@ def test_csv_inputs_match_parquet_inputs(spark, tmp_path):
     b = sorted(platform.platform_use(from_pq.events).collect())
     assert a == b and len(a) > 0
     assert from_csv.user_info.count() == t.user_info.count()
+
+
+def test_catalog_and_partitioned_sinks(spark, tmp_path):
+    import uuid
+
+    from cohortlens.sources.tables import read_catalog_tables
+
+    t = testdata.tables(spark, SF)
+    db = f"cl_{uuid.uuid4().hex[:8]}"
+    spark.sql(f"CREATE DATABASE {db} LOCATION '{tmp_path / 'db'}'")
+    for name, df in (("user_info", t.user_info), ("events", t.events), ("geography", t.geography)):
+        write_table(df, table=f"{db}.{name}")
+    back = read_catalog_tables(spark, db)
+    assert back.events.count() == t.events.count() and back.geography.count() == 25
+    write_table(t.events, path=str(tmp_path / "by_date"), partition_by=["date"])
+    by_date = spark.read.parquet(str(tmp_path / "by_date"))
+    day = sorted(r.date for r in t.events.select("date").distinct().collect())[0]
+    pruned = by_date.filter(by_date.date == day)
+    assert pruned.count() == t.events.filter(t.events.date == day).count()
