@@ -1,5 +1,7 @@
 """The pipeline (materialised CTAS + shared tables, concurrent steps) equals the stand-alone reports."""
 
+import pytest
+
 import __spark_entry__ as entry
 from tools.check_oracle import compare
 
@@ -10,12 +12,13 @@ from cohortlens.suite import DERIVED_TABLES, REPORTS, SHARED_TABLES
 SF = "/root/testdata/sf0.001"
 
 
-def test_pipeline_matches_standalone(spark, tmp_path):
+@pytest.mark.parametrize("max_parallel", [1, 4])
+def test_pipeline_matches_standalone(spark, tmp_path, max_parallel):
     views = {"events": testdata.tables(spark, SF), "orders": testdata.tables(spark, SF, "orders")}
     got, steps = {}, []
     derived = run_pipeline(spark, views, str(tmp_path / "wh"), testdata.TEST_PARAMS,
                            sink=lambda name, df: got.__setitem__(name, entry._decimals_as_double(df).toPandas()),
-                           on_step=lambda name, sec: steps.append(name), max_parallel=4)
+                           on_step=lambda name, sec: steps.append(name), max_parallel=max_parallel)
     for name in DERIVED_TABLES:
         got[name] = entry._decimals_as_double(derived[name]).toPandas()
     assert set(got) == set(REPORTS)
