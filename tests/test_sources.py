@@ -39,3 +39,18 @@ def test_catalog_and_partitioned_sinks(spark, tmp_path):
     day = sorted(r.date for r in t.events.select("date").distinct().collect())[0]
     pruned = by_date.filter(by_date.date == day)
     assert pruned.count() == t.events.filter(t.events.date == day).count()
+
+
+def test_command_line_runs_the_suite(spark, tmp_path):
+    from cohortlens.__main__ import main
+    from cohortlens.suite import DERIVED_TABLES, REPORTS
+
+    inp = tmp_path / "in"
+    testdata.write_tables(spark, SF, str(inp))
+    times = main(["--input", str(inp), "--warehouse", str(tmp_path / "wh"), "--output", str(tmp_path / "out"),
+                  "--as-of", "2024-02-01", "--month-events", str(inp / "order_events"), "--parallel", "2",
+                  "--param", "min_country_users=50", "--param", "engagement_classes=60,45,30,15"], spark)
+    reports = set(REPORTS) - set(DERIVED_TABLES)
+    assert reports <= set(times)
+    assert spark.read.parquet(str(tmp_path / "out" / "segment_summary")).count() > 0
+    assert spark.read.parquet(str(tmp_path / "wh" / "events_updated")).count() > 0
