@@ -4,11 +4,11 @@ intermediates in the shared folder, Arrow task helpers."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import ensure_checkpoint_dir
@@ -32,17 +32,38 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict]] | Callable,
-                schema: str | StructType, **state) -> DataFrame:
-    """``mapInArrow`` over record batches; ``fn(batch, state)`` returns a
-    dict of columns (arrays) in the order of ``schema``, or None for no rows.
-    ``state`` entries are broadcast handles or plain parameters."""
+SLICE_BYTES = 4 << 20
+
+
+def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of at most ``limit`` bytes of text (a longer
+    text is a run of its own), so a task's memory does not follow the number
+    of rows in a batch."""
+    at = batch.schema.get_field_index(column)
+    if at < 0:
+        yield batch
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    lo = size = 0
+    for k, n in enumerate(sizes.tolist()):
+        if k > lo and size + n > limit:
+            yield batch.slice(lo, k - lo)
+            lo, size = k, 0
+        size += n
+    if lo < len(sizes):
+        yield batch.slice(lo)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` over slices of record batches; ``fn(batch)`` returns a
+    dict of columns in the order of ``schema``, or None for no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(batch, state)
-            if out is not None:
-                yield pa.RecordBatch.from_pydict(out)
+            for part in text_slices(batch):
+                out = fn(part)
+                if out is not None:
+                    yield pa.RecordBatch.from_pydict(out)
 
     return df.mapInArrow(run, schema)
 
@@ -51,10 +72,6 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 
-def column_of(batch: pa.RecordBatch, column: str) -> pa.Array:
-    return batch.column(batch.schema.get_field_index(column))
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` does not have (names compare without case)."""
     taken = {c.lower() for c in df.columns}
@@ -62,13 +79,3 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
-
-
-def id_text(df: DataFrame, column: str = "doc_id"):
-    """The id column as text, for seeded splits such as crc32(id) mod 5."""
-    return df[column].cast("string")
-
-
-def stable_hash(*cols, seed: int = 0):
-    """Seeded 64-bit hash of columns (JVM side)."""
-    return F.xxhash64(F.lit(seed), *cols)

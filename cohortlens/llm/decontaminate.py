@@ -243,7 +243,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """
     state = docs.sparkSession.sparkContext.broadcast(build_automata(benchmark, window, block_words))
 
-    def score(batch: pa.RecordBatch, _: dict) -> dict:
+    def score(batch: pa.RecordBatch) -> dict:
         words, hit, items = scan_texts(texts_of(batch), state.value)
         n, n_hit = _per_document(words, hit)
         owning = [sorted(i for i in items.get(d, ()) if i is not None) for d in range(len(n))]
@@ -271,7 +271,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
     text_out, keep_out = free_name(docs, "clean_text"), free_name(docs, "stays")
     shortest = min([max_span + 1, *(k for a in state.value for k in a.bitmaps)])
 
-    def cut(batch: pa.RecordBatch, _: dict) -> dict:
+    def cut(batch: pa.RecordBatch) -> dict:
         texts = texts_of(batch)
         words, hit, _items = scan_texts(texts, state.value)
         n, n_hit = _per_document(words, hit)

@@ -27,7 +27,6 @@ from .wordarrays import SPACE_WORDS, Words, utf8
 CAPACITY = 2048
 END_ID = 1
 CACHE_WORDS = 3_000_000      # words a task keeps encoded; full: it starts anew
-SLICE_CHARS = 4_000_000      # text a task turns into words at once
 ROWS_PER_SALT = 200_000
 
 
@@ -160,32 +159,25 @@ def tokenized_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPAC
     with open(tokenizer_file, encoding="utf-8") as f:
         tokenizer = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    def cut(batch: pa.RecordBatch, _: dict) -> dict:
+    def cut(batch: pa.RecordBatch) -> dict:
         enc = _encoder(tokenizer.value, end_id)
         texts, ids_of = texts_of(batch), batch.column(0).to_pylist()
         cols: dict[str, list] = {"doc_id": [], "start": [], "length": [], "ids_crc32": [], "doc_tokens": []}
         if with_ids:
             cols["ids"] = []
-        lo = 0
-        while lo < len(texts):
-            hi, chars = lo, 0
-            while hi < len(texts) and (hi == lo or chars + len(texts[hi] or "") <= SLICE_CHARS):
-                chars += len(texts[hi] or "")
-                hi += 1
-            ids, sizes = enc.encode(texts[lo:hi])
-            at = 0
-            for d, n in zip(ids_of[lo:hi], sizes.tolist()):
-                for start in range(0, n, capacity):
-                    piece = ids[at + start:at + min(n, start + capacity)]
-                    cols["doc_id"].append(d)
-                    cols["start"].append(start)
-                    cols["length"].append(len(piece))
-                    cols["ids_crc32"].append(zlib.crc32(piece.astype("<u4", copy=False).data))
-                    cols["doc_tokens"].append(n)
-                    if with_ids:
-                        cols["ids"].append(piece.astype(np.int32))
-                at += n
-            lo = hi
+        ids, sizes = enc.encode(texts)
+        at = 0
+        for d, n in zip(ids_of, sizes.tolist()):
+            for start in range(0, n, capacity):
+                piece = ids[at + start:at + min(n, start + capacity)]
+                cols["doc_id"].append(d)
+                cols["start"].append(start)
+                cols["length"].append(len(piece))
+                cols["ids_crc32"].append(zlib.crc32(piece.astype("<u4", copy=False).data))
+                cols["doc_tokens"].append(n)
+                if with_ids:
+                    cols["ids"].append(piece.astype(np.int32))
+            at += n
         kinds = {"ids": pa.list_(pa.int32())}
         return {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in cols.items()}
 

@@ -15,6 +15,7 @@ import numpy as np
 _U = np.uint64
 _P1 = 0x9E3779B97F4A7C15
 _P2 = 0xC2B2AE3D27D4EB4F
+_STRETCH = 500_000
 
 
 def byte_class(exclude: list[tuple[int, int]]) -> np.ndarray:
@@ -91,18 +92,17 @@ class Words:
         return self.data[self.starts[i]:self.ends[i]]
 
     def fingerprints(self, base: int = _P1) -> np.ndarray:
-        """One 64-bit fingerprint a word."""
-        n = len(self.starts)
-        if n == 0:
-            return np.empty(0, dtype=np.uint64)
-        lens = self.ends - self.starts
-        first = np.zeros(n, dtype=np.int64)
-        np.cumsum(lens[:-1], out=first[1:])
-        total = int(first[-1] + lens[-1])
-        in_word = np.arange(total, dtype=np.int64) - np.repeat(first, lens)
-        at = in_word + np.repeat(self.starts, lens)
-        vals = (self.buf[at].astype(np.uint64) + _U(1)) * _powers(base, int(lens.max()))[in_word]
-        return mix(np.add.reduceat(vals, first) ^ (lens.astype(np.uint64) * _U(_P2)))
+        """One 64-bit fingerprint a word (a stretch of words at a time)."""
+        out = np.empty(len(self.starts), dtype=np.uint64)
+        for lo in range(0, len(out), _STRETCH):
+            starts, ends = self.starts[lo:lo + _STRETCH], self.ends[lo:lo + _STRETCH]
+            lens = ends - starts
+            first = np.cumsum(lens) - lens
+            in_word = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(first, lens)
+            vals = self.buf[in_word + np.repeat(starts, lens)] + _U(1)
+            vals *= _powers(base, int(lens.max()))[in_word]
+            out[lo:lo + _STRETCH] = mix(np.add.reduceat(vals, first) ^ (lens.astype(np.uint64) * _U(_P2)))
+        return out
 
 
 def run_hash(codes: np.ndarray, k: int, base: int = _P2) -> np.ndarray:
