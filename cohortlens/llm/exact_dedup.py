@@ -209,6 +209,5 @@ def keep_rows(docs: DataFrame, decided: DataFrame, sha) -> DataFrame:
     repeated = decided.filter("_copies > 1")
     if repeated.isEmpty():
         return kept
-    again = keyed.join(repeated, hit, "left_semi")
     again = keyed.join(repeated, hit, "left_semi").dropDuplicates(["doc_id", key]).drop(key)
     return kept.unionByName(again)
