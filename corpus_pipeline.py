@@ -10,15 +10,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import decontaminate, exact_dedup, packing
+from cohortlens.llm import decontaminate, exact_dedup, packing, simhash, toxicity
 from cohortlens.llm.common import materialise, read_table
 from cohortlens.llm.queries import word_tokenizer
 
 
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.drop_near_duplicates(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.remove_contamination(docs, read_table(spark, sf_dir, "benchmark"))
 
@@ -28,7 +36,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", not_toxic),
     ("exact dedup", drop_copies),
+    ("simhash near-dedup", drop_near_copies),
     ("decontamination", decontaminated),
     ("packing", packed),
 ]
