@@ -7,8 +7,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, packing, simhash, toxicity
+from . import decontaminate, exact_dedup, packing, preference, sharding, simhash, toxicity, url_rules
 from .common import read_table
 
 
@@ -30,6 +31,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return url_rules.judge_urls(pages, url_rules.mine_rules(pages, read_table(spark, sf_dir, "labels")))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id", "copies")
@@ -39,6 +45,18 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with a reply; spans as ``start:length`` lists."""
+    made = preference.format_preferences(preference.preference_pairs(read_table(spark, sf_dir, "conversations")))
+    for c in ("chosen_spans", "rejected_spans"):
+        made = made.withColumn(c, F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["length"])), ","))
+    return made
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -46,8 +64,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
+    "op3_url_rules": op3_url_rules,
     "op4_simhash": op4_simhash,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_sharding": op7_sharding,
+    "op9_preference": op9_preference,
     "op10_decontamination": op10_decontamination,
 }
 
@@ -58,4 +79,26 @@ ORACLE_SQL = {
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, t.text_sha256,
                count(*) AS copies
         FROM t JOIN g USING (text_sha256) GROUP BY ALL""",
+    # the pair of a conversation: its last reply against the reply before it
+    "op9_preference": """
+        WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn
+                   FROM (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text
+                         FROM conversations)),
+             k AS (SELECT conv_id, max(rn) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id),
+             j AS (SELECT t.conv_id, max(t.rn) AS prior FROM t JOIN k USING (conv_id)
+                   WHERE t.role = 'assistant' AND t.rn < k.last GROUP BY t.conv_id),
+             p AS (SELECT k.conv_id, k.last, a.text AS good, coalesce(b.text, '') AS bad, a.text = coalesce(b.text, '') AS same
+                   FROM k LEFT JOIN j USING (conv_id) JOIN t a ON a.conv_id = k.conv_id AND a.rn = k.last
+                   LEFT JOIN t b ON b.conv_id = k.conv_id AND b.rn = j.prior),
+             s AS (SELECT p.conv_id, string_agg('<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10), ''
+                                                ORDER BY t.rn) AS prompt
+                   FROM p JOIN t ON t.conv_id = p.conv_id AND (t.rn < p.last OR p.same AND t.rn = p.last) GROUP BY p.conv_id),
+             f AS (SELECT p.*, coalesce(s.prompt, '') AS prompt, '<|im_start|>assistant' || chr(10) AS head,
+                          '<|im_end|>' || chr(10) AS tail FROM p LEFT JOIN s USING (conv_id))
+        SELECT conv_id, CAST(CASE WHEN same THEN last ELSE last - 1 END AS INTEGER) AS n_prompt_turns, prompt,
+               CASE WHEN same THEN '' ELSE head || good || tail END AS chosen,
+               CASE WHEN same THEN '' ELSE head || bad || tail END AS rejected,
+               CASE WHEN same THEN '' ELSE length(head) || ':' || (length(good) + length(tail)) END AS chosen_spans,
+               CASE WHEN same THEN '' ELSE length(head) || ':' || (length(bad) + length(tail)) END AS rejected_spans
+        FROM f""",
 }
