@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, packing, preference, sharding, simhash, toxicity, url_rules
+from . import (decontaminate, exact_dedup, language_id, packing, preference, sharding, simhash, substring_dedup, toxicity,
+               url_rules)
 from .common import read_table
 
 
@@ -45,10 +46,20 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(language_id.training_rows(docs)))
+
+
 def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation with a reply; spans as ``start:length`` lists."""
     made = preference.format_preferences(preference.preference_pairs(read_table(spark, sf_dir, "conversations")))
@@ -67,7 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_rules": op3_url_rules,
     "op4_simhash": op4_simhash,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_sharding": op7_sharding,
+    "op8_language_id": op8_language_id,
     "op9_preference": op9_preference,
     "op10_decontamination": op10_decontamination,
 }
@@ -79,6 +92,17 @@ ORACLE_SQL = {
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, t.text_sha256,
                count(*) AS copies
         FROM t JOIN g USING (text_sha256) GROUP BY ALL""",
+    "op6_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             s AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13),
+             x AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 12], ' ')) AS h FROM s),
+             g AS (SELECT h, min(doc_id) AS low FROM x GROUP BY h HAVING min(doc_id) < max(doc_id)),
+             gone AS (SELECT DISTINCT x.doc_id, unnest(range(x.p, x.p + 13)) AS p FROM x JOIN g USING (h) WHERE x.doc_id > g.low),
+             every AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+             kept AS (SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.p) AS t, count(*) AS n
+                      FROM every e ANTI JOIN gone USING (doc_id, p) GROUP BY e.doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
     # the pair of a conversation: its last reply against the reply before it
     "op9_preference": """
         WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn
