@@ -22,6 +22,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STATED = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
           ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 MIN_SUPPORT = 0.01
+MIN_PAGES = 20           # labelled pages a rule must rest on
 MIN_CONFIDENCE = 0.8
 DEFAULT = "allow"
 _LABELS = {"label=allow": "allow", "label=block": "block"}
@@ -50,7 +51,7 @@ def url_tokens(url: Column) -> Column:
 
 
 def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
-               min_confidence: float = MIN_CONFIDENCE) -> list[tuple[list[str], str]]:
+               min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> list[tuple[list[str], str]]:
     """(tokens, verdict), best first: confidence, support, fewer tokens.
 
     Labels: ``doc_id`` names the page, quality 1 allows and 0 blocks; nulls
@@ -62,9 +63,10 @@ def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUP
     mark = F.when(F.col("quality") > 0, F.lit("label=allow")).otherwise(F.lit("label=block"))
     baskets = (pages.select(pages["page_id"].alias("doc_id"), pages["url"].alias("url")).join(marks, "doc_id")
                .select(F.array_append(url_tokens(url), mark).alias("items")))
-    if baskets.isEmpty():
+    n = baskets.count()
+    if n < min_pages or n == 0:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_pages / n)), minConfidence=min_confidence).fit(baskets)
     single = {r["items"][0]: r["freq"] for r in model.freqItemsets.filter(F.size("items") == 1).collect()}
     found = (model.associationRules.filter(F.col("consequent")[0].isin(list(_LABELS)))
              .filter((F.col("lift") > 1) & ~F.exists("antecedent", lambda t: t.startswith("label=")))
