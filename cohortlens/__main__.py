@@ -47,8 +47,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     for item in args.param:
         name, value = item.split("=", 1)
         current = getattr(params, name)
-        typed = type(current)(value) if not isinstance(current, tuple) else \
-            tuple(type(current[0])(v) for v in value.split(","))
+        if isinstance(current, tuple):
+            typed = tuple(type(current[0])(v) for v in value.split(","))
+        elif isinstance(current, dt.date):
+            typed = dt.date.fromisoformat(value)
+        else:      # fields that are unset by default are row bounds
+            typed = int(value) if current is None else type(current)(value)
         params = params.with_(**{fields[name].name: typed})
 
     tables = read_tables(spark, args.input, args.format)

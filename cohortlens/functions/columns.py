@@ -24,11 +24,14 @@ def rnd(c, n: int) -> Column:
     """Round half away from zero on doubles, identical on every engine.
 
     ``sign(x) * floor(|x| * 10^n + 0.5) / 10^n``; adding 0.0 turns -0.0
-    into 0.0.
+    into 0.0.  From 2^53 on a scaled double has no digits left to round and
+    stays as it is.
     """
     x = dbl(c)
     scale = float(10 ** n)
-    return F.signum(x) * F.floor(F.abs(x) * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale) + F.lit(0.0)
+    scaled = F.abs(x) * F.lit(scale)
+    whole = F.when(scaled < F.lit(float(1 << 53)), F.floor(scaled + F.lit(0.5)).cast("double"))
+    return F.coalesce(F.signum(x) * whole / F.lit(scale), x) + F.lit(0.0)
 
 
 EXACT_TYPE = "decimal(27,12)"

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import date_lit, dbl, div, exact, exact_avg, exact_times, first_match, month_boundaries, pct, rnd
-from ..functions.labels import SEG_AT_RISK, SEG_POTENTIAL, SEG_REGULAR, SEG_VIP, SEG_WALK_IN
+from ..functions.labels import SEG_AT_RISK, SEG_OTHER, SEG_POTENTIAL, SEG_REGULAR, SEG_VIP, SEG_WALK_IN
 from ..params import DEFAULT, Params
 from ..plans.broadcast import dimension
 from ..plans.numbering import dense_row_number
@@ -112,15 +112,17 @@ def rfm_segments(scores: DataFrame) -> DataFrame:
     """(CTAS ``rfm_segments``)  Scores 1-2 are low, 3-4 high: low frequency
     and spend -> walk-in guests; low frequency, high spend -> potential;
     otherwise (high frequency) stale high-recency scores split regular /
-    VIP by spend, and low recency scores are at risk."""
+    VIP by spend, and low recency scores are at risk.  A missing score that
+    the class depends on gives the class ``Other``."""
     r, f, m = F.col("R"), F.col("F"), F.col("M")
-    low_f, low_m, high_r = f <= 2, m <= 2, r >= 3
+    low_r, low_f, low_m = r <= 2, f <= 2, m <= 2
     segment = first_match([
-        (low_f & low_m, F.lit(SEG_WALK_IN)),
-        (low_f, F.lit(SEG_POTENTIAL)),
-        (high_r & low_m, F.lit(SEG_REGULAR)),
-        (high_r, F.lit(SEG_VIP)),
-    ], F.lit(SEG_AT_RISK))
+        (r.isNotNull() & low_f & low_m, F.lit(SEG_WALK_IN)),
+        (r.isNotNull() & low_f & ~low_m, F.lit(SEG_POTENTIAL)),
+        (~low_r & ~low_f & low_m, F.lit(SEG_REGULAR)),
+        (~low_r & ~low_f & ~low_m, F.lit(SEG_VIP)),
+        (low_r & ~low_f, F.lit(SEG_AT_RISK)),
+    ], F.lit(SEG_OTHER))
     return scores.select(
         *BASE_COLS, "R", "F", "M",
         F.concat(r.cast("string"), f.cast("string"), m.cast("string")).alias("rfm_score"),

@@ -45,14 +45,15 @@ def _bucket(params: Params) -> F.Column:
 
 
 def session_buckets(events: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """One row per (user, date, platform, bucket) with first time, sums and the
-    number of original events folded into it."""
+    """One row per (user, day, platform, bucket) with first time, sums
+    and the number of events folded into it.  Buckets are anchored within the ``date`` column; a session's own ``date``
+    is the day of its ``datetime`` (null for a null time)."""
     known = events.filter(F.col("user_id").isNotNull()).select(
         "id", "user_id", "platform", "date", "datetime", "volume", "fee")
     anchored = attach_group_min(known, SESSION_KEY, "datetime", "_first",
                                 hot_key_rows=params.hot_key_rows, hot_key_limit=params.hot_key_limit,
                                 salt_rows_per_task=params.salt_rows_per_task)
-    return (anchored.withColumn("_grp", _bucket(params))
+    return (anchored.withColumn("_grp", _bucket(params)).withColumn("date", F.to_date("datetime"))
             .groupBy("user_id", "date", "platform", "_grp")
             .agg(F.min("datetime").alias("datetime"), F.sum("volume").alias("volume"),
                  F.sum("fee").alias("fee"), F.count(F.lit(1)).alias("_events")))
@@ -79,19 +80,12 @@ def session_key_stats(events: DataFrame, params: Params = DEFAULT,
     Rows without a platform or date are dropped, as the equi-join on the
     three keys does.
 
-    Without ``events_updated`` both sides come from one bucket
-    aggregation.  With a materialised ``events_updated`` table the events
-    and the table are each aggregated to one row per key (map-side
-    combined, so hot keys are pre-reduced) and the two aggregates are
-    joined, which avoids recomputing the buckets."""
+    ``before`` sums the events by the day of their time, ``after`` the
+    recalculated ones (``events_updated``, else computed here); each side is
+    one row per key, map-side combined, before they are joined."""
     if events_updated is None:
-        st = (session_buckets(events, params)
-              .filter(F.col("platform").isNotNull() & F.col("date").isNotNull())
-              .groupBy(*SESSION_KEY)
-              .agg(F.sum("_events").alias("original_events"), F.count(F.lit(1)).alias("updated_events"),
-                   F.sum("volume").alias("original_volume"), F.sum("fee").alias("original_fee")))
-        return st.select("*", F.col("original_volume").alias("updated_volume"),
-                         F.col("original_fee").alias("updated_fee"))
+        events_updated = sessions(events, params)
+    events = events.withColumn("date", F.to_date("datetime"))
     known = F.col("platform").isNotNull() & F.col("date").isNotNull()
     original = (events.filter(F.col("user_id").isNotNull() & known).groupBy(*SESSION_KEY)
                 .agg(F.count(F.lit(1)).alias("original_events"), F.sum("volume").alias("original_volume"),

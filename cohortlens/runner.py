@@ -122,6 +122,9 @@ def run_pipeline(spark: SparkSession, views: dict[str, Tables], warehouse: str,
             sink(name, report.fn(d))
         return timed(name, action)
 
+    unknown = set(reports or ()) - set(REPORTS)
+    if unknown:
+        raise ValueError(f"unknown reports: {sorted(unknown)}")
     for name in REPORTS:
         if name not in DERIVED_TABLES and (not reports or name in reports):
             steps[name] = report_step(name)

@@ -69,16 +69,16 @@ def user_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events")
-    day = F.to_date("ts")
-    cutoff = F.date_sub(F.lit("2024-01-30").cast("date"), ((F.col("user_id") * 7) % 25).cast("int"))
+    # each user's events move back by up to 24 days, so that recency varies; every row stays
+    moved = F.col("ts") - F.make_dt_interval(days=F.coalesce((F.col("user_id") * 7) % 25, F.lit(0)).cast("int"))
     platform = (F.when(F.col("event_type").isin("view", "signup"), "web")
                 .when(F.col("event_type").isin("click", "error"), "android")
                 .when(F.col("event_type") == "purchase", "ios"))
-    df = e.filter(day <= cutoff).select(
+    df = e.select(
         F.col("event_id").alias("id"),
         F.when(F.col("event_id") % 97 == 0, F.lit(None).cast("long")).otherwise(F.col("user_id")).alias("user_id"),
-        F.col("ts").alias("datetime"),
-        day.alias("date"),
+        moved.alias("datetime"),
+        F.to_date(moved).alias("date"),
         platform.alias("platform"),
         (F.col("event_id") % 10).cast("double").alias("volume"),
         F.col("value").cast("decimal(18,2)").alias("fee"),

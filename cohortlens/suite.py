@@ -157,7 +157,7 @@ REPORTS: dict[str, Report] = {
     "clv_segments": _r(lambda d: kpi.clv_segments(d.tables.user_info, d.tables.events, d.params, d.per_user), needs=("user_event_totals",)),
     "os_performance": _r(lambda d: kpi.os_performance(d.tables.user_info, d.tables.events, d.params, d.per_user), needs=("user_event_totals",)),
     "peak_hours": _r(lambda d: kpi.peak_hours(d.tables.events)),
-    "cohort_revenue": _r(lambda d: kpi.cohort_revenue(d.tables.user_info, d.tables.events, d.per_user)),
+    "cohort_revenue": _r(lambda d: kpi.cohort_revenue(d.tables.user_info, d.tables.events, d.per_user), needs=("user_event_totals",)),
 }
 
 # derived tables the original scripts materialise, in dependency order

@@ -31,15 +31,14 @@ user_info AS (
 uevents AS (
   SELECT event_id AS id,
          CASE WHEN event_id % 97 = 0 THEN NULL ELSE user_id END AS user_id,
-         ts AS datetime,
-         CAST(ts AS DATE) AS date,
+         moved AS datetime,
+         CAST(moved AS DATE) AS date,
          CASE WHEN event_type IN ('view', 'signup') THEN 'web'
               WHEN event_type IN ('click', 'error') THEN 'android'
               WHEN event_type = 'purchase' THEN 'ios' END AS platform,
          CAST(event_id % 10 AS DOUBLE) AS volume,
          CAST(value AS DECIMAL(18,2)) AS fee
-  FROM events
-  WHERE CAST(ts AS DATE) <= CAST(DATE '2024-01-30' - CAST((user_id * 7) % 25 AS INTEGER) AS DATE)
+  FROM (SELECT *, ts - to_days(CAST(COALESCE((user_id * 7) % 25, 0) AS INTEGER)) AS moved FROM events)
 ),
 oevents AS (
   SELECT o_orderkey AS id, o_custkey AS user_id, o_orderdate AS datetime,

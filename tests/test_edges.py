@@ -3,6 +3,9 @@
 from conftest import D, T, accounts, events, geography, rows
 
 from cohortlens.operators import abuse, geography as geo, kpis, platform, retention, rfm, sessions
+from pyspark.sql import functions as F
+
+from cohortlens.functions.columns import rnd
 from cohortlens.params import Params
 
 P = Params()  # as_of 2023-04-01
@@ -30,6 +33,21 @@ def test_null_datetime_goes_to_last_bucket(spark):
     assert sorted(rows(sessions.session_buckets(e, P), "_grp")) == [(1,), (4,)]
 
 
+def test_session_day_is_the_day_of_its_time(spark):
+    e = events(spark, [dict(user_id=1, platform="web", datetime=T(2023, 1, 5, 23, 0), date=D(2023, 1, 6), volume=1.0, fee=1),
+                       dict(user_id=1, platform="web", datetime=T(2023, 1, 5, 23, 30), date=D(2023, 1, 6), volume=2.0, fee=1),
+                       dict(user_id=2, platform="web", datetime=None, date=D(2023, 1, 6), volume=4.0, fee=1)])
+    assert sorted(rows(sessions.sessions(e, P), "user_id", "date", "volume"), key=str) == [(1, D(2023, 1, 5), 3.0), (2, None, 4.0)]
+    stats = sessions.session_key_stats(e, P)
+    assert rows(stats, "date", "original_events", "updated_events") == [(D(2023, 1, 5), 2, 1)]
+
+
+def test_rounding_of_very_large_totals(spark):
+    got = spark.range(1).select(rnd(F.lit(1.2345e17), 2).alias("a"), rnd(F.lit(-1.2345e17), 2).alias("b"),
+                                rnd(F.lit(2.345), 2).alias("c"), rnd(F.lit(None).cast("double"), 2).alias("d")).first()
+    assert (got.a, got.b, got.c, got.d) == (1.2345e17, -1.2345e17, 2.35, None)
+
+
 def test_null_user_events_dropped_by_sessions_kept_in_engagement(spark):
     e = events(spark, [dict(user_id=None, platform="web", datetime=T(2023, 1, 5, 1)),
                        dict(user_id=None, platform="web", datetime=T(2023, 1, 6, 1)),
