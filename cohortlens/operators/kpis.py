@@ -5,8 +5,8 @@ Account x event reports join ``user_info`` to events on ``user_id``
 sides are reduced first — events to one row per user
 (``plans.fanout.events_per_user``), accounts to one row per report group
 and user — and the joined totals are rebuilt from counts.  Accounts
-without a user (NULL keys, which a shuffle join would send to a single
-task) bypass the join (``plans.fanout.join_user_events``).
+without a user are then one row per report group
+(``plans.fanout.join_user_events``).
 
 Averages of money and ratios are accumulated exactly (``exact_avg``) so
 they do not depend on row order.
@@ -17,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import (date_lit, days_between_ts, div, exact_avg, first_match, life_days, order_key,
-                                 pct, rnd)
+from ..functions.columns import (date_lit, days_between_ts, div, exact_avg, exact_times, first_match, life_days,
+                                 order_key, pct, rnd)
 from ..functions.labels import CHURN_STATUSES, CLV_SEGMENTS, ENGAGEMENT_SEGMENTS, PLATFORMS
 from ..params import DEFAULT, Params
 from ..plans.fanout import join_user_events, left_weight, per_user_totals, rows_per
@@ -135,19 +135,24 @@ def engagement_segments(events: DataFrame, params: Params = DEFAULT) -> DataFram
 
 def churn_status(user_info: DataFrame, events: DataFrame, params: Params = DEFAULT,
                  per_user: DataFrame | None = None) -> DataFrame:
-    acc = rows_per(user_info, ["user_id", "created_date", "last_login", "platform"])
-    j = join_user_events(acc, per_user_totals(events, per_user)).filter(F.col("platform").isNotNull())
+    """One row per (status, platform).  The status depends on the account alone,
+    so accounts become one row per (user, platform, status) before the join:
+    ``_g`` (user, dates, platform) groups with ``_a`` accounts."""
+    acc = rows_per(user_info.filter(F.col("platform").isNotNull()),
+                   ["user_id", "created_date", "last_login", "platform"])
     since = F.datediff(date_lit(params.as_of), F.coalesce(F.col("last_login"), F.col("created_date")))
     d = params.churn_days
     status = first_match([(since <= d[0], F.lit(CHURN_STATUSES[0])), (since <= d[1], F.lit(CHURN_STATUSES[1])),
                           (since <= d[2], F.lit(CHURN_STATUSES[2]))], F.lit(CHURN_STATUSES[3]))
-    rows = j.select(
-        "platform", status.alias("churn_status"), life_days(params.as_of).alias("_active"),
-        (F.col("_a") * F.coalesce(F.col("ev_ids"), F.lit(0))).alias("_events"),
-        (F.col("_a") * F.col("ev_fee")).alias("_rev"))
-    agg = rows.groupBy("churn_status", "platform").agg(
-        F.count(F.lit(1)).alias("user_count"), F.avg("_active").alias("_act"), F.avg("_events").alias("_ev"),
-        div(F.sum("_rev"), F.count("_rev")).alias("_avg_rev"))
+    life = life_days(params.as_of)
+    acc = acc.groupBy("user_id", "platform", status.alias("churn_status")).agg(
+        F.count(F.lit(1)).alias("_g"), F.sum("_a").alias("_a"), F.sum(life).alias("_ls"), F.count(life).alias("_lc"))
+    j = join_user_events(acc, per_user_totals(events, per_user))
+    a, g = F.col("_a"), F.col("_g")
+    agg = j.groupBy("churn_status", "platform").agg(
+        F.sum(g).alias("user_count"), div(F.sum("_ls"), F.sum("_lc")).alias("_act"),
+        div(F.sum(a * F.coalesce(F.col("ev_ids"), F.lit(0))), F.sum(g)).alias("_ev"),
+        div(F.sum(a * F.col("ev_fee")), F.sum(F.when(F.col("ev_fee").isNotNull(), g))).alias("_avg_rev"))
     everyone = Window.partitionBy()  # at most 4 statuses x platforms
     return agg.select(
         "churn_status", "platform", "user_count",
@@ -209,11 +214,17 @@ def weekly_trends(events: DataFrame) -> DataFrame:
 
 def clv_segments(user_info: DataFrame, events: DataFrame, params: Params = DEFAULT,
                  per_user: DataFrame | None = None) -> DataFrame:
-    acc = rows_per(user_info, ["user_id", "platform", "created_date", "last_login"])
-    j = join_user_events(acc, per_user_totals(events, per_user)).filter(F.col("platform").isNotNull())
-    a = F.col("_a")
+    """One row per (band, platform).  Band and daily rate depend on an account
+    group's size and life in days, so groups of equal size and life become one
+    row with ``_g`` of them: a user has as many rows as such pairs, however
+    many accounts."""
+    acc = rows_per(user_info.filter(F.col("platform").isNotNull()),
+                   ["user_id", "platform", "created_date", "last_login"])
+    acc = rows_per(acc, ["user_id", "platform", "_a", life_days(params.as_of).alias("_life")], "_g")
+    j = join_user_events(acc, per_user_totals(events, per_user))
+    a, g = F.col("_a"), F.col("_g")
     rows = j.select(
-        "platform", life_days(params.as_of).alias("_life"),
+        "platform", "_g", "_life",
         (a * F.coalesce(F.col("ev_ids"), F.lit(0))).alias("_tx"),
         F.coalesce(a * F.col("ev_fee"), F.lit(0)).alias("_rev"))
     c = params.clv_classes
@@ -221,13 +232,14 @@ def clv_segments(user_info: DataFrame, events: DataFrame, params: Params = DEFAU
     segment = first_match([(rev >= c[0], F.lit(CLV_SEGMENTS[0])), (rev >= c[1], F.lit(CLV_SEGMENTS[1])),
                            (rev >= c[2], F.lit(CLV_SEGMENTS[2])), (rev > c[3], F.lit(CLV_SEGMENTS[3]))],
                           F.lit(CLV_SEGMENTS[4]))
+    daily = div("_rev", "_life")
     agg = rows.groupBy(segment.alias("clv_segment"), "platform").agg(
-        F.count(F.lit(1)).alias("user_count"),
-        rnd(F.avg("_life"), 1).alias("avg_lifetime_days"),
-        rnd(F.avg("_tx"), 1).alias("avg_transactions"),
-        rnd(div(F.sum("_rev"), F.count("_rev")), 2).alias("avg_revenue"),
-        rnd(F.sum("_rev"), 2).alias("segment_total_revenue"),
-        rnd(exact_avg(div("_rev", "_life")), 3).alias("avg_daily_revenue"))
+        F.sum(g).alias("user_count"),
+        rnd(div(F.sum(g * F.col("_life")), F.sum(F.when(F.col("_life").isNotNull(), g))), 1).alias("avg_lifetime_days"),
+        rnd(div(F.sum(g * F.col("_tx")), F.sum(g)), 1).alias("avg_transactions"),
+        rnd(div(F.sum(g * rev), F.sum(g)), 2).alias("avg_revenue"),
+        rnd(F.sum(g * rev), 2).alias("segment_total_revenue"),
+        rnd(div(F.sum(exact_times(g, daily)), F.sum(F.when(daily.isNotNull(), g))), 3).alias("avg_daily_revenue"))
     return agg.orderBy(order_key("clv_segment", CLV_SEGMENTS), "platform")
 
 

@@ -76,8 +76,8 @@ class Params:
 
     # physical knobs (not semantics)
     dimension_max_rows: int | None = None  # None: Spark's size-based join choice; int: count-checked broadcast
-    hot_key_rows: int = 1_000_000      # per-key row count above which a key is salted
-    hot_key_limit: int = 10_000        # most hot keys handled by broadcast; the rest still join exactly
+    hot_key_rows: int = 1_000_000      # per-key row count above which a key is salted,
+    hot_key_limit: int = 1_000_000     # if it also has more than 1 / hot_key_limit of all rows
     salt_rows_per_task: int = 1_000_000
 
     def with_(self, **changes) -> "Params":

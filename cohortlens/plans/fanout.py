@@ -57,13 +57,9 @@ def left_weight() -> F.Column:
 
 
 def join_user_events(accounts: DataFrame, per_user: DataFrame) -> DataFrame:
-    """``accounts LEFT JOIN per_user ON user_id``.
-
-    Accounts without a user can never match, but a shuffle join would send
-    every NULL key to the same task; they bypass the join and are added
-    back with empty event columns.  Catalyst pushes each branch's NULL test
-    below the account aggregation into the scan, so each branch aggregates
-    only its own accounts."""
-    known = accounts.filter(F.col("user_id").isNotNull()).join(per_user, "user_id", "left")
-    unknown = accounts.filter(F.col("user_id").isNull())
-    return known.unionByName(unknown, allowMissingColumns=True)
+    """``accounts LEFT JOIN per_user ON user_id``, from one scan of the accounts.
+
+    ``accounts`` holds one row per report group and user, so accounts without
+    a user are at most one row per report group and their NULL key does not
+    load a task."""
+    return accounts.join(per_user, "user_id", "left")

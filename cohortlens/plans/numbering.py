@@ -26,7 +26,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .broadcast import fits
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
@@ -88,26 +87,17 @@ def dense_row_number(df: DataFrame, order: list[Column], out: str = "rn",
 
 
 def weighted_percentile_cont(df: DataFrame, value: str, weight: str, q: float = 0.5,
-                             out: str = "value", num_partitions: int | None = None,
-                             local_max_values: int | None = 1_000_000) -> DataFrame:
+                             out: str = "value", num_partitions: int | None = None) -> DataFrame:
     """One-row DataFrame: PERCENTILE_CONT(q) of ``value`` where each row counts
     ``weight`` times (NULL values skipped).
 
     The values are first reduced to a histogram (one row per distinct value,
-    map-side combined) and materialised.  When the histogram has at most ``local_max_values``
-    rows (checked with one bounded count), Spark's exact ``percentile``
-    aggregate with the weights as frequencies finishes it — its buffer holds
-    one entry per distinct value, so the check bounds it.  Beyond that bound
-    the histogram gets running weight totals across range partitions and
-    only the at most two partitions holding the interpolation points are
-    scanned with a window.
+    map-side combined), range-partitioned by value and written once.  It gets
+    running weight totals across the range partitions, and only the at most
+    two partitions holding the interpolation points are scanned with a window.
     """
     hist = (df.filter(F.col(value).isNotNull() & (F.col(weight) > 0))
             .groupBy(value).agg(F.sum(weight).cast("long").alias("_w")))
-    # written once, so the size check and the percentile both read the histogram, not the events
-    hist = reliable_checkpoint(hist)
-    if local_max_values is not None and fits(hist, local_max_values):
-        return hist.agg(F.percentile(F.col(value), F.lit(q), F.col("_w")).cast("double").alias(out))
     staged = _staged(hist, [F.col(value).asc()], num_partitions)
     offsets = _offsets(staged, F.col("_w"))
     # 0-based target positions in the expanded multiset, as scalar subqueries

@@ -4,15 +4,15 @@
 the minimum is computed with a map-side-combined aggregation (one row
 per group leaves each task) and joined back on the keys plus a salt:
 
-* every group with more than ``hot_key_rows`` rows gets
-  ``s = ceil(rows / salt_rows_per_task)`` salts (at most ``MAX_SALTS``),
-  and its statistic row is replicated for salts ``0 .. s-1``;
-* the heaviest ``hot_key_limit`` such groups (a proven bound, so
-  broadcast) tell their rows to pick a salt from a hash of the row's
-  content, spreading the group over ``s`` tasks;
-* all other rows use salt 0 — including rows of hot groups beyond the
-  limit, which still meet replica 0 — so every row is joined exactly
-  once and nothing is dropped or capped.
+* a group is hot when it has more than ``hot_key_rows`` rows and more than
+  ``1 / hot_key_limit`` of all rows.  Fewer than ``hot_key_limit`` groups can
+  have that share, so the list of hot groups is bounded without cutting it,
+  and is broadcast;
+* a hot group gets ``s = ceil(rows / salt_rows_per_task)`` salts; its rows
+  pick a salt from a hash of their content, which spreads the group over
+  ``s`` tasks, and its statistic row is replicated for salts ``0 .. s-1``;
+* all other rows use salt 0, so every row is joined exactly once and nothing
+  is dropped or capped.
 """
 
 from __future__ import annotations
@@ -22,26 +22,19 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_SALTS = 4096
-
-
-def _salts(rows_col: str, hot_key_rows: int, salt_rows_per_task: int) -> F.Column:
-    n = F.col(rows_col)
-    return (F.when(n > hot_key_rows, F.least(F.ceil(n / F.lit(salt_rows_per_task)), F.lit(MAX_SALTS)))
-            .otherwise(F.lit(1)).cast("int"))
-
 
 def attach_group_min(df: DataFrame, keys: list[str], value: str, out: str, *,
                      hot_key_rows: int, hot_key_limit: int, salt_rows_per_task: int) -> DataFrame:
     stats = df.groupBy(*keys).agg(F.min(value).alias(out), F.count(F.lit(1)).alias("_rows"))
+    share = F.coalesce(stats.agg(F.sum("_rows")).scalar(), F.lit(0)) / F.lit(hot_key_limit)
+    is_hot = (F.col("_rows") > hot_key_rows) & (F.col("_rows") > share)
+    salts = F.ceil(F.col("_rows") / F.lit(salt_rows_per_task)).cast("int")
 
     # the hot list carries the group's statistic too, so both uses of ``stats``
     # need the same aggregate and Spark computes it once (reused exchange)
-    hot = (stats.filter(F.col("_rows") > hot_key_rows)
-           .orderBy(F.col("_rows").desc()).limit(hot_key_limit)
-           .select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col(out).alias("_h_stat"),
-                   _salts("_rows", hot_key_rows, salt_rows_per_task).alias("_hs")))
-    hot = F.broadcast(hot)  # at most hot_key_limit rows
+    hot = stats.filter(is_hot).select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col(out).alias("_h_stat"),
+                                      salts.alias("_hs"))
+    hot = F.broadcast(hot)  # fewer than hot_key_limit rows, by their share
     on_hot = reduce(lambda a, b: a & b, [df[k].eqNullSafe(hot[f"_h_{k}"]) for k in keys])
     rows = (df.join(hot, on_hot, "left")
             .withColumn("_salt", F.when(F.col("_hs").isNull(), F.lit(0))
@@ -50,7 +43,7 @@ def attach_group_min(df: DataFrame, keys: list[str], value: str, out: str, *,
 
     replicas = stats.select(
         *[F.col(k).alias(f"_s_{k}") for k in keys], out,
-        F.explode(F.sequence(F.lit(0), _salts("_rows", hot_key_rows, salt_rows_per_task) - 1)).alias("_s_salt"))
+        F.explode(F.sequence(F.lit(0), F.when(is_hot, salts).otherwise(F.lit(1)) - 1)).alias("_s_salt"))
     on = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(replicas[f"_s_{k}"]) for k in keys])
     joined = rows.join(replicas, on & (rows["_salt"] == replicas["_s_salt"]), "inner")
     # hot groups take the statistic from the broadcast list (same value)

@@ -3,6 +3,7 @@
 import random
 import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.plans.numbering import dense_row_number, weighted_percentile_cont
@@ -25,15 +26,12 @@ def test_weighted_median_matches_expanded_multiset(spark):
         vals = [(float(rnd.randint(0, 40)), rnd.randint(1, 4)) for _ in range(n)]
         df = spark.createDataFrame(vals + [(None, 5)], "v double, w long")
         expanded = sorted(v for v, w in vals for _ in range(w))
-        for bound in (None, 1_000_000):  # distributed path and bounded local path
-            got = weighted_percentile_cont(df, "v", "w", 0.5, "m", 3, local_max_values=bound).collect()[0].m
-            assert got == statistics.median(expanded)
+        assert weighted_percentile_cont(df, "v", "w", 0.5, "m", 3).collect()[0].m == statistics.median(expanded)
 
 
 def test_weighted_median_empty_is_null(spark):
     df = spark.createDataFrame([(None, 1)], "v double, w long")
     assert weighted_percentile_cont(df, "v", "w").collect()[0][0] is None
-    assert weighted_percentile_cont(df, "v", "w", local_max_values=None).collect()[0][0] is None
 
 
 def test_salted_group_min_equals_plain_min(spark):
@@ -53,11 +51,13 @@ def test_salted_group_min_equals_plain_min(spark):
     assert len(got) == len(rows)
 
 
-def test_salted_group_min_with_more_hot_keys_than_limit(spark):
+@pytest.mark.parametrize("limit", [1, 3, 1000])
+def test_salted_group_min_with_many_hot_keys(spark, limit):
+    """Keys above the row count and below the share, and all of them hot."""
     rnd = random.Random(5)
     rows = [(i, ["h1", "h2", "h3", None][i % 4], rnd.randint(0, 1000)) for i in range(800)]
     df = spark.createDataFrame(rows, "id long, k string, t long")
-    got = attach_group_min(df, ["k"], "t", "m", hot_key_rows=100, hot_key_limit=1, salt_rows_per_task=30)
+    got = attach_group_min(df, ["k"], "t", "m", hot_key_rows=100, hot_key_limit=limit, salt_rows_per_task=1)
     mins = {}
     for _, k, t in rows:
         mins[k] = min(mins.get(k, t), t)
@@ -109,3 +109,21 @@ def test_scale_settings_size_partitions_from_bytes():
     assert int(s["spark.sql.shuffle.partitions"]) == -(-100 * 10 ** 12 // (192 << 20))
     assert scale_settings(10 ** 6, cores=8)["spark.sql.shuffle.partitions"] == "24"
     assert s["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_account_reports_scan_the_accounts_once(spark, tmp_path):
+    import contextlib
+    import io
+
+    from cohortlens.operators import kpis
+
+    users = spark.createDataFrame([], "user_id long, created_date date, last_login date, platform string, os string, feature string")
+    events = spark.createDataFrame([], "id long, user_id long, date date, fee decimal(18,2), volume long")
+    for name, df in (("user_info", users), ("events", events)):
+        df.write.parquet(f"{tmp_path}/{name}")
+    users, events = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("user_info", "events"))
+    for report in (kpis.churn_status, kpis.clv_segments, kpis.platform_kpis, kpis.os_performance, kpis.feature_usage):
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            report(users, events).explain()
+        assert buf.getvalue().count("FileScan parquet") == 2, report.__name__   # events and accounts, once each
