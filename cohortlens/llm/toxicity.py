@@ -289,14 +289,15 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float =
     return w[:-1], float(w[-1])
 
 
-def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve on smoothed labels."""
+def platt(margin: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic curve on smoothed labels; an example
+    counts ``cost`` times."""
     target = np.where(y > 0, ((y > 0).sum() + 1) / ((y > 0).sum() + 2), 1 / ((y < 0).sum() + 2))
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -60, 60)))
-        g = np.array([((p - target) * margin).sum(), (p - target).sum()])
-        s = p * (1 - p)
+        off, s = cost * (p - target), cost * p * (1 - p)
+        g = np.array([(off * margin).sum(), off.sum()])
         h = np.array([[(s * margin ** 2).sum(), (s * margin).sum()], [(s * margin).sum(), s.sum()]]) + 1e-3 * np.eye(2)
         step = np.linalg.solve(h, g)
         a, b = a - step[0], b - step[1]
@@ -305,10 +306,21 @@ def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 1e-3), b
 
 
-def fit(toxic: list[str], clean: list[str], rounds: int = ROUNDS) -> Machine:
+def class_costs(toxic: int, clean: int, counts: tuple[int, int] | None) -> tuple[float, float]:
+    """Cost of a toxic and of a clean text when ``toxic`` and ``clean`` texts
+    stand for ``counts`` labelled ones: true share over sampled share."""
+    true = counts if counts and min(counts) > 0 else (toxic, clean)
+    return tuple(n / sum(true) * (toxic + clean) / k for n, k in zip(true, (toxic, clean)))
+
+
+def fit(toxic: list[str], clean: list[str], rounds: int = ROUNDS, counts: tuple[int, int] | None = None) -> Machine:
     """Machine fitted on labelled texts.  Without toxic or without clean
     texts every score is near the one class seen (0.5 without any).
 
+    ``counts``: how many labelled toxic and clean texts the given ones were
+    drawn from (none: they are all).  Hinge and logistic curve weigh the
+    classes by them, so the scores keep the true share of toxic texts.
+
     Every round scores all texts with the last machine, takes each text's
     highest fragment as an example and the highest clean fragments as
     further landmarks, and fits again."""
@@ -317,6 +329,7 @@ def fit(toxic: list[str], clean: list[str], rounds: int = ROUNDS) -> Machine:
         return Machine(np.zeros(1 << 20), 0.0, 1.0, 4.0 * sign)
     landmarks = landmark_strings([symbols(t) for t in toxic], [symbols(t) for t in clean], LANDMARKS)
     texts, y = [*toxic, *clean], np.array([1.0] * len(toxic) + [-1.0] * len(clean))
+    cost = class_costs(len(toxic), len(clean), counts)
     # first round: the plain kernel to the landmarks
     map_ = Nystrom(landmarks)
     table = np.zeros(1 << 20, dtype=np.float32)
@@ -332,10 +345,10 @@ def fit(toxic: list[str], clean: list[str], rounds: int = ROUNDS) -> Machine:
         # toxic texts count with their present fragment, clean ones with all fragments so far
         x = map_.features(np.vstack([frags[y > 0], *clean_frags]))
         t = np.where(np.arange(len(x)) < len(toxic), 1.0, -1.0)
-        w, bias = squared_hinge(x, t, np.ones(len(t)))
+        w, bias = squared_hinge(x, t, np.where(t > 0, *cost))
         table = map_.table(w).astype(np.float32)
     margin = best_fragments(texts, table)[0] + bias
-    return Machine(table, bias, *platt(margin, y))
+    return Machine(table, bias, *platt(margin, y, np.where(y > 0, *cost)))
 
 
 def _runs(fragments: np.ndarray) -> list[tuple[int, ...]]:
@@ -351,11 +364,22 @@ def fold(docs: DataFrame):
     return F.coalesce(F.crc32(docs["doc_id"].cast("string").cast("binary")) % FOLDS, F.lit(TEST_FOLD))
 
 
+def labelled(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic: each labelled id outside the held-out fold once."""
+    return (labels.filter("doc_id is not null and toxic is not null").filter(fold(labels) != TEST_FOLD)
+            .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+
+
+def class_counts(labels: DataFrame) -> tuple[int, int]:
+    """Toxic and clean ids among all that are labelled outside the held-out fold."""
+    row = labelled(labels).agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
+    return row[0], row[1]
+
+
 def training_texts(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> tuple[list[str], list[str]]:
     """Bounded sample of labelled texts outside the held-out fold: of each
     class the ``per_class`` rows with the smallest seeded hash of their id."""
-    wanted = (labels.filter("doc_id is not null and toxic is not null").filter(fold(labels) != TEST_FOLD)
-              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    wanted = labelled(labels)
     order = [F.xxhash64(F.lit(11), "doc_id"), F.col("doc_id")]
     ids = wanted.filter("toxic = 1").orderBy(*order).limit(per_class).unionByName(
         wanted.filter("toxic = 0").orderBy(*order).limit(per_class))
@@ -367,8 +391,10 @@ def training_texts(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PE
     return [r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0]
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Machine:
-    return fit(*training_texts(docs, labels))
+def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> Machine:
+    """Machine fitted on the bounded sample, weighted to the class counts of
+    all labelled rows, so it does not depend on what the sample holds of each."""
+    return fit(*training_texts(docs, labels, per_class), counts=class_counts(labels))
 
 
 def toxicity_scores(docs: DataFrame, machine: Machine) -> DataFrame:

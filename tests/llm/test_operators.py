@@ -309,3 +309,20 @@ def test_toxicity(spark, none):
     assert left.columns == docs.columns
     assert left.count() == sum(not r["predicted"] for r in got.values())
     assert toxicity.fit([], ["a"]).scores(["a", None])[0] < 0.5
+
+
+def test_toxicity_keeps_the_true_share_when_capped(spark):
+    """A word in every toxic and in every second clean text: toxic in one of
+    eight texts that have it, whatever share of toxic texts is fitted on."""
+    rng = random.Random(4)
+    rows = [(i, " ".join([_prose(rng, 12), *["vornish"] * (i % 4 in (0, 1)), _prose(rng, 12)]), int(i % 16 == 0)) for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = docs.select("doc_id", "toxic")
+    with_word = [t for i, t, toxic in rows if "vornish" in t]
+    share = sum(toxic for _, t, toxic in rows if "vornish" in t) / len(with_word)
+    toxic, clean = toxicity.training_texts(docs, labels, 60)
+    assert len(toxic) == len(clean) == 60                          # both caps bind
+    got = toxicity.train(docs, labels, 60).scores(with_word)
+    assert got.mean() < 0.3 and abs(got.mean() - share) < 0.08
+    assert (got >= 0.5).mean() < 0.1
+    assert toxicity.class_costs(45, 284, (45, 284)) == (1.0, 1.0)  # uncapped: as without weights
