@@ -197,6 +197,30 @@ def test_sharding(spark, docs, none, tmp_path):
     assert Counter((r["doc_id"], r["text"]) for r in back.collect()) == Counter(_texts())
 
 
+def test_sharding_answers_from_whole_rows_in_the_shards(spark, docs, tmp_path):
+    """The columns come from the shard files, and these hold every row whole."""
+    got = sharding.shard_documents(docs, path=str(tmp_path / "shards"))
+    files = got.inputFiles()
+    assert files and all(f"{tmp_path}/shards/shard=" in f for f in files)
+    stored = spark.read.parquet(str(tmp_path / "shards"))
+    assert Counter((r["doc_id"], r["text"], r["fp"], r["id"]) for r in stored.collect()) == Counter((i, t, "xx", 1) for i, t in _texts())
+    assert Counter((r["shard"], r["slot"], r["size"]) for r in got.collect()) == Counter(
+        (r["shard"], r["slot"], len((r["text"] or "").encode()) + 1) for r in stored.collect())
+    for f in files:                                               # each file in slot order
+        slots = [r["slot"] for r in spark.read.parquet(f).collect()]
+        assert slots == sorted(slots)
+
+
+def test_sharding_buckets_by_bytes(spark, docs):
+    """A long text alone, the others by bytes as well as by rows."""
+    buckets = [[r["row"]["text"] or "" for r in b["rows"]] for b in sharding.fill_buckets(docs, bucket_bytes=2000).collect()]
+    assert sorted(t for b in buckets for t in b) == sorted(t or "" for _, t in _texts())
+    long = [b for b in buckets if any(len(t) > 50_000 for t in b)]
+    assert [len(b) for b in long] == [1] and len(buckets) > 5
+    nested = spark.createDataFrame([(1, {"a": 1}, ["x"]), (2, None, None)], "doc_id long, m map<string,int>, a array<string>")
+    assert sorted(r["doc_id"] for r in sharding.place_rows(nested).collect()) == [1, 2]
+
+
 def _verdicts(rows):
     return {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows.collect()}
 
