@@ -378,7 +378,8 @@ def class_counts(labels: DataFrame) -> tuple[int, int]:
 
 def training_texts(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> tuple[list[str], list[str]]:
     """Bounded sample of labelled texts outside the held-out fold: of each
-    class the ``per_class`` rows with the smallest seeded hash of their id."""
+    class the ``per_class`` ids with the smallest seeded hash, and of each id
+    the one text with the smallest seeded hash."""
     wanted = labelled(labels)
     order = [F.xxhash64(F.lit(11), "doc_id"), F.col("doc_id")]
     ids = wanted.filter("toxic = 1").orderBy(*order).limit(per_class).unionByName(
@@ -386,8 +387,9 @@ def training_texts(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PE
     ids = docs.sparkSession.createDataFrame(ids.collect(), "doc_id long, toxic int")   # at most 2 * per_class rows
     rows = (docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
             .filter(F.length("text").between(1, TRAIN_CHARS)).join(F.broadcast(ids), "doc_id")
-            .select("toxic", "doc_id", "text").collect())
-    rows = sorted(set(rows))[:2 * per_class * 2]
+            .groupBy("toxic", "doc_id").agg(F.min_by("text", F.struct(F.xxhash64(F.lit(11), "text"), "text")).alias("text"))
+            .collect())
+    rows.sort()
     return [r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0]
 
 

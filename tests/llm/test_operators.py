@@ -350,3 +350,15 @@ def test_toxicity_keeps_the_true_share_when_capped(spark):
     assert got.mean() < 0.3 and abs(got.mean() - share) < 0.08
     assert (got >= 0.5).mean() < 0.1
     assert toxicity.class_costs(45, 284, (45, 284)) == (1.0, 1.0)  # uncapped: as without weights
+
+
+def test_toxicity_training_takes_one_text_an_id(spark):
+    """An id with thousands of texts is one text, and drives no toxic one out."""
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5][:6]
+    rows = [(ids[0], f"clean text {k}") for k in range(200)] + [(i, f"text of {i}") for i in ids[1:]]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k >= 3)) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    toxic, clean = toxicity.training_texts(docs, labels, 3)
+    assert toxic == [f"text of {i}" for i in ids[3:]]
+    assert len(clean) == 3 and clean[0].startswith("clean text") and clean[1:] == [f"text of {i}" for i in ids[1:3]]
+    assert (toxic, clean) == toxicity.training_texts(docs.repartition(5), labels, 3)
