@@ -17,13 +17,17 @@ REPLY = "assistant"
 
 def turns_of(conversations: DataFrame, key: str = "conv_id") -> DataFrame:
     """``key``, turns: a conversation's (turn, role, text) in order of turn,
-    then role, then text.  A conversation is one value, as a document is.
+    then role, then text.  A conversation is one value, as a document is: its
+    prompt is one string, so it must fit Spark's 2 GB for a value.
 
     Null roles become ``user``, null texts are empty, null turns come first;
-    rows that repeat key, turn, role and text count once."""
+    rows that repeat key, turn, role and text count once.  Rows without a key
+    belong to no common conversation: each is one of its own and is not grouped."""
     turn = F.struct("turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = conversations.select(F.col(key), turn.alias("t")).distinct()
-    turns = rows.groupBy(key).agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    rows = conversations.select(F.col(key), turn.alias("t"))
+    keyed = rows.filter(F.col(key).isNotNull()).distinct()
+    turns = keyed.groupBy(key).agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    turns = turns.unionByName(rows.filter(F.col(key).isNull()).select(key, F.array("t").alias("turns")))
     return turns.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
 
 

@@ -268,6 +268,15 @@ def test_preference(spark):
     assert preference.format_preferences(preference.preference_pairs(frame.limit(0))).count() == 0
 
 
+def test_preference_rows_without_conversation_are_not_grouped(spark):
+    rows = [(None, k, "assistant", f"r{k}") for k in range(50)] + [(None, 1, "user", "x"), (1, 0, "user", "hi"), (1, 1, "assistant", "yo")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = preference.format_preferences(preference.preference_pairs(frame)).collect()
+    alone = [r for r in got if r["conv_id"] is None]
+    assert len(alone) == 50 and len(got) == 51 and all(r["n_prompt_turns"] == 0 and r["prompt"] == "" for r in alone)
+    assert {r["chosen"] for r in alone} == {f"<|im_start|>assistant\nr{k}<|im_end|>\n" for k in range(50)}
+
+
 def test_preference_common_prefix(spark):
     kind = "pair int, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>"
     a, b, c = ("user", "a"), ("assistant", "b"), ("assistant", "c")
