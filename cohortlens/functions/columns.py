@@ -36,24 +36,26 @@ def rnd(c, n: int) -> Column:
 
 EXACT_TYPE = "decimal(27,12)"
 COUNT_TYPE = "decimal(10,0)"
+EXACT_LIMIT = 1e12
 
 
-def exact(c) -> Column:
-    """A double as DECIMAL(27,12), so sums over it are exact and do not
-    depend on the order rows arrive in (stable under retries and across
-    engines).  27 digits leave room to multiply by a DECIMAL(10,0) count
-    within Spark's 38-digit limit without losing scale."""
-    return dbl(c).cast(EXACT_TYPE)
+def exact_sum(c, weight=None) -> Column:
+    """SUM of a double (times a whole ``weight``) that does not depend on the
+    order rows arrive in (stable under retries and across engines).
 
-
-def exact_times(count, c) -> Column:
-    """count * c, exactly (count as DECIMAL(10,0))."""
-    return col(count).cast(COUNT_TYPE) * exact(c)
+    Products below 1e12 are accumulated as decimals, exactly to 12 places; what
+    a decimal cannot hold (larger products, digits beyond the 12th place) goes
+    into a second sum of doubles, so no value raises, is lost or becomes 0."""
+    x, w = dbl(c), F.lit(1.0) if weight is None else dbl(weight)
+    held = F.when(F.abs(x * w) < F.lit(EXACT_LIMIT), x.try_cast(EXACT_TYPE))
+    product = held if weight is None else held * col(weight).try_cast(COUNT_TYPE)
+    rest = F.when(product.isNull(), x * w).otherwise((x - dbl(held)) * w)
+    return F.coalesce(dbl(F.sum(product)), F.lit(0.0)) + F.sum(rest)
 
 
 def exact_avg(c) -> Column:
-    """AVG of a double, accumulated exactly."""
-    return F.try_divide(dbl(F.sum(exact(c))), dbl(F.count(col(c))))
+    """AVG of a double, accumulated by ``exact_sum``."""
+    return F.try_divide(exact_sum(c), dbl(F.count(col(c))))
 
 
 def div(a, b) -> Column:

@@ -99,23 +99,26 @@ def os_by_top_countries(ncc: DataFrame, user_info: DataFrame, params: Params = D
 def country_engagement(ncc: DataFrame, user_info: DataFrame, events: DataFrame,
                        params: Params = DEFAULT, per_user: DataFrame | None = None) -> DataFrame:
     left = rows_per(ncc.filter(F.col("user_id").isNotNull()), ["country", "user_id"], "_a")
-    mid = rows_per(user_info.filter(F.col("user_id").isNotNull()),
-                        ["user_id", "created_date", "last_login"], "_b")
+    # a report row is a (user, created, last login) group; its values are sums over
+    # such groups, so a user's groups become one row: _g groups, _b accounts, lives
+    life = life_days(params.as_of)
+    mid = (rows_per(user_info.filter(F.col("user_id").isNotNull()), ["user_id", "created_date", "last_login"], "_b")
+           .groupBy("user_id").agg(F.count(F.lit(1)).alias("_g"), F.sum("_b").alias("_b"),
+                                   F.sum(life).alias("_ls"), F.count(life).alias("_lc")))
     rows = left.join(mid, "user_id").join(per_user_totals(events, per_user), "user_id", "left")
-    mult = F.col("_a") * F.col("_b")
-    per_person = rows.select(
-        "country",
-        life_days(params.as_of).alias("_life"),
-        (mult * F.coalesce(F.col("ev_ids"), F.lit(0))).alias("_events"),
-        (mult * F.col("ev_volume")).alias("_volume"),
-        (mult * F.col("ev_fee")).alias("_fee"))
-    agg = (per_person.groupBy("country")
-           .agg(F.count(F.lit(1)).alias("total_users"),
-                F.avg("_life").alias("_avg_life"),
-                F.avg("_events").alias("_avg_events"),
-                F.avg("_volume").alias("_avg_volume"),
-                (dbl(F.sum("_fee")) / F.count("_fee")).alias("_avg_fee"),
-                F.count(F.when(F.col("_events") > 0, F.lit(1))).alias("engaged_users"))
+    g, mult = F.col("_g"), F.col("_a") * F.col("_b")
+    seen = F.coalesce(F.col("ev_ids"), F.lit(0))
+
+    def groups(where: F.Column) -> F.Column:
+        return F.sum(F.when(where, g))
+
+    agg = (rows.groupBy("country")
+           .agg(F.sum(g).alias("total_users"),
+                div(F.sum("_ls"), F.sum("_lc")).alias("_avg_life"),
+                div(F.sum(mult * seen), F.sum(g)).alias("_avg_events"),
+                div(F.sum(mult * F.col("ev_volume")), groups(F.col("ev_volume").isNotNull())).alias("_avg_volume"),
+                div(F.sum(mult * F.col("ev_fee")), groups(F.col("ev_fee").isNotNull())).alias("_avg_fee"),
+                F.coalesce(groups(seen > 0), F.lit(0)).alias("engaged_users"))
            .filter(F.col("total_users") >= params.min_engagement_country_users))
     return agg.select(
         "country", "total_users",

@@ -17,12 +17,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import (date_lit, days_between_ts, div, exact_avg, exact_times, first_match, life_days,
+from ..functions.columns import (date_lit, days_between_ts, div, exact_avg, exact_sum, first_match, life_days,
                                  order_key, pct, rnd)
 from ..functions.labels import CHURN_STATUSES, CLV_SEGMENTS, ENGAGEMENT_SEGMENTS, PLATFORMS
 from ..params import DEFAULT, Params
 from ..plans.fanout import join_user_events, left_weight, per_user_totals, rows_per
-from ..plans.numbering import weighted_percentile_cont
+from ..plans.cells import weighted_percentile_cont, with_row
 
 
 def dau_by_platform(events: DataFrame) -> DataFrame:
@@ -77,14 +77,13 @@ def revenue_metrics(user_info: DataFrame, events: DataFrame, per_user: DataFrame
     fee_counts = (events.filter(F.col("user_id").isNotNull() & F.col("fee").isNotNull())
                   .groupBy("user_id", "fee").agg(F.count(F.lit(1)).alias("_k")))
     weighted = fee_counts.join(acc, "user_id").select("fee", (F.col("_k") * F.col("_a")).alias("_w"))
-    median = weighted_percentile_cont(weighted, "fee", "_w", 0.5, "median").select("median").scalar()
-    return totals.select(
+    return with_row(totals, weighted_percentile_cont(weighted, "fee", "_w", 0.5, "_median")).select(
         "total_users", "paying_users",
         rnd(pct("paying_users", "total_users"), 2).alias("conversion_rate"),
         rnd("_rev", 2).alias("total_revenue"),
         rnd(div("_rev", "paying_users"), 2).alias("arpu"),
         rnd(div("_rev", "_nfee"), 2).alias("avg_transaction_value"),
-        rnd(median, 2).alias("median_transaction_value"),
+        rnd("_median", 2).alias("median_transaction_value"),
         "total_transactions",
         rnd(div("total_transactions", "paying_users"), 2).alias("avg_transactions_per_user"))
 
@@ -239,7 +238,7 @@ def clv_segments(user_info: DataFrame, events: DataFrame, params: Params = DEFAU
         rnd(div(F.sum(g * F.col("_tx")), F.sum(g)), 1).alias("avg_transactions"),
         rnd(div(F.sum(g * rev), F.sum(g)), 2).alias("avg_revenue"),
         rnd(F.sum(g * rev), 2).alias("segment_total_revenue"),
-        rnd(div(F.sum(exact_times(g, daily)), F.sum(F.when(daily.isNotNull(), g))), 3).alias("avg_daily_revenue"))
+        rnd(div(exact_sum(daily, g), F.sum(F.when(daily.isNotNull(), g))), 3).alias("avg_daily_revenue"))
     return agg.orderBy(order_key("clv_segment", CLV_SEGMENTS), "platform")
 
 

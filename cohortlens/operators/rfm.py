@@ -3,74 +3,62 @@
 ``rfm_base`` joins recalculated events to accounts on ``user_id`` (one
 row per (user, created_date), totals multiplied by the number of such
 accounts, as the join does) after reducing events to one row per user.
-Its three row numbers come from one distributed sort
-(``plans.numbering``, numbered per metric).
+Its three row numbers come from cells of values (``plans.cells``): one
+shuffle by cell a number, nothing expanded or written.
 
 ``rfm_scores`` compares each value with the value found at row
 ``round(p * N)`` of each ordering.  In the default ``original`` mode
 recency is ordered descending while the CASE assumes ascending
 thresholds, so R only takes the values 1 and 4; ``corrected`` orders
-recency ascending.  The nine thresholds come from two one-row
-aggregations and enter the scoring as literals (no cross join).
+recency ascending.  The nine thresholds are order statistics of three value
+columns found together, without row numbers, and join the scoring as one row
+(no job before the caller's action).
 """
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import date_lit, dbl, div, exact, exact_avg, exact_times, first_match, month_boundaries, pct, rnd
+from ..functions.columns import date_lit, dbl, div, exact_avg, exact_sum, first_match, month_boundaries, pct, rnd
 from ..functions.labels import SEG_AT_RISK, SEG_OTHER, SEG_POTENTIAL, SEG_REGULAR, SEG_VIP, SEG_WALK_IN
 from ..params import DEFAULT, Params
 from ..plans.broadcast import dimension
-from ..plans.numbering import dense_row_number
+from ..plans.cells import numbered, order_statistics, with_row
 
 BASE_COLS = ["user_id", "created_date", "recency", "frequency", "monetary"]
 
 
-def rfm_base(events_updated: DataFrame, user_info: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """(CTAS ``rfm_base``)  ``events_updated`` may come with or without ``id``."""
+def rfm_values(events_updated: DataFrame, user_info: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """The metrics of ``rfm_base`` without row numbers: all that scores and
+    segments need.  ``events_updated`` may come with or without ``id``."""
     n_col = F.count("id") if "id" in events_updated.columns else F.count(F.lit(1))
     per_user = (events_updated.filter(F.col("user_id").isNotNull()).groupBy("user_id")
                 .agg(n_col.alias("_n"), F.sum("fee").alias("_f"), F.max("date").alias("_last")))
     accounts = (user_info.filter(F.col("user_id").isNotNull())
                 .groupBy("user_id", "created_date").agg(F.count(F.lit(1)).alias("_a")))
     months = month_boundaries(params.as_of)
-    base = accounts.join(per_user, "user_id").select(
+    return accounts.join(per_user, "user_id").select(
         "user_id", "created_date",
         F.datediff(date_lit(params.as_of), F.col("_last")).cast("long").alias("recency"),
         div(F.col("_a") * F.col("_n"), months).alias("frequency"),
         div(F.col("_a") * F.col("_f"), months).alias("monetary"))
-    return _ranked(base, params)
 
 
-def _ranked(base: DataFrame, params: Params) -> DataFrame:
-    """The three ROW_NUMBERs in one distributed sort.
+def _orders(params: Params) -> dict[str, tuple[F.Column, bool]]:
+    """metric -> (value to rank ascending, nulls first): recency is descending
+    with nulls last in original mode, the others ascend with nulls first."""
+    original = params.recency_mode == "original"
+    recency = dbl("recency")
+    return {"recency": (-recency if original else recency, not original),
+            "frequency": (dbl("frequency"), True), "monetary": (dbl("monetary"), True)}
 
-    Each row becomes three (metric, null-rank, value) rows; sorting on
-    (metric, null-rank, value, user_id, created_date) and numbering per
-    metric gives all three orders at once (recency descending with NULLs
-    last in original mode, the others ascending with NULLs first), and
-    one grouping on the row key folds them back."""
-    def entry(m: int, value: str, descending: bool) -> F.Column:
-        v = F.col(value).cast("double")
-        null_rank = F.when(F.col(value).isNull(), F.lit(1 if descending else 0)).otherwise(F.lit(0 if descending else 1))
-        return F.struct(F.lit(m).alias("_m"), null_rank.alias("_null"), (-v if descending else v).alias("_v"))
 
-    original = params.recency_mode == "original"
-    long = base.select(*BASE_COLS, F.explode(F.array(
-        entry(0, "recency", original), entry(1, "frequency", False), entry(2, "monetary", False))).alias("_e"))
-    long = long.select(*BASE_COLS, "_e._m", "_e._null", "_e._v")
-    order = [F.col("_null").asc(), F.col("_v").asc(), F.col("user_id").asc(), F.col("created_date").asc_nulls_first()]
-    ranked = dense_row_number(long, order, "_rn", partition_by=["_m"])
-    rn = {i: F.max(F.when(F.col("_m") == i, F.col("_rn"))) for i in range(3)}
-    return ranked.groupBy("user_id", "created_date").agg(
-        F.max("recency").alias("recency"), F.max("frequency").alias("frequency"), F.max("monetary").alias("monetary"),
-        rn[0].alias("recency_rn"), rn[1].alias("frequency_rn"), rn[2].alias("monetary_rn"),
-    ).select(*BASE_COLS, "recency_rn", "frequency_rn", "monetary_rn")
+def rfm_base(events_updated: DataFrame, user_info: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """(CTAS ``rfm_base``)  ``rfm_values`` with the three row numbers."""
+    ranks = {f"{m}_rn": order for m, order in _orders(params).items()}
+    out = numbered(rfm_values(events_updated, user_info, params), ranks, ["user_id", "created_date"])
+    return out.select(*BASE_COLS, *ranks)
 
 
 def _score(value: F.Column, t: list[F.Column]) -> F.Column:
@@ -81,28 +69,40 @@ def _score(value: F.Column, t: list[F.Column]) -> F.Column:
     ], F.lit(4)).cast("long")
 
 
+METRICS = ("recency", "frequency", "monetary")
+
+
+def threshold_row(base: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """One row, columns ``{metric}{i}``: for each metric, the value at row
+    ``round(p_i * N)`` of its ordering (``CAST(p * N AS INT64)`` rounds half
+    away from zero); null where that row does not exist.
+
+    A ``base`` with row numbers (a written ``rfm_base``) is asked for those rows;
+    else the values are selected from cells."""
+    ranks = [f"{m}_rn" for m in METRICS]
+    if set(ranks) <= set(base.columns):
+        counted = with_row(base, base.agg(F.count(F.lit(1)).alias("_rows")))
+        return counted.agg(*[
+            F.max(F.when(F.col(f"{m}_rn") == F.floor(F.lit(float(p)) * F.col("_rows") + F.lit(0.5)), F.col(m))).alias(f"{m}{i}")
+            for m in METRICS for i, p in enumerate(params.rfm_quantiles)])
+    found = order_statistics(base, _orders(params), params.rfm_quantiles)
+    recency = -1 if params.recency_mode == "original" else 1
+    return found.select(*[(F.col(f"{m}{i}") * recency).cast("long").alias(f"{m}{i}") if m == "recency" else F.col(f"{m}{i}")
+                          for m in METRICS for i in range(len(params.rfm_quantiles))])
+
+
 def rfm_thresholds(base: DataFrame, params: Params = DEFAULT) -> dict[str, list]:
-    """The nine score thresholds: for each metric, the value at row
-    ``round(p * N)`` of its ordering (``CAST(p * N AS INT64)`` rounds half
-    away from zero); ``None`` where that row does not exist.
-
-    Two one-row aggregations (N, then all nine values in one pass over the
-    rows at those positions); only those scalars reach the driver."""
-    n = base.agg(F.count("user_id")).first()[0]
-    ks = [math.floor(p * n + 0.5) for p in params.rfm_quantiles]
-    metrics = ("recency", "frequency", "monetary")
-    picks = [F.max(F.when(F.col(f"{m}_rn") == k, F.col(m))).alias(f"{m}{i}")
-             for m in metrics for i, k in enumerate(ks)]
-    at_positions = reduce(lambda a, b: a | b, [F.col(f"{m}_rn").isin(ks) for m in metrics])
-    row = base.filter(at_positions).agg(*picks).first()
-    return {m: [row[f"{m}{i}"] for i in range(len(ks))] for m in metrics}
+    """The nine thresholds as values (runs the query; for inspection)."""
+    row = threshold_row(base, params).first()
+    return {m: [row[f"{m}{i}"] for i in range(len(params.rfm_quantiles))] for m in METRICS}
 
 
 def rfm_scores(base: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """(CTAS ``rfm_scores``)"""
-    t = {m: [F.lit(v) for v in vals] for m, vals in rfm_thresholds(base, params).items()}
-    return base.select(
-        "*",
+    """(CTAS ``rfm_scores``)  ``base`` with or without row numbers."""
+    cut = threshold_row(base, params)
+    t = {m: [F.col(f"_{m}{i}") for i in range(len(params.rfm_quantiles))] for m in METRICS}
+    return with_row(base, cut.select(*[F.col(c).alias(f"_{c}") for c in cut.columns])).select(
+        *base.columns,
         _score(F.col("recency"), t["recency"]).alias("R"),
         _score(F.col("frequency"), t["frequency"]).alias("F"),
         _score(F.col("monetary"), t["monetary"]).alias("M"))
@@ -133,7 +133,7 @@ def segment_summary(segments: DataFrame) -> DataFrame:
     agg = segments.groupBy("customer_segment").agg(
         F.count(F.lit(1)).alias("customer_count"),
         F.avg("recency").alias("_r"), exact_avg("frequency").alias("_f"), exact_avg("monetary").alias("_m"),
-        F.sum(exact("monetary")).alias("_sm"))
+        exact_sum("monetary").alias("_sm"))
     everyone = Window.partitionBy()  # one row per segment
     return agg.select(
         "customer_segment", "customer_count",
@@ -154,14 +154,19 @@ def rfm_score_distribution(segments: DataFrame, params: Params = DEFAULT) -> Dat
 
 def _weighted(segments: DataFrame, accounts: DataFrame, keys: list[str], metrics: dict[str, str],
               count_name: str) -> DataFrame:
-    """Aggregate segments joined to accounts (one row per account) without the fan-out:
-    each segment row carries the number ``_a`` of matching accounts."""
-    j = segments.join(accounts, "user_id")
+    """Aggregate segments joined to accounts (one row per account) without the
+    fan-out: segments become one row per (user, segment) with their sums,
+    accounts one row per (user, group) with their number ``_a``, and the joined
+    totals are products of both."""
+    per_user = segments.groupBy("user_id", "customer_segment").agg(
+        F.count(F.lit(1)).alias("_k"),
+        *[exact_sum(m).alias(f"_s_{out}") for out, m in metrics.items()],
+        *[F.count(m).alias(f"_n_{out}") for out, m in metrics.items()])
     a = F.col("_a")
-    aggs = [F.sum(a).alias(count_name)]
-    for out, m in metrics.items():
-        aggs += [F.sum(exact_times(a, m)).alias(f"_s_{out}"), F.sum(F.when(F.col(m).isNotNull(), a)).alias(f"_n_{out}")]
-    return j.groupBy(*keys).agg(*aggs)
+    aggs = [F.sum(a * F.col("_k")).alias(count_name)]
+    for out in metrics:
+        aggs += [exact_sum(f"_s_{out}", a).alias(f"_s_{out}"), F.sum(a * F.col(f"_n_{out}")).alias(f"_n_{out}")]
+    return per_user.join(accounts, "user_id").groupBy(*keys).agg(*aggs)
 
 
 def segment_by_country(segments: DataFrame, user_info: DataFrame, geography: DataFrame,
@@ -169,7 +174,8 @@ def segment_by_country(segments: DataFrame, user_info: DataFrame, geography: Dat
     accounts = (user_info.filter(F.col("user_id").isNotNull())
                 .groupBy("user_id", "mp_country_code").agg(F.count(F.lit(1)).alias("_a")))
     g = dimension(geography.select("code", "country"), params.dimension_max_rows)
-    accounts = accounts.join(g, accounts["mp_country_code"] == g["code"]).select("user_id", "country", "_a")
+    accounts = (accounts.join(g, accounts["mp_country_code"] == g["code"])
+                .groupBy("user_id", "country").agg(F.sum("_a").alias("_a")))
     agg = (_weighted(segments, accounts, ["country", "customer_segment"], {"m": "monetary"}, "customer_count")
            .filter(F.col("customer_count") >= params.rfm_country_min_customers))
     return agg.select(

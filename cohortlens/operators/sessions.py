@@ -3,10 +3,10 @@
 Events of one (user, platform, date) are bucketed by their offset from
 the group's *first* event: [0, 6h) -> 1, [6h, 12h] -> 2, (12h, 18h] -> 3,
 anything later (or a NULL time) -> 4.  Neither ``window`` nor
-``session_window`` gives this anchoring, so the group minimum is
-computed by aggregation and attached back with a hot-key-salted join
-(``plans.skew``), the buckets are aggregated (partial aggregation first),
-and the global ``id`` is a distributed row number (``plans.numbering``).
+``session_window`` gives this anchoring, so the group minimum comes
+from one window whose hot groups are salted (``plans.skew``), the buckets are
+aggregated in the window's tasks before they are shuffled, and the global
+``id`` is a row number over cells of users (``plans.cells``).
 
 The impact reports need, per (user, platform, date), the original and
 the recalculated event counts.  Both come out of the same bucket
@@ -27,7 +27,7 @@ from ..functions.columns import div, first_match, minutes_between, pct, rnd
 from ..functions.labels import (GAMING_LIKELY, GAMING_NORMAL, GAMING_POSSIBLE, GAMING_SUSPICIOUS,
                                 SESSION_USER_CATEGORIES)
 from ..params import DEFAULT, Params
-from ..plans.numbering import dense_row_number
+from ..plans.cells import numbered
 from ..plans.skew import attach_group_min
 
 SESSION_KEY = ["user_id", "platform", "date"]
@@ -68,10 +68,9 @@ def events_updated(events: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Recalculated events with ``id`` = 1..N by (user, date, bucket, platform).
     (CTAS ``events_updated``; platform is added to the order so ids are
     deterministic.)"""
-    order = [F.col("user_id").asc_nulls_first(), F.col("date").asc_nulls_first(), F.col("_grp").asc(),
-             F.col("platform").asc_nulls_first()]
-    numbered = dense_row_number(session_buckets(events, params), order, "id")
-    return numbered.select("id", "user_id", "date", "datetime", "platform", "volume", "fee")
+    out = numbered(session_buckets(events, params).drop("_events"), {"id": (F.col("user_id"), True)}, ["date", "_grp", "platform"],
+                   edges_from=events.filter(F.col("user_id").isNotNull()))
+    return out.select("id", "user_id", "date", "datetime", "platform", "volume", "fee")
 
 
 def session_key_stats(events: DataFrame, params: Params = DEFAULT,
@@ -80,13 +79,19 @@ def session_key_stats(events: DataFrame, params: Params = DEFAULT,
     Rows without a platform or date are dropped, as the equi-join on the
     three keys does.
 
-    ``before`` sums the events by the day of their time, ``after`` the
-    recalculated ones (``events_updated``, else computed here); each side is
-    one row per key, map-side combined, before they are joined."""
+    Stand-alone, both sides come from one pass: a bucket carries the number of
+    events folded into it, so per key the buckets count the recalculated events
+    and their contents the original ones; a bucket's volume and fee are the
+    sums of its events, so their total is the total on either side.  With a
+    written ``events_updated``, ``updated`` sums that table, each side one row
+    per key, map-side combined, before they are joined."""
+    known = F.col("platform").isNotNull() & F.col("date").isNotNull()
     if events_updated is None:
-        events_updated = sessions(events, params)
+        return (session_buckets(events, params).filter(known).groupBy(*SESSION_KEY)
+                .agg(F.sum("_events").alias("original_events"), F.sum("volume").alias("original_volume"),
+                     F.sum("fee").alias("original_fee"), F.count(F.lit(1)).alias("updated_events"),
+                     F.sum("volume").alias("updated_volume"), F.sum("fee").alias("updated_fee")))
     events = events.withColumn("date", F.to_date("datetime"))
-    known = F.col("platform").isNotNull() & F.col("date").isNotNull()
     original = (events.filter(F.col("user_id").isNotNull() & known).groupBy(*SESSION_KEY)
                 .agg(F.count(F.lit(1)).alias("original_events"), F.sum("volume").alias("original_volume"),
                      F.sum("fee").alias("original_fee")))

@@ -1,4 +1,4 @@
-"""Global row numbers and order statistics without a single-task window.
+"""Global row numbers over any order without a single-task window.
 
 ``row_number() OVER (ORDER BY ...)`` with no PARTITION BY makes Spark move
 every row into one task.  Instead:
@@ -14,7 +14,8 @@ every row into one task.  Instead:
    turn the counts into offsets with a tiny window, broadcast them and
    add them to the local positions.
 
-Order statistics reuse steps 1-4 on a value histogram.
+``plans.cells`` numbers by the values of one column without a write; this way
+takes any list of sort expressions.
 """
 
 from __future__ import annotations
@@ -84,37 +85,3 @@ def dense_row_number(df: DataFrame, order: list[Column], out: str = "rn",
     return (staged.join(offsets, on)
             .withColumn(out, (F.col("_offset") + F.col("_local") - F.col("_start") + 1).cast("long"))
             .drop("_pid", "_local", "_offset", "_start", "_o_pid", *[f"_o_{g}" for g in groups]))
-
-
-def weighted_percentile_cont(df: DataFrame, value: str, weight: str, q: float = 0.5,
-                             out: str = "value", num_partitions: int | None = None) -> DataFrame:
-    """One-row DataFrame: PERCENTILE_CONT(q) of ``value`` where each row counts
-    ``weight`` times (NULL values skipped).
-
-    The values are first reduced to a histogram (one row per distinct value,
-    map-side combined), range-partitioned by value and written once.  It gets
-    running weight totals across the range partitions, and only the at most
-    two partitions holding the interpolation points are scanned with a window.
-    """
-    hist = (df.filter(F.col(value).isNotNull() & (F.col(weight) > 0))
-            .groupBy(value).agg(F.sum(weight).cast("long").alias("_w")))
-    staged = _staged(hist, [F.col(value).asc()], num_partitions)
-    offsets = _offsets(staged, F.col("_w"))
-    # 0-based target positions in the expanded multiset, as scalar subqueries
-    n = offsets.agg(F.sum("_part_total")).scalar()
-    rank = (n - 1) * F.lit(q)
-    lo_pos, hi_pos, frac = F.floor(rank), F.ceil(rank), rank - F.floor(rank)
-    end_ = F.col("_offset") + F.col("_part_total")
-    hit = offsets.filter(((lo_pos >= F.col("_offset")) & (lo_pos < end_))
-                         | ((hi_pos >= F.col("_offset")) & (hi_pos < end_)))
-    # at most two partitions survive; the window runs over them only
-    cand = staged.join(F.broadcast(hit.select("_pid", "_offset")), "_pid")
-    run = Window.partitionBy("_pid").orderBy("_local").rowsBetween(Window.unboundedPreceding, 0)
-    cand = cand.withColumn("_end", F.col("_offset") + F.sum("_w").over(run))
-    cand = cand.withColumn("_start", F.col("_end") - F.col("_w"))
-    lo = F.max(F.when((lo_pos >= F.col("_start")) & (lo_pos < F.col("_end")), F.col(value)))
-    hi = F.max(F.when((hi_pos >= F.col("_start")) & (hi_pos < F.col("_end")), F.col(value)))
-    picked = cand.agg(lo.cast("double").alias("_vlo"), hi.cast("double").alias("_vhi"),
-                      F.max(frac).alias("_frac"))
-    return picked.select(
-        (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias(out))

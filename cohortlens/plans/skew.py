@@ -1,51 +1,64 @@
-"""Attach a per-group statistic to every row without a hot-key straggler.
-
-``MIN(x) OVER (PARTITION BY keys)`` puts a whole group into one task.  Here
-the minimum is computed with a map-side-combined aggregation (one row
-per group leaves each task) and joined back on the keys plus a salt:
-
-* a group is hot when it has more than ``hot_key_rows`` rows and more than
-  ``1 / hot_key_limit`` of all rows.  Fewer than ``hot_key_limit`` groups can
-  have that share, so the list of hot groups is bounded without cutting it,
-  and is broadcast;
-* a hot group gets ``s = ceil(rows / salt_rows_per_task)`` salts; its rows
-  pick a salt from a hash of their content, which spreads the group over
-  ``s`` tasks, and its statistic row is replicated for salts ``0 .. s-1``;
-* all other rows use salt 0, so every row is joined exactly once and nothing
-  is dropped or capped.
+"""Attach a per-group minimum to every row with one shuffle and no hot-key straggler.
+
+``MIN(x) OVER (PARTITION BY keys)`` puts a whole group into one task, so hot
+groups take another way:
+
+* hot test: key columns alone of every n-th row are counted, about
+  ``SAMPLE_ROWS`` rows a hot group.  A group is hot above ``hot_key_rows`` rows
+  when it also holds more than ``1 / hot_key_limit`` of the rows of all such
+  groups; fewer than ``hot_key_limit`` groups can, so their list is bounded
+  without cutting it, and is broadcast.  The sample decides the way a group
+  takes, never its result;
+* a hot group's minimum is a map-side-combined aggregate over the rows of hot
+  groups only, broadcast with their list;
+* all rows then go through one window by keys and a salt.  Cold rows have salt
+  0 and take the window's minimum; rows of hot groups spread over
+  ``ceil(rows / salt_rows_per_task)`` salts by a hash of their content and take
+  the group's minimum.
+
+A table that by Spark's own estimate is smaller than ``hot_key_rows`` rows of
+``ROW_BYTES`` bytes is not tested: none of its groups can be hot.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SAMPLE_ROWS = 1000
+ROW_BYTES = 8
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_h_{k}"]) for k in keys])
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate (file sizes for scans); reads no data."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
 
 def attach_group_min(df: DataFrame, keys: list[str], value: str, out: str, *,
                      hot_key_rows: int, hot_key_limit: int, salt_rows_per_task: int) -> DataFrame:
-    stats = df.groupBy(*keys).agg(F.min(value).alias(out), F.count(F.lit(1)).alias("_rows"))
-    share = F.coalesce(stats.agg(F.sum("_rows")).scalar(), F.lit(0)) / F.lit(hot_key_limit)
-    is_hot = (F.col("_rows") > hot_key_rows) & (F.col("_rows") > share)
-    salts = F.ceil(F.col("_rows") / F.lit(salt_rows_per_task)).cast("int")
-
-    # the hot list carries the group's statistic too, so both uses of ``stats``
-    # need the same aggregate and Spark computes it once (reused exchange)
-    hot = stats.filter(is_hot).select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col(out).alias("_h_stat"),
-                                      salts.alias("_hs"))
-    hot = F.broadcast(hot)  # fewer than hot_key_limit rows, by their share
-    on_hot = reduce(lambda a, b: a & b, [df[k].eqNullSafe(hot[f"_h_{k}"]) for k in keys])
-    rows = (df.join(hot, on_hot, "left")
-            .withColumn("_salt", F.when(F.col("_hs").isNull(), F.lit(0))
-                        .otherwise(F.pmod(F.xxhash64(*[df[c] for c in df.columns]), F.col("_hs")).cast("int")))
-            .drop("_hs", *[f"_h_{k}" for k in keys]))
-
-    replicas = stats.select(
-        *[F.col(k).alias(f"_s_{k}") for k in keys], out,
-        F.explode(F.sequence(F.lit(0), F.when(is_hot, salts).otherwise(F.lit(1)) - 1)).alias("_s_salt"))
-    on = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(replicas[f"_s_{k}"]) for k in keys])
-    joined = rows.join(replicas, on & (rows["_salt"] == replicas["_s_salt"]), "inner")
-    # hot groups take the statistic from the broadcast list (same value)
-    return (joined.withColumn(out, F.coalesce(joined["_h_stat"], joined[out]))
-            .drop(*[f"_s_{k}" for k in keys], "_s_salt", "_salt", "_h_stat"))
+    """``df`` with ``out``, the minimum of ``value`` in the row's group of ``keys`` (nulls are a group)."""
+    if estimated_bytes(df) < hot_key_rows * ROW_BYTES:
+        return df.withColumn(out, F.min(value).over(Window.partitionBy(*keys)))
+    step = max(1, hot_key_rows // SAMPLE_ROWS)
+    sample = df.select(*keys).filter(F.pmod(F.monotonically_increasing_id(), F.lit(step)) == 0) if step > 1 else df.select(*keys)
+    large = (sample.groupBy(*keys).agg((F.count(F.lit(1)) * F.lit(step)).alias("_rows"))
+             .filter(F.col("_rows") > hot_key_rows))
+    share = F.sum("_rows").over(Window.partitionBy()) / F.lit(hot_key_limit)       # over the groups above hot_key_rows alone
+    hot = large.withColumn("_share", share).filter(F.col("_rows") > F.col("_share")).select(
+        *[F.col(k).alias(f"_h_{k}") for k in keys], F.ceil(F.col("_rows") / F.lit(salt_rows_per_task)).cast("int").alias("_hs"))
+    hot = F.broadcast(hot)                      # fewer than hot_key_limit rows, by their share
+    named = [f"_h_{k}" for k in keys]
+    least = F.broadcast(df.select(*keys, value).join(hot, _same(df, hot, keys))
+                        .groupBy(*named).agg(F.min(value).alias("_h_least"), F.max("_hs").alias("_hs")))
+    salt = F.when(F.col("_hs").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*[df[c] for c in df.columns]), F.col("_hs")).cast("int"))
+    rows = df.join(least, _same(df, least, keys), "left").withColumn("_salt", salt).drop(*named)
+    cold = F.min(value).over(Window.partitionBy(*keys, "_salt"))
+    return (rows.withColumn("_cold", cold)
+            .withColumn(out, F.when(F.col("_hs").isNull(), F.col("_cold")).otherwise(F.col("_h_least")))
+            .drop("_cold", "_salt", "_hs", "_h_least"))

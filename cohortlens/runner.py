@@ -54,14 +54,25 @@ def noop_sink(name: str, df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
+def _ordered(steps: dict[str, Callable[[], None]], deps: dict[str, list[str]]) -> list[str]:
+    """Steps after all they need; raises for a need that is no step and for a cycle."""
+    missing = {name: [d for d in deps.get(name, []) if d not in steps] for name in steps}
+    if missing := {name: lost for name, lost in missing.items() if lost}:
+        raise ValueError(f"steps that need tables nobody writes: {missing}")
+    out: list[str] = []
+    while len(out) < len(steps):
+        ready = [name for name in steps if name not in out and all(d in out for d in deps.get(name, []))]
+        if not ready:
+            raise ValueError(f"steps that wait for each other: {sorted(set(steps) - set(out))}")
+        out += ready
+    return out
+
+
 def _run_dag(steps: dict[str, Callable[[], None]], deps: dict[str, list[str]], max_parallel: int) -> None:
+    order = _ordered(steps, deps)
     if max_parallel <= 1:
-        done: set[str] = set()
-        while len(done) < len(steps):
-            for name in steps:
-                if name not in done and all(d in done for d in deps.get(name, [])):
-                    steps[name]()
-                    done.add(name)
+        for name in order:
+            steps[name]()
         return
     with ThreadPoolExecutor(max_workers=max_parallel) as pool:
         pending, running, done = dict(steps), {}, set()
@@ -74,12 +85,25 @@ def _run_dag(steps: dict[str, Callable[[], None]], deps: dict[str, list[str]], m
                 done.add(running.pop(f))
 
 
+def _needed(chosen: list[str]) -> set[str]:
+    """Tables that the chosen reports are, or read, directly or through other tables."""
+    out: set[str] = set()
+    todo = [t for name in chosen for t in ([name] if name in DERIVED_TABLES else REPORTS[name].needs)]
+    while todo:
+        name = todo.pop()
+        if name not in out:
+            out.add(name)
+            todo += TABLE_DEPENDENCIES.get(name, [])
+    return out
+
+
 def run_pipeline(spark: SparkSession, views: dict[str, Tables], warehouse: str, params: Params = DEFAULT,
                  sink: Sink = noop_sink, on_step: Hook | None = None,
                  reports: list[str] | None = None, max_parallel: int = 1) -> dict[str, DataFrame]:
     """``views["events"]`` holds the main tables; other keys (e.g. ``"orders"``)
-    serve reports registered with that event view.  Returns the
-    materialised derived tables."""
+    serve reports registered with that event view, which read the main tables
+    where there is no such key.  ``reports``: only these, with only the tables
+    they need; all by default.  Returns the materialised derived tables."""
     base = warehouse.rstrip("/")
     main = Derived(views["events"], params)
 
@@ -106,15 +130,20 @@ def run_pipeline(spark: SparkSession, views: dict[str, Tables], warehouse: str,
             main.materialized[name] = spark.read.schema(df.schema).parquet(path)
         return timed(name, action)
 
-    steps = {name: materialise(name, REPORTS[name].fn) for name in DERIVED_TABLES}
-    steps.update({name: materialise(name, build) for name, build in SHARED_TABLES.items()})
-    deps = dict(TABLE_DEPENDENCIES)
+    unknown = set(reports or ()) - set(REPORTS)
+    if unknown:
+        raise ValueError(f"unknown reports: {sorted(unknown)}")
+    chosen = [name for name in REPORTS if not reports or name in reports]
+    tables = _needed(chosen) if reports else {*DERIVED_TABLES, *SHARED_TABLES}
+    steps = {name: materialise(name, REPORTS[name].fn) for name in DERIVED_TABLES if name in tables}
+    steps.update({name: materialise(name, build) for name, build in SHARED_TABLES.items() if name in tables})
+    deps = {name: TABLE_DEPENDENCIES[name] for name in steps if name in TABLE_DEPENDENCIES}
 
     def report_step(name: str) -> Callable[[], None]:
         report = REPORTS[name]
 
         def action() -> None:
-            if report.event_view == "events":
+            if report.event_view == "events" or report.event_view not in views:
                 d = main
             else:  # another event table: only tables built from accounts alone are shared
                 d = Derived(views[report.event_view], params,
@@ -122,11 +151,8 @@ def run_pipeline(spark: SparkSession, views: dict[str, Tables], warehouse: str,
             sink(name, report.fn(d))
         return timed(name, action)
 
-    unknown = set(reports or ()) - set(REPORTS)
-    if unknown:
-        raise ValueError(f"unknown reports: {sorted(unknown)}")
-    for name in REPORTS:
-        if name not in DERIVED_TABLES and (not reports or name in reports):
+    for name in chosen:
+        if name not in DERIVED_TABLES:
             steps[name] = report_step(name)
             deps[name] = list(REPORTS[name].needs)
     _run_dag(steps, deps, max_parallel)

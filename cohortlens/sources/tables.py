@@ -15,7 +15,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 USER_INFO_SCHEMA = T.StructType([
@@ -51,26 +52,54 @@ SCHEMAS = {"user_info": USER_INFO_SCHEMA, "events": EVENTS_SCHEMA, "geography":
 
 @dataclass(frozen=True)
 class Tables:
-    """The three inputs of the suite."""
+    """The three inputs of the suite.  ``geography_updated``: the dimension that
+    the country reports on trial abuse read instead of ``geography``, if given."""
     user_info: DataFrame
     events: DataFrame
     geography: DataFrame
+    geography_updated: DataFrame | None = None
+
+    @property
+    def abuse_geography(self) -> DataFrame:
+        return self.geography if self.geography_updated is None else self.geography_updated
+
+
+# input types that carry a wanted type without a guess
+_TEXT = (T.StringType,)
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_NUMBER = (*_WHOLE, T.FloatType, T.DoubleType, T.DecimalType)
+_FITS = {T.LongType: _WHOLE, T.DoubleType: _NUMBER, T.DecimalType: _NUMBER, T.StringType: (*_TEXT, *_WHOLE),
+         T.DateType: (T.DateType,), T.TimestampNTZType: (T.TimestampNTZType, T.TimestampType, T.DateType)}
 
 
 def check_columns(df: DataFrame, name: str) -> DataFrame:
-    """Fail early when a required column is missing or has an incompatible type."""
+    """Fail early when a required column is missing or has an incompatible type
+    (an untyped null column fits any)."""
     want = SCHEMAS[name]
     have = {f.name: f.dataType for f in df.schema.fields}
     missing = [f.name for f in want.fields if f.name not in have]
     if missing:
         raise ValueError(f"{name}: missing columns {missing}")
+    wrong = [f"{f.name} is {have[f.name].simpleString()}, not {f.dataType.simpleString()}" for f in want.fields
+             if not isinstance(have[f.name], (T.NullType, *_FITS[type(f.dataType)]))]
+    if wrong:
+        raise ValueError(f"{name}: {', '.join(wrong)}")
     return df
 
 
+def _typed(column: Column, have: T.DataType, want: T.DataType) -> Column:
+    """``column`` as the wanted type.  A TIMESTAMP (an instant) becomes its UTC
+    wall clock, whatever the session's time zone."""
+    if isinstance(have, T.TimestampType) and isinstance(want, T.TimestampNTZType):
+        micros = F.unix_micros(column)
+        return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01").cast("timestamp_ntz"))
+    return column.cast(want)
+
+
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Select the declared columns in declared order, cast to declared types."""
     check_columns(df, name)
-    return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields])
+    return df.select(*[_typed(df[f.name], df.schema[f.name].dataType, f.dataType).alias(f.name) for f in SCHEMAS[name].fields])
 
 
 def read_parquet_tables(spark: SparkSession, path: str) -> Tables:

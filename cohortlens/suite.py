@@ -76,7 +76,16 @@ class Derived:
 
     @property
     def rfm_segments(self) -> DataFrame:
-        return self._get("rfm_segments", lambda: rfm.rfm_segments(self.rfm_scores))
+        """From written scores if there are any, else from the values alone: segments need no row numbers."""
+        def build() -> DataFrame:
+            scores = self.materialized.get("rfm_scores")
+            if scores is None:
+                eu = self.events_updated
+                values = rfm.rfm_values(eu if eu is not None else ss.sessions(self.tables.events, self.params),
+                                        self.tables.user_info, self.params)
+                scores = rfm.rfm_scores(values, self.params)
+            return rfm.rfm_segments(scores)
+        return self._get("rfm_segments", build)
 
 
 @dataclass(frozen=True)
@@ -102,8 +111,8 @@ REPORTS: dict[str, Report] = {
     "cohort_retention_monthly": _r(lambda d: rt.cohort_retention_monthly(d.tables.user_info, d.params)),
     "platform_retention": _r(lambda d: rt.platform_retention(d.tables.user_info, d.params)),
     # trial abuse
-    "abuse_by_country": _r(lambda d: ab.abuse_by_country(d.tables.user_info, d.tables.geography, d.params)),
-    "serious_cheaters": _r(lambda d: ab.serious_cheaters(d.tables.user_info, d.tables.geography, d.params)),
+    "abuse_by_country": _r(lambda d: ab.abuse_by_country(d.tables.user_info, d.tables.abuse_geography, d.params)),
+    "serious_cheaters": _r(lambda d: ab.serious_cheaters(d.tables.user_info, d.tables.abuse_geography, d.params)),
     "trial_suspension_by_country": _r(
         lambda d: ab.trial_suspension_by_country(d.tables.user_info, d.tables.geography, d.params)),
     "platform_fraud": _r(lambda d: ab.platform_fraud(d.tables.user_info, d.params)),

@@ -6,7 +6,8 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.plans.numbering import dense_row_number, weighted_percentile_cont
+from cohortlens.plans.cells import weighted_percentile_cont
+from cohortlens.plans.numbering import dense_row_number
 from cohortlens.plans.skew import attach_group_min
 
 
