@@ -3,6 +3,7 @@ intermediates in the shared folder, Arrow task helpers."""
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -29,7 +30,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     lineage, and a lost executor costs no recomputation."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def let_go(spark: SparkSession, *written: DataFrame) -> None:
+    """Delete frames of ``materialise`` that nothing reads any more, and have
+    Spark's cleaner drop the shuffle files of finished steps (it waits for the
+    driver's garbage collection)."""
+    for df in written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 SLICE_BYTES = 4 << 20

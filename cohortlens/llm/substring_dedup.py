@@ -1,33 +1,39 @@
 """Substring dedup with prefix-partitioned suffix trees.
 
 A passage repeats when a window of ``window`` words also starts in a
-document with a smaller id.  Suffixes of the word sequences are split by
-variable-length prefixes into groups that fit a task's memory, every group
-builds its subtree (sorted suffixes and their longest common prefixes), and
-the subtree's internal nodes of depth ``window`` give the repeated windows
-with the smallest document below them.
-
-Most suffixes repeat nothing, so they are sieved first: every window picks
-the smallest hash among its runs of ``RUN`` words (equal windows pick the
-same run), and only windows whose run occurs in two documents become
-suffixes.  The sieve loses no repeat; the subtrees decide.
+document with a smaller id.  Most windows repeat nothing, so they are sieved
+first: every window picks the smallest hash among its runs of ``RUN`` words
+(equal windows pick the same run), and only windows whose run occurs in two
+documents go on.  The sieve loses no repeat; the subtrees decide.
+
+Neighbouring windows that pick the same run overlap in all but a word each, so
+they travel as one segment: every word code once.  The run is the prefix that
+sends a segment to its group; a run with more windows than a group may hold
+takes the longest prefix, the whole window, instead.  A group sorts the
+suffixes of its segments; neighbours that share a whole window are one node of
+that depth, with the smallest document below it.  Stretches of repeated windows
+that touch are one repeat, so a document's spans are maximal
+(``repeated_spans``).
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise, texts_of
+from .common import let_go, map_batches, materialise, text_slices, texts_of
 from .wordarrays import SPACE_WORDS, Words, mix, run_hash, utf8
 
 WINDOW = 13
-RUN = 7
+RUN = 4
 GROUP_SUFFIXES = 1 << 18
+CODE = 6               # bytes of a word's code
+CELLS = 1 << 14        # cells of runs that are counted to form groups
+SEGMENT = 60           # windows of a segment at most, a bit each
+_NEVER = (1 << 63) - 1
 _U = np.uint64
 
 
@@ -39,7 +45,7 @@ class Scan:
 
     def __init__(self, texts: list[str | None], window: int):
         self.words = Words([utf8(t) for t in texts], SPACE_WORDS)
-        self.codes = self.words.fingerprints()
+        self.codes = self.words.fingerprints() >> _U(64 - 8 * CODE)
         n, first = len(self.codes), self.words.doc_first
         owner = np.repeat(np.arange(len(texts)), np.diff(first))
         run = min(RUN, window)
@@ -82,6 +88,10 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _nodes(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index("node")).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
     """(run): picked runs that occur in two documents or more."""
 
@@ -95,46 +105,59 @@ def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
 
 
 def with_hashes(docs: DataFrame, occurrences: DataFrame, column: str) -> DataFrame:
-    """``docs`` that have occurrences (id, column), with those as an array."""
-    listed = occurrences.groupBy("id").agg(F.collect_set(column).alias(column))
-    return docs.join(listed, "id")
-
-
-def prefix_lengths(window: int) -> list[int]:
-    return sorted({1, 2, 4, window})
-
-
-def prefix_cells(codes: np.ndarray, at: np.ndarray, length: int, cells: int) -> np.ndarray:
-    return (run_hash(codes, length)[at] % _U(cells)).astype(np.int64)
+    """``docs`` that have occurrences (node, column), with those as an array."""
+    listed = occurrences.groupBy("node").agg(F.collect_set(column).alias(column))
+    return docs.join(listed, "node")
 
 
 class Groups:
-    """Which group a suffix belongs to: that of its shortest prefix whose
-    cell holds at most ``limit`` suffixes (the whole window at last);
-    cells are put together up to ``limit``."""
+    """Which group a window belongs to: that of its run's cell, cells put
+    together up to ``limit`` windows, or, where the cell alone holds more, one
+    of the groups below 0 by the whole window."""
 
     def __init__(self, histogram: np.ndarray, limit: int):
-        self.small = histogram <= limit
-        self.small[-1] = True
-        self.group = np.zeros(histogram.shape, dtype=np.int64)
-        base = 0
-        for level, counts in enumerate(histogram):
-            self.group[level] = base + np.cumsum(np.where(self.small[level], counts, 0)) // limit
-            base = int(self.group[level].max()) + 1
-
-    def of(self, cells: list[np.ndarray]) -> np.ndarray:
-        out = np.full(len(cells[0]), -1, dtype=np.int64)
-        for level, cell in enumerate(cells):
-            take = (out < 0) & self.small[level][cell]
-            out[take] = self.group[level][cell[take]]
-        return out
+        self.cells = len(histogram)
+        self.hot = histogram > limit
+        self.group = np.cumsum(np.where(self.hot, 0, histogram)) // limit
+        self.spread = max(1, 2 * int(histogram[self.hot].sum()) // limit)
+
+    def of(self, run: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(group, is the run's cell too full?) of every window."""
+        cell = (run % _U(self.cells)).astype(np.int64)
+        alone = -1 - (mix(whole) % _U(self.spread)).astype(np.int64)
+        return np.where(self.hot[cell], alone, self.group[cell]), self.hot[cell]
+
+
+def segments(scan: Scan, at: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows ``at`` (ascending) as segments: (first entry of each, windows in
+    it).  Windows go together when they follow each other in a document and pick
+    the same run; ``single`` ones stay alone."""
+    if not len(at):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    start, run, doc = scan.start[at], scan.run[at], scan.doc[at]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (start[1:] != start[:-1] + 1) | (run[1:] != run[:-1]) | (doc[1:] != doc[:-1]) | single[1:] | single[:-1]
+    first = np.flatnonzero(new)
+    inside = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    first = np.flatnonzero(inside % SEGMENT == 0)
+    return first, np.diff(np.append(first, len(at)))
 
 
-def subtree_repeats(suffixes: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Internal nodes at full depth of the subtree over ``suffixes`` (rows of
-    word codes) with two documents below: (a suffix of each, smallest id)."""
+def segment_hash(whole: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of each segment from those of its windows (and their places)."""
+    if not len(first):
+        return np.empty(0, np.uint64)
+    inside = np.arange(len(whole)) - np.repeat(first, n)
+    return np.add.reduceat(mix(whole + inside.astype(np.uint64)), first)
+
+
+def subtree_repeats(suffixes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The subtree over ``suffixes`` (rows of word codes): for each, the smallest
+    document below its internal node of window depth, or ``_NEVER`` where
+    there is one document only."""
+    out = np.full(len(suffixes), _NEVER, dtype=np.int64)
     if not len(suffixes):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return out
     order = np.lexsort(suffixes.T[::-1])
     ordered = suffixes[order]
     # longest common prefix of neighbours; a node of full depth is a run of neighbours sharing all words
@@ -142,101 +165,187 @@ def subtree_repeats(suffixes: np.ndarray, low: np.ndarray, high: np.ndarray) ->
     shared = np.where(differ.any(axis=1), differ.argmax(axis=1), suffixes.shape[1])
     first = np.flatnonzero(np.concatenate(([True], shared < suffixes.shape[1])))
     smallest, largest = np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
-    node = smallest < largest
-    return order[first[node]], smallest[node]
+    out[order] = np.repeat(np.where(smallest < largest, smallest, _NEVER), np.diff(np.append(first, len(order))))
+    return out
 
 
-def repeated_windows(marked: DataFrame, window: int, limit: int) -> DataFrame:
-    """(whole, low): hash of each repeated window and the smallest document
-    it starts in.  ``marked``: id, text, run (array of repeated runs)."""
-    spark = marked.sparkSession
-    lengths = prefix_lengths(window)
-    scale = marked.agg(F.sum(F.size("run")).alias("n")).first()["n"] or 0
-    cells = 1 << min(22, max(8, math.ceil(math.log2(scale * window / limit + 1)) + 6))
+def build_subtree(window: int):
+    """Group function: segments (codes, low, high) to (seg, head, lows): the
+    smallest document of each window, for segments with a repeated one."""
 
-    def suffixes(batch: pa.RecordBatch):
-        """(scan, place of each distinct window, low, high), repeats in the batch put together."""
-        scan = Scan(texts_of(batch), window)
-        runs = batch.column(2)
+    def build(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        rows = table.column("codes").to_pylist()
+        flat = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(-1, CODE)
+        codes = np.zeros((len(flat), 8), dtype=np.uint8)
+        codes[:, :CODE] = flat
+        codes = codes.view("<u8").reshape(-1)
+        size = np.fromiter((len(r) // CODE for r in rows), dtype=np.int64, count=len(rows))
+        n = size - window + 1
+        owner, first = np.repeat(np.arange(len(rows)), n), np.cumsum(n) - n
+        start = np.repeat(np.cumsum(size) - size - first, n) + np.arange(n.sum())
+        suffixes = codes[start[:, None] + np.arange(window)]
+        lows = subtree_repeats(suffixes, table.column("low").to_numpy()[owner], table.column("high").to_numpy()[owner])
+        whole = run_hash(codes, window)[start]
+        seg, head = segment_hash(whole, first, n), whole[first]
+        # the same segment from several slices has the same windows: once
+        _, once = np.unique(np.stack([seg, head]), axis=1, return_index=True)
+        once = np.sort(once[np.minimum.reduceat(lows, first)[once] != _NEVER])
+        kept = np.zeros(len(rows), dtype=bool)
+        kept[once] = True
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n[once]))).astype(np.int32)), pa.array(lows[kept[owner]]))
+        return pa.table({"seg": _long(seg[once]), "head": _long(head[once]), "lows": lists})
+
+    return build
+
+
+class Sieve:
+    """Segments of a batch of marked documents (id, text, run, node).
+
+    ``at``: windows that pick a repeated run; ``first``, ``n``: the segments
+    over them; ``begin``: word each starts at; ``seg``, ``head``: their hashes."""
+
+    def __init__(self, batch: pa.RecordBatch, window: int, groups: Groups | None = None):
+        self.scan = scan = Scan(texts_of(batch), window)
+        runs = batch.column(batch.schema.get_field_index("run"))
         listed = runs.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
         owner = np.repeat(np.arange(len(runs)), np.diff(runs.offsets.to_numpy()))
-        wanted = np.unique(mix(listed ^ mix(owner.astype(np.uint64) + _U(1))))
-        at = np.flatnonzero(np.isin(mix(scan.run ^ mix(scan.doc.astype(np.uint64) + _U(1))), wanted))
-        _, place, low, high = _low_high(scan.whole[at], _ids(batch)[scan.doc[at]])
-        return scan, at[place], low, high
-
-    def count(batch: pa.RecordBatch) -> dict:
-        scan, at, _low, _high = suffixes(batch)
-        parts = [np.unique(prefix_cells(scan.codes, scan.start[at], n, cells), return_counts=True) for n in lengths]
-        return {"level": pa.array(np.repeat(np.arange(len(parts)), [len(c) for c, _ in parts]).astype(np.int32)),
-                "cell": _long(np.concatenate([c for c, _ in parts])), "n": _long(np.concatenate([n for _, n in parts]))}
-
-    counted = map_batches(marked, count, "level int, cell long, n long").groupBy("level", "cell").agg(F.sum("n").alias("n"))
-    counted = counted.toPandas()        # at most four levels of 2 ** 22 cells
-    histogram = np.zeros((len(lengths), cells), dtype=np.int64)
-    histogram[counted["level"], counted["cell"]] = counted["n"]
-    groups = spark.sparkContext.broadcast(Groups(histogram, limit))
+        keys = np.unique(mix(listed ^ mix(owner.astype(np.uint64) + _U(1))))
+        self.at = np.flatnonzero(np.isin(mix(scan.run ^ mix(scan.doc.astype(np.uint64) + _U(1))), keys))
+        if groups is None:
+            return
+        whole = scan.whole[self.at]
+        group, single = groups.of(scan.run[self.at], whole)
+        self.first, self.n = segments(scan, self.at, single)
+        self.group = group[self.first]
+        self.doc = scan.doc[self.at[self.first]]
+        self.begin = scan.start[self.at[self.first]]
+        self.seg, self.head = segment_hash(whole, self.first, self.n), whole[self.first]
+
+
+def plan_groups(marked: DataFrame, window: int, limit: int) -> Groups:
+    """Groups of at most about ``limit`` windows, from their counts by cell of
+    the run.  A task adds up its own counts, so at most ``CELLS`` rows leave it."""
+
+    def count(batches):
+        total = np.zeros(CELLS, dtype=np.int64)
+        for batch in batches:
+            for part in text_slices(batch):
+                found = Sieve(part, window)
+                total += np.bincount((found.scan.run[found.at] % _U(CELLS)).astype(np.int64), minlength=CELLS)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"cell": _long(held), "n": _long(total[held])})
+
+    histogram = np.zeros(CELLS, dtype=np.int64)
+    for r in marked.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        histogram[r["cell"]] = r["n"]
+    return Groups(histogram, limit)
+
+
+def repeated_segments(marked: DataFrame, window: int, groups) -> DataFrame:
+    """(seg, head, lows): segments with repeated windows and the smallest
+    document each of their windows starts in.  ``groups``: broadcast."""
 
     def emit(batch: pa.RecordBatch) -> dict:
-        scan, at, low, high = suffixes(batch)
-        start = scan.start[at]
-        group = groups.value.of([prefix_cells(scan.codes, start, n, cells) for n in lengths])
-        words = (scan.codes[start[:, None] + np.arange(window)] >> _U(32)).astype("<u4") if len(start) else np.empty((0, window), "<u4")
-        flat = pa.py_buffer(np.ascontiguousarray(words))
-        suffix = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * window), len(start), [None, flat]).cast(pa.binary())
-        return {"group": _long(group), "suffix": suffix, "whole": _long(scan.whole[at]), "low": _long(low), "high": _long(high)}
-
-    def build(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        rows = b"".join(table.column("suffix").to_pylist())
-        whole = table.column("whole").to_numpy()
-        codes = np.frombuffer(rows, dtype="<u4").reshape(-1, window)
-        # the window's own hash stands after its words, so that words cut to 32 bits cannot be mistaken
-        codes = np.hstack([codes, whole.view("<u4").reshape(-1, 2)])
-        at, low = subtree_repeats(codes, table.column("low").to_numpy(), table.column("high").to_numpy())
-        return pa.table({"whole": pa.array(whole[at]), "low": pa.array(low)})
-
-    rows = map_batches(marked, emit, "group long, suffix binary, whole long, low long, high long")
-    return rows.groupBy("group").applyInArrow(build, "whole long, low long")
-
-
-def covered_words(docs: DataFrame, window: int = WINDOW, limit: int = GROUP_SUFFIXES) -> DataFrame:
-    """``docs`` (id, text) with ``whole``: hashes of the document's windows
-    that also start in a document with a smaller id (null: none)."""
+        found = Sieve(batch, window, groups.value)
+        # equal segments of the slice go once, with their smallest and largest id
+        _, place, low, high = _low_high(mix(found.seg) ^ found.head, _ids(batch)[found.doc])
+        codes = found.scan.codes
+        raw = codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes() if len(codes) else b""
+        begin = found.begin[place]
+        end = begin + found.n[place] + window - 1
+        return {"group": _long(found.group[place]), "codes": pa.array([raw[CODE * b:CODE * e] for b, e in zip(begin.tolist(), end.tolist())], pa.binary()),
+                "low": _long(low), "high": _long(high)}
+
+    rows = map_batches(marked, emit, "group long, codes binary, low long, high long")
+    return rows.groupBy("group").applyInArrow(build_subtree(window), "seg long, head long, lows array<long>")
+
+
+def marked_documents(docs: DataFrame, window: int) -> DataFrame:
+    """id, text, run, node of the documents that hold repeated runs, written."""
     runs = materialise(repeated_runs(docs, window), "substring-runs")
 
     def picked(batch: pa.RecordBatch) -> dict:
         scan = Scan(texts_of(batch), window)
-        run, doc = _distinct_pairs(scan.run, _ids(batch)[scan.doc])
-        return {"run": _long(run), "id": _long(doc)}
+        run, node = _distinct_pairs(scan.run, _nodes(batch)[scan.doc])
+        return {"run": _long(run), "node": _long(node)}
 
-    seen = map_batches(docs, picked, "run long, id long").join(runs, "run", "left_semi")
-    marked = materialise(with_hashes(docs, seen, "run").select("id", "text", "run"), "substring-marked")
-    repeats = materialise(repeated_windows(marked, window, limit), "substring-repeats")
+    seen = map_batches(docs, picked, "run long, node long").join(runs, "run", "left_semi")
+    marked = materialise(with_hashes(docs, seen, "run").select("id", "text", "run", "node"), "substring-marked")
+    let_go(docs.sparkSession, runs)
+    return marked
 
-    def windows(batch: pa.RecordBatch) -> dict:
-        scan = Scan(texts_of(batch), window)
-        at = np.isin(scan.run, batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-        whole, doc = _distinct_pairs(scan.whole[at], _ids(batch)[scan.doc[at]])
-        return {"whole": _long(whole), "id": _long(doc)}
 
-    later = (map_batches(marked, windows, "whole long, id long").join(repeats, "whole").filter("id > low")
-             .groupBy("id").agg(F.collect_set("whole").alias("whole")))
-    return docs.join(later, "id", "left")
+def covered_words(docs: DataFrame, window: int = WINDOW, limit: int = GROUP_SUFFIXES) -> DataFrame:
+    """``docs`` (id, text, node) with ``windows``: array of (start, mask), the
+    windows start + i, for each bit i of the mask, that also start in a document
+    with a smaller id (null: none).  ``node`` is the same for rows equal in id and
+    text only, so what is gathered for a node and joined back to its rows is as
+    long as that one text."""
+    spark = docs.sparkSession
+    marked = marked_documents(docs, window)
+    let_go(spark)
+    groups = spark.sparkContext.broadcast(plan_groups(marked, window, limit))
+    repeats = materialise(repeated_segments(marked, window, groups), "substring-repeats")
+    let_go(spark)
+
+    def places(batch: pa.RecordBatch) -> dict:
+        found = Sieve(batch, window, groups.value)
+        begin = found.begin - found.scan.words.doc_first[found.doc]
+        return {"seg": _long(found.seg), "head": _long(found.head), "id": _long(_ids(batch)[found.doc]), "node": _long(_nodes(batch)[found.doc]),
+                "start": _long(begin)}
+
+    bits = F.transform("lows", lambda low, i: F.when(low < F.col("id"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0)))
+    mask = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    later = (map_batches(marked, places, "seg long, head long, id long, node long, start long").join(repeats, ["seg", "head"])
+             .select("node", F.struct("start", mask.alias("mask")).alias("at")).filter("at.mask <> 0")
+             .groupBy("node").agg(F.collect_set("at").alias("windows")))
+    later = materialise(later, "substring-covered")
+    let_go(spark, marked, repeats)
+    return docs.join(later, "node", "left")
 
 
 def _removed(batch: pa.RecordBatch, window: int) -> tuple[Words, np.ndarray]:
     """Words of the batch, and which of them a repeated window covers."""
-    scan = Scan(texts_of(batch), window)
-    edge = np.zeros(len(scan.words) + window + 1, dtype=np.int64)
-    first = np.searchsorted(scan.start, scan.words.doc_first)
-    for row, hashes in enumerate(batch.column(2)):
-        if hashes.is_valid:
-            span = slice(first[row], first[row + 1])
-            hit = scan.start[span][np.isin(scan.whole[span], hashes.values.to_numpy(zero_copy_only=False).view(np.uint64))]
-            np.add.at(edge, hit, 1)
-            np.add.at(edge, hit + window, -1)
-    return scan.words, np.cumsum(edge)[:len(scan.words)] > 0
+    words = Words([utf8(t) for t in texts_of(batch)], SPACE_WORDS)
+    edge = np.zeros(len(words) + window + 1, dtype=np.int64)
+    listed = batch.column(batch.schema.get_field_index("windows"))
+    sizes = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False)
+    found = listed.flatten()
+    start = found.field(0).to_numpy(zero_copy_only=False) + np.repeat(words.doc_first[:-1], sizes)
+    mask = found.field(1).to_numpy(zero_copy_only=False)
+    for bit in range(SEGMENT):
+        at = start[mask >> bit & 1 == 1] + bit
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + window, -1)
+    return words, np.cumsum(edge)[:len(words)] > 0
+
+
+_LAST = (1 << 63) - 1       # null ids come after all others
+
+
+def _narrow(docs: DataFrame) -> DataFrame:
+    id_ = F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST))
+    return docs.select(id_.alias("id"), docs["text"].alias("text"), F.xxhash64(id_, docs["text"]).alias("node"))
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, limit: int = GROUP_SUFFIXES) -> DataFrame:
+    """doc_id, start, length: every maximal stretch of words covered by windows
+    that also start in a document with a smaller id, a row a stretch (nulls,
+    repeats and empty tables as in ``remove_repeats``)."""
+
+    def spans(batch: pa.RecordBatch) -> dict:
+        words, gone = _removed(batch, window)
+        ids, out = _ids(batch), ([], [], [])
+        for row, (lo, hi) in enumerate(zip(words.doc_first[:-1].tolist(), words.doc_first[1:].tolist())):
+            edge = np.diff(np.concatenate(([0], gone[lo:hi].astype(np.int8), [0])))
+            begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            for column, values in zip(out, (np.full(len(begin), ids[row]), begin, end - begin)):
+                column.append(values)
+        return {c: _long(np.concatenate(v) if v else np.empty(0, np.int64)) for c, v in zip(("doc_id", "start", "length"), out)}
+
+    marked = covered_words(_narrow(docs), window, limit).filter("windows is not null").select("id", "text", "windows")
+    return map_batches(marked, spans, "doc_id long, start long, length long").withColumn("doc_id", F.nullif("doc_id", F.lit(_LAST)))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, limit: int = GROUP_SUFFIXES) -> DataFrame:
@@ -247,9 +356,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, limit: int = GROUP_SUF
     window lose nothing.  Rows that repeat a doc_id are one document to each
     other: neither makes the other lose words.  Null ids come after all
     others.  An empty table gives no rows; other columns are not read."""
-    last = F.lit((1 << 63) - 1)
-    narrow = docs.select(F.coalesce(docs["doc_id"].cast("long"), last).alias("id"), docs["text"].alias("text"))
-
     def cut(batch: pa.RecordBatch) -> dict:
         words, gone = _removed(batch, window)
         first = words.doc_first
@@ -260,6 +366,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, limit: int = GROUP_SUF
         return {"doc_id": batch.column(0), "n_words": _long(n), "n_removed": _long(total[first[1:]] - total[first[:-1]]),
                 "kept_text": pa.array(kept, pa.string())}
 
-    marked = covered_words(narrow, window, limit).select("id", "text", "whole")
+    marked = covered_words(_narrow(docs), window, limit).select("id", "text", "windows")
     out = map_batches(marked, cut, "doc_id long, n_words long, n_removed long, kept_text string")
-    return out.withColumn("doc_id", F.nullif("doc_id", last))
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(_LAST)))

@@ -130,6 +130,46 @@ def test_substring_dedup_repeats_inside_one_document(spark):
     assert Counter(map(tuple, got)) == Counter(_covered(rows))
 
 
+@pytest.mark.parametrize("limit", [8, substring_dedup.GROUP_SUFFIXES])
+def test_substring_spans_are_maximal(spark, docs, limit):
+    want = Counter()
+    texts = _texts()
+    order = {None: (1, 0)}
+    starts: dict[tuple, list] = {}
+    for i, t in texts:
+        w = _words(t)
+        for p in range(len(w) - 12):
+            starts.setdefault(tuple(w[p:p + 13]), []).append(order.get(i, (0, i)))
+    for i, t in texts:
+        w = _words(t)
+        gone = [False] * (len(w) + 1)
+        for p in range(len(w) - 12):
+            if min(starts[tuple(w[p:p + 13])]) < order.get(i, (0, i)):
+                gone[p:p + 13] = [True] * 13
+        p = 0
+        while p < len(w):
+            if gone[p]:
+                end = gone.index(False, p)
+                want[i, p, end - p] += 1
+                p = end
+            p += 1
+    got = Counter(tuple(r) for r in substring_dedup.repeated_spans(docs, limit=limit).collect())
+    assert got == want and max(k[2] for k in got) >= 30
+
+
+@pytest.mark.parametrize("same", [None, 7])
+def test_substring_rows_of_one_id_stay_linear(spark, same):
+    """200 rows of one id: what is gathered for a row is as long as its own text."""
+    rng = random.Random(12)
+    common = _prose(rng, 40)
+    rows = [(1, common)] + [(same, common + " " + _prose(rng, 60) + f" end{k}") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    covered = substring_dedup.covered_words(substring_dedup._narrow(df)).collect()
+    assert len(covered) == 201 and max(len(r["windows"] or ()) for r in covered) <= 28
+    got = substring_dedup.remove_repeats(df).collect()
+    assert Counter(r["n_removed"] for r in got) == Counter({0: 1, 40: 200})
+
+
 def test_decontamination(spark, docs, none):
     items = [(1, " ".join(_words(_texts()[40][1])[9:25])), (2, "One"), (3, None), (4, "."), (None, "lost")]
     bench = spark.createDataFrame(items, "item_id long, text string")
