@@ -97,9 +97,10 @@ def rfm_thresholds(base: DataFrame, params: Params = DEFAULT) -> dict[str, list]
     return {m: [row[f"{m}{i}"] for i in range(len(params.rfm_quantiles))] for m in METRICS}
 
 
-def rfm_scores(base: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """(CTAS ``rfm_scores``)  ``base`` with or without row numbers."""
-    cut = threshold_row(base, params)
+def rfm_scores(base: DataFrame, params: Params = DEFAULT, cut: DataFrame | None = None) -> DataFrame:
+    """(CTAS ``rfm_scores``)  ``base`` with or without row numbers; ``cut``: its
+    ``threshold_row``, where that is known from a cheaper table."""
+    cut = threshold_row(base, params) if cut is None else cut
     t = {m: [F.col(f"_{m}{i}") for i in range(len(params.rfm_quantiles))] for m in METRICS}
     return with_row(base, cut.select(*[F.col(c).alias(f"_{c}") for c in cut.columns])).select(
         *base.columns,

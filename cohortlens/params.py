@@ -74,6 +74,10 @@ class Params:
     clv_classes: tuple[float, float, float, float] = (100.0, 50.0, 10.0, 0.0)
     os_min_users: int = 10
 
+    # activity reports
+    rolling_days: tuple[int, ...] = (7, 28)
+    life_bin_days: int = 7             # physical: width of the interval join's bins
+
     # physical knobs (not semantics)
     dimension_max_rows: int | None = None  # None: Spark's size-based join choice; int: count-checked broadcast
     hot_key_rows: int = 1_000_000      # per-key row count above which a key is salted,

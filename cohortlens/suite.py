@@ -20,6 +20,7 @@ from typing import Callable
 from pyspark.sql import DataFrame
 
 from .operators import abuse as ab
+from .operators import activity as act
 from .operators import geography as geo
 from .operators import kpis as kpi
 from .operators import platform as pl
@@ -70,9 +71,19 @@ class Derived:
         return self._get("rfm_base", lambda: rfm.rfm_base(eu if eu is not None else ss.sessions(t.events, p),
                                                           t.user_info, p))
 
+    @property
+    def rfm_values(self) -> DataFrame:
+        """The metrics without row numbers, on the fly."""
+        t, p, eu = self.tables, self.params, self.events_updated
+        return rfm.rfm_values(eu if eu is not None else ss.sessions(t.events, p), t.user_info, p)
+
     @property
     def rfm_scores(self) -> DataFrame:
-        return self._get("rfm_scores", lambda: rfm.rfm_scores(self.rfm_base, self.params))
+        def build() -> DataFrame:
+            written = "rfm_base" in self.materialized
+            cut = None if written else rfm.threshold_row(self.rfm_values, self.params)     # not from numbered rows: fewer passes
+            return rfm.rfm_scores(self.rfm_base, self.params, cut)
+        return self._get("rfm_scores", build)
 
     @property
     def rfm_segments(self) -> DataFrame:
@@ -80,10 +91,7 @@ class Derived:
         def build() -> DataFrame:
             scores = self.materialized.get("rfm_scores")
             if scores is None:
-                eu = self.events_updated
-                values = rfm.rfm_values(eu if eu is not None else ss.sessions(self.tables.events, self.params),
-                                        self.tables.user_info, self.params)
-                scores = rfm.rfm_scores(values, self.params)
+                scores = rfm.rfm_scores(self.rfm_values, self.params)
             return rfm.rfm_segments(scores)
         return self._get("rfm_segments", build)
 
@@ -169,6 +177,13 @@ REPORTS: dict[str, Report] = {
     "cohort_revenue": _r(lambda d: kpi.cohort_revenue(d.tables.user_info, d.tables.events, d.per_user), needs=("user_event_totals",)),
 }
 
+# reports beyond the original statements
+EXTENSIONS: dict[str, Report] = {
+    "events_in_life": _r(lambda d: act.events_in_life(d.tables.user_info, d.tables.events, d.params)),
+    "rolling_active_users": _r(lambda d: act.rolling_active_users(d.tables.events, d.params)),
+    "account_cube": _r(lambda d: act.account_cube(d.tables.user_info, d.tables.geography, d.params)),
+}
+
 # derived tables the original scripts materialise, in dependency order
 DERIVED_TABLES = ["platform_use", "volume_use", "number_customer_country", "serious_cheaters",
                   "events_updated", "rfm_base", "rfm_scores", "rfm_segments"]
