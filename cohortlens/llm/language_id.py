@@ -9,7 +9,6 @@ answer comes from the mean log-probability of its windows.
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,11 @@ FOLDS, TEST_FOLD = 4, 2
 CHUNK = 16                # windows computed at once; their responses stay in a core's cache
 NONE = "und"
 _WIDE = max(WIDTHS)
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Does the text hold a character of Unicode's letter classes (as ``\\p{L}`` does in training)?"""
+    return any(c.isalpha() for c in text)
 
 
 def windows_of(data: bytes) -> np.ndarray:
@@ -120,7 +123,7 @@ class ByteNetwork:
         """Language and its probability by the windows' mean log-probability;
         NONE and 0 for null, for texts without a letter, or without languages."""
         told, score = [NONE] * len(texts), np.zeros(len(texts))
-        who = [i for i, t in enumerate(texts) if self.languages and t is not None and _LETTER.search(t)]
+        who = [i for i, t in enumerate(texts) if self.languages and t is not None and has_letter(t)]
         if who:
             cut = [windows_of(utf8(texts[i])) for i in who]
             first = np.cumsum([0, *map(len, cut)])
@@ -156,12 +159,21 @@ def fold(docs: DataFrame):
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
     """Bounded sample: of each language the ``per_language`` texts outside the
     held-out fold, up to TRAIN_CHARS long and with a letter, with the smallest
-    seeded hash of their text (equal texts count once a task)."""
+    seeded hash of their text; equal texts count once.
+
+    The number of different texts of each language (hashes alone are shuffled, a
+    number a language comes to the driver) gives a hash bound that about twice
+    ``per_language`` of them meet; only those few are gathered and ranked."""
     usable = (docs.filter(fold(docs) != TEST_FOLD).filter("lang is not null").filter(F.length("text").between(1, TRAIN_CHARS))
               .filter(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64(F.lit(5), "text").alias("at")))
+    counts = usable.select("lang", "at").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not counts:
+        return []
+    bounds = [x for r in counts for x in (F.lit(r["lang"]), F.lit(-(1 << 63) + min((1 << 64) - 1, (1 << 65) * per_language // r["n"])))]
+    few = usable.filter(F.col("at") <= F.create_map(*bounds)[F.col("lang")]).dropDuplicates(["lang", "at"])
     first = Window.partitionBy("lang").orderBy("at", "text")
-    picked = usable.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language)
-    return [(r["lang"], r["text"]) for r in picked.select("lang", "text").distinct().collect()]
+    picked = few.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language)
+    return [(r["lang"], r["text"]) for r in picked.select("lang", "text").collect()]
 
 
 def identify(docs: DataFrame, net: ByteNetwork) -> DataFrame:

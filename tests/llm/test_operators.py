@@ -348,6 +348,23 @@ def test_language_id(spark, none):
     assert {r["lang_pred"] for r in language_id.identify(frame, untaught).collect()} == {"und"}
 
 
+def test_language_needs_a_letter(spark, none):
+    rows = [(k, t, "aa" if k % 2 else "zz") for k, t in enumerate(["abc abc", "xyz xyz"] * 20)]
+    odd = [(900 + k, t, None) for k, t in enumerate(["²", "½ ¾", "①", "Ⅷ", "1²", "__ 7"])]
+    frame = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    net = language_id.train(language_id.training_rows(frame))
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(frame, net).collect()}
+    assert {got[900 + k] for k in range(len(odd))} == {"und"} and "und" not in {got[k] for k, *_ in rows}
+
+
+def test_language_sample_is_not_filled_by_copies(spark):
+    rows = [(k, f"text number {k}", "aa") for k in range(600)]
+    rows += [(1000 + k, text, "aa") for text in ("copy of one", "copy of two") for k in range(1500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language_id.training_rows(frame, 50)
+    assert len(sample) == len(set(sample)) == 50
+
+
 def test_windows_cover_every_byte():
     for n in (0, 1, 3, 4, 253, 256, 257, 509, 510, 2000):
         data = bytes(1 + k % 250 for k in range(n))
