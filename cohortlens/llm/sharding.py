@@ -54,16 +54,29 @@ def fill_buckets(rows: DataFrame, seed: int = SEED, bucket_rows: int = BUCKET_RO
     return scattered.groupBy("bucket", "own").agg(by_hash.alias("rows"))
 
 
+def _without_clashes(rows: DataFrame) -> DataFrame:
+    """``rows`` with an underscore after the names that the placement needs."""
+    taken, names = {"shard", "slot", *(c.lower() for c in rows.columns)}, []
+    for c in rows.columns:
+        name = c
+        while name.lower() in ("shard", "slot") or name != c and name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        names.append(name)
+    return rows.toDF(*names)
+
+
 def place_rows(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS,
                bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``rows`` with their ``shard`` (0 to shards - 1) and ``slot`` (gapless
-    from 0 in each shard).  Nulls are values like any other; an empty table
+    from 0 in each shard); own columns of these names get an underscore.  Nulls are values like any other; an empty table
     gives an empty result.
 
     The shuffled buckets are written once, every row with its partition and
     its place there; a partition's first turn comes from the row counts of
     the partitions before it (one number a partition)."""
     spark = rows.sparkSession
+    rows = _without_clashes(rows)
     mixed = fill_buckets(rows, seed, bucket_rows, bucket_bytes).select(F.explode(F.shuffle("rows", seed)).alias("r"))
     mixed = materialise(mixed.select(F.monotonically_increasing_id().alias("place"), F.col("r.row").alias("row")), "shard-buckets")
     part = F.shiftright("place", _PLACE_BITS).alias("part")
@@ -83,7 +96,8 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
     back (columns of ``docs``, slot, shard).  Each file is in slot order; a
     shard's files may interleave, the order over all of them is ``slot``.
 
-    At most ``tasks`` tasks write.  ``docs`` must not have columns shard or slot."""
+    At most ``tasks`` tasks write.  Columns of ``docs`` named shard or slot come
+    back as shard_ and slot_."""
     whole = place_rows(docs, shards, seed)
     if tasks:
         whole = whole.coalesce(tasks)

@@ -251,6 +251,15 @@ def test_sharding_answers_from_whole_rows_in_the_shards(spark, docs, tmp_path):
         assert slots == sorted(slots)
 
 
+def test_sharding_of_columns_named_like_its_own(spark, tmp_path):
+    rows = [(k, f"text {k}", 70 + k, f"s{k}", k * 0.5) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard long, Slot string, slot_ double")
+    got = sharding.shard_documents(df, path=str(tmp_path / "shards")).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(30)) and {r["shard"] for r in got} == set(range(8))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted((r["doc_id"], r["text"], r["shard_"], r["Slot__"], r["slot_"]) for r in back.collect()) == rows
+
+
 def test_sharding_buckets_by_bytes(spark, docs):
     """A long text alone, the others by bytes as well as by rows."""
     buckets = [[r["row"]["text"] or "" for r in b["rows"]] for b in sharding.fill_buckets(docs, bucket_bytes=2000).collect()]
