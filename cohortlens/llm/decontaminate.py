@@ -12,15 +12,21 @@ looked up in a bitmap of the items' window fingerprints) and streams only
 those stretches; the automaton compares the words themselves, so a
 fingerprint clash costs time, never a wrong hit.
 
-The items are broadcast as automata of at most ``block_words`` words each.
-A larger benchmark makes more blocks; documents pass through all of them,
-so no item is ever left out.
+Tasks build the automata, each of at most about ``block_words`` words, and
+write them to the shared folder; a longer item goes in overlapping pieces.
+One automaton at a time is broadcast.  Where there is one, documents are
+answered in one pass; where there are more, each pass writes the hit spans of
+the texts that have any, and the spans are joined back, so memory follows
+``block_words`` and not the benchmark.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections import defaultdict
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from .common import free_name, map_batches, texts_of
+from .common import free_name, let_go, map_batches, materialise, texts_of
 from .wordarrays import ALNUM_WORDS, Words, lower_ascii, run_hash, utf8
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
-_BITS = 22
+BLOCK_WORDS = 200_000
+_SPARSE = 32             # bits of a bitmap for each of its windows, at least
+_WORD_BYTES = 6          # of a word and the space after it, to guess the number of blocks
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -99,9 +106,9 @@ class SuffixAutomaton:
         prints = Words(by_code, ALNUM_WORDS).fingerprints() if by_code else np.empty(0, np.uint64)
         self.bitmaps: dict[int, np.ndarray] = {}
         for k, windows in sorted(lengths.items()):
-            table = np.zeros(1 << _BITS, dtype=bool)
+            table = np.zeros(1 << max(16, (_SPARSE * len(windows) - 1).bit_length()), dtype=bool)
             flat = prints[np.array(list(windows), dtype=np.int64).reshape(-1)]
-            table[run_hash(flat, k)[::k] & np.uint64((1 << _BITS) - 1)] = True
+            table[run_hash(flat, k)[::k] & np.uint64(len(table) - 1)] = True
             self.bitmaps[k] = np.packbits(table)
 
     def _extend(self, last: int, c: int) -> int:
@@ -175,14 +182,12 @@ class SuffixAutomaton:
         doc_end = np.repeat(words.doc_first[1:], np.diff(words.doc_first))
         for k, packed in self.bitmaps.items():
             table = np.unpackbits(packed).view(bool)
-            starts = table[run_hash(prints, k) & np.uint64((1 << _BITS) - 1)]
+            starts = table[run_hash(prints, k) & np.uint64(len(table) - 1)]
             at = np.flatnonzero(starts)
             at = at[at + k <= doc_end[at]]
             np.add.at(maybe, at, 1)
             np.add.at(maybe, at + k, -1)
-        covered = np.concatenate(([0], (np.cumsum(maybe[:-1]) > 0).astype(np.int8), [0]))
-        edge = np.diff(covered)
-        for lo, hi in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
+        for lo, hi in zip(*_runs(np.cumsum(maybe[:-1]) > 0)):
             # a stretch may run over the end of a document: cut it there
             doc = int(np.searchsorted(words.doc_first, lo, side="right")) - 1
             while lo < hi:
@@ -196,34 +201,120 @@ class SuffixAutomaton:
         return hit, items
 
 
-def build_automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[SuffixAutomaton]:
-    """Automata of all items, each of at most about block_words words (one
-    item is never split)."""
-    rows = benchmark.select(F.col("item_id").cast("string"), "text").filter("text is not null")
-    out, block, size = [], defaultdict(list), 0
-    for item, text in rows.toLocalIterator():   # block by block, never the whole table
-        words = item_words(text)
-        if size and size + len(words) > block_words:
-            out.append(SuffixAutomaton(block, window))
-            block, size = defaultdict(list), 0
-        block[item].append(words)
-        size += len(words)
-    if block:
-        out.append(SuffixAutomaton(block, window))
-    return out
-
-
-def scan_texts(texts: list[str | None], automata: list[SuffixAutomaton]) -> tuple[Words, np.ndarray, dict[int, set]]:
+def _pieces(words: list[bytes], window: int, block_words: int) -> Iterator[list[bytes]]:
+    """Runs of a long item that overlap by window - 1 words, so every window lies in one."""
+    for lo in range(0, max(1, len(words) - window + 1), block_words):
+        yield words[lo:lo + block_words + window - 1]
+
+
+def build_automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Automata of all items, each of at most about block_words words, written
+    to the shared folder: columns block, shortest (window length), automaton.
+
+    Rows without text are left out and repeated rows go once.  A task takes the
+    rows of its partition and ends an automaton when it is full."""
+    rows = (benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null").distinct())
+    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = 1 + total // (_WORD_BYTES * block_words)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = defaultdict(list), 0
+
+        def row() -> pa.RecordBatch:
+            automaton = SuffixAutomaton(block, window)
+            packed = pickle.dumps(automaton, protocol=pickle.HIGHEST_PROTOCOL)
+            return pa.RecordBatch.from_pydict({
+                "block": pa.array([hashlib.sha256(packed).hexdigest()]),
+                "shortest": pa.array([min(automaton.bitmaps)], pa.int32()), "automaton": pa.array([packed], pa.binary())})
+
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
+                for words in _pieces(item_words(text), window, block_words):
+                    if size and size + len(words) > block_words:
+                        yield row()
+                        block, size = defaultdict(list), 0
+                    if words:
+                        block[item].append(words)
+                        size += len(words)
+        if size:
+            yield row()
+
+    built = rows.repartition(parts, F.xxhash64("item_id", "text")).mapInArrow(
+        build, "block string, shortest int, automaton binary")
+    return materialise(built, "automata")
+
+
+def scan_texts(texts: list[str | None], automaton: SuffixAutomaton | None) -> tuple[Words, np.ndarray, dict[int, set]]:
     """Words, hit flags and items by document of a batch of texts."""
     words = Words([lower_ascii(utf8(t)) for t in texts], ALNUM_WORDS)
-    hit = np.zeros(len(words), dtype=bool)
-    items: dict[int, set] = {}
-    for a in automata:
-        h, found = a.scan(words)
-        hit |= h
-        for doc, owning in found.items():
-            items.setdefault(doc, set()).update(owning)
-    return words, hit, items
+    if automaton is None:
+        return words, np.zeros(len(words), dtype=bool), {}
+    return words, *automaton.scan(words)
+
+
+def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of every run of set flags."""
+    edge = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def _hits(keyed: DataFrame, automaton) -> DataFrame:
+    """key, spans (first and end of every hit run, int32 pairs) and items of
+    the texts that one broadcast automaton hits."""
+
+    def find(batch: pa.RecordBatch) -> dict | None:
+        words, hit, items = scan_texts(texts_of(batch), automaton.value)
+        n_hit = _per_document(words, hit)[1]
+        docs = np.flatnonzero(n_hit)
+        spans = [np.stack(_runs(hit[words.doc_first[d]:words.doc_first[d + 1]]), axis=1).astype("<i4").tobytes() for d in docs]
+        return {"key": batch.column(0).take(pa.array(docs)), "spans": pa.array(spans, pa.binary()),
+                "items": pa.array([sorted(i for i in items.get(d, ()) if i is not None) for d in docs.tolist()],
+                                  pa.list_(pa.string()))} if len(docs) else None
+
+    return map_batches(keyed, find, "key string, spans binary, items array<string>").dropDuplicates(["key"])
+
+
+def _judge(docs: DataFrame, blocks: DataFrame, answer: Callable, schema: str | StructType) -> DataFrame:
+    """``answer(batch, words, hit, items)`` over the batches of ``docs``
+    (which has the column text), with the hits of all automata."""
+    spark = docs.sparkSession
+    names = [r["block"] for r in blocks.select("block").collect()]
+
+    def block(name: str):
+        return spark.sparkContext.broadcast(pickle.loads(blocks.filter(F.col("block") == name).first()["automaton"]))
+
+    if len(names) < 2:
+        one = block(names[0]) if names else None
+
+        def direct(batch: pa.RecordBatch) -> dict:
+            return answer(batch, *scan_texts(texts_of(batch), one.value if one else None))
+
+        return map_batches(docs, direct, schema)
+    key, spans, owners = (free_name(docs, n) for n in ("text_key", "hit_spans", "hit_items"))
+    text_key = F.sha2(F.col("text"), 256)
+    passes = []
+    for name in names:
+        automaton = block(name)
+        passes.append(materialise(_hits(docs.select(text_key.alias("key"), "text").filter("text is not null"), automaton), "hits"))
+        automaton.destroy()
+    found = (reduce(DataFrame.unionAll, passes).groupBy(F.col("key").alias(key))
+             .agg(F.collect_list("spans").alias(spans), F.array_distinct(F.flatten(F.collect_list("items"))).alias(owners)))
+    found = materialise(found, "hits")
+    let_go(spark, *passes)
+    own = docs.columns
+
+    def joined(batch: pa.RecordBatch) -> dict:
+        words = Words([lower_ascii(utf8(t)) for t in texts_of(batch)], ALNUM_WORDS)
+        hit, items = np.zeros(len(words), dtype=bool), {}
+        cols = dict(zip(batch.schema.names, batch.columns))
+        for d, (parts, owning) in enumerate(zip(cols[spans].to_pylist(), cols[owners].to_pylist())):
+            for lo, hi in (pair for part in parts or () for pair in np.frombuffer(part, "<i4").reshape(-1, 2)):
+                hit[words.doc_first[d] + lo:words.doc_first[d] + hi] = True
+            if owning:
+                items[d] = set(owning)
+        return answer(batch.select(own), words, hit, items)
+
+    return map_batches(docs.withColumn(key, text_key).join(found, key, "left").drop(key), joined, schema)
 
 
 def _per_document(words: Words, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,10 +332,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     hit words but are not listed among the items.  Empty documents: an empty
     result; an empty benchmark: nothing is hit.
     """
-    state = docs.sparkSession.sparkContext.broadcast(build_automata(benchmark, window, block_words))
-
-    def score(batch: pa.RecordBatch) -> dict:
-        words, hit, items = scan_texts(texts_of(batch), state.value)
+    def score(batch: pa.RecordBatch, words: Words, hit: np.ndarray, items: dict[int, set]) -> dict:
         n, n_hit = _per_document(words, hit)
         owning = [sorted(i for i in items.get(d, ()) if i is not None) for d in range(len(n))]
         return {"doc_id": batch.column(0), "n_words": pa.array(n, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()),
@@ -252,8 +340,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 "items_sha256": pa.array([hashlib.sha256(",".join(o).encode()).hexdigest() for o in owning]),
                 "contaminated": pa.array(n_hit > 0)}
 
-    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")), score,
-                       "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return _judge(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")),
+                  build_automata(benchmark, window, block_words), score,
+                  "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_span: int = WINDOW - 1,
@@ -267,23 +356,20 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
     whole.  ``n_chars``, where it exists, follows the new text.  Documents
     without hits come back unchanged, null and empty texts as well.
     """
-    state = docs.sparkSession.sparkContext.broadcast(build_automata(benchmark, window, block_words))
+    blocks = build_automata(benchmark, window, block_words)
     text_out, keep_out = free_name(docs, "clean_text"), free_name(docs, "stays")
-    shortest = min([max_span + 1, *(k for a in state.value for k in a.bitmaps)])
+    shortest = blocks.agg(F.least(F.lit(max_span + 1), F.min("shortest"))).first()[0]
 
-    def cut(batch: pa.RecordBatch) -> dict:
+    def cut(batch: pa.RecordBatch, words: Words, hit: np.ndarray, _items: dict[int, set]) -> dict:
         texts = texts_of(batch)
-        words, hit, _items = scan_texts(texts, state.value)
         n, n_hit = _per_document(words, hit)
         stays = n_hit <= max_coverage * np.maximum(n, 1)
         out = list(texts)
         sizes = np.array([len(utf8(t)) for t in texts])
         base = np.concatenate(([0], np.cumsum(sizes + 1)))
         for d in np.flatnonzero((n_hit > 0) & stays):
-            flags = np.concatenate(([0], hit[words.doc_first[d]:words.doc_first[d + 1]].astype(np.int8), [0]))
-            edge = np.diff(flags)
             raw, kept, at = utf8(texts[d]), [], 0
-            for lo, hi in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
+            for lo, hi in zip(*_runs(hit[words.doc_first[d]:words.doc_first[d + 1]])):
                 if hi - lo < shortest:
                     continue
                 first = int(words.starts[words.doc_first[d] + lo] - base[d])
@@ -295,7 +381,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
         return cols | {text_out: pa.array(out, pa.string()), keep_out: pa.array(stays)}
 
     schema = StructType([*docs.schema.fields, StructField(text_out, StringType()), StructField(keep_out, BooleanType())])
-    done = map_batches(docs, cut, schema).filter(F.col(keep_out))
+    done = _judge(docs, blocks, cut, schema).filter(F.col(keep_out))
     new_text = F.col(text_out)
     changed = ~new_text.eqNullSafe(F.col("text"))
     out = {"text": new_text}

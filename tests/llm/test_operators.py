@@ -5,6 +5,7 @@ extra columns."""
 from __future__ import annotations
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -170,7 +171,8 @@ def test_substring_rows_of_one_id_stay_linear(spark, same):
     assert Counter(r["n_removed"] for r in got) == Counter({0: 1, 40: 200})
 
 
-def test_decontamination(spark, docs, none):
+@pytest.mark.parametrize("block_words", [200_000, 4])
+def test_decontamination(spark, docs, none, block_words):
     items = [(1, " ".join(_words(_texts()[40][1])[9:25])), (2, "One"), (3, None), (4, "."), (None, "lost")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     token = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -189,11 +191,26 @@ def test_decontamination(spark, docs, none):
                     hit.update(range(k, k + len(key)))
                     found |= {str(o) for o in owners if o is not None}
         want[i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)] += 1
-    assert Counter(map(tuple, decontaminate.contamination(docs, bench).collect())) == want
+    assert Counter(map(tuple, decontaminate.contamination(docs, bench, block_words=block_words).collect())) == want
     assert decontaminate.contamination(none, bench).count() == 0
     assert not decontaminate.contamination(docs, none.withColumnRenamed("doc_id", "item_id")).filter("contaminated").count()
-    left = decontaminate.remove_contamination(docs, bench)
+    left = decontaminate.remove_contamination(docs, bench, block_words=block_words)
     assert left.columns == docs.columns
+    assert (Counter(map(tuple, left.collect()))
+            == Counter(map(tuple, decontaminate.remove_contamination(docs, bench).collect())))
+
+
+def test_automata_stay_within_their_words(spark):
+    rng = random.Random(4)
+    items = [(i, _prose(rng, 30)) for i in range(20)] + [(99, _prose(rng, 300))]
+    bench = spark.createDataFrame(items * 2, "item_id long, text string")
+    blocks = decontaminate.build_automata(bench, block_words=50).collect()
+    assert len(blocks) > 10 and len({r["block"] for r in blocks}) == len(blocks)
+    sizes = [max(pickle.loads(r["automaton"]).length) for r in blocks]
+    assert max(sizes) <= 50 + decontaminate.WINDOW - 1
+    docs = spark.createDataFrame([(1, items[-1][1]), (2, "no such words")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontaminate.contamination(docs, bench, block_words=50).collect()}
+    assert got == {1: (300, 1), 2: (0, 0)}
 
 
 def test_packing(docs, none):
