@@ -39,7 +39,7 @@ from .wordarrays import ALNUM_WORDS, Words, lower_ascii, run_hash, utf8
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
-_SPARSE = 32             # bits of a bitmap for each of its windows, at least
+_BITS, _SPARSE = 22, 128  # a bitmap has 2 ** _BITS bits and _SPARSE for each of its windows, at least
 _WORD_BYTES = 6          # of a word and the space after it, to guess the number of blocks
 
 
@@ -106,7 +106,7 @@ class SuffixAutomaton:
         prints = Words(by_code, ALNUM_WORDS).fingerprints() if by_code else np.empty(0, np.uint64)
         self.bitmaps: dict[int, np.ndarray] = {}
         for k, windows in sorted(lengths.items()):
-            table = np.zeros(1 << max(16, (_SPARSE * len(windows) - 1).bit_length()), dtype=bool)
+            table = np.zeros(1 << max(_BITS, (_SPARSE * len(windows) - 1).bit_length()), dtype=bool)
             flat = prints[np.array(list(windows), dtype=np.int64).reshape(-1)]
             table[run_hash(flat, k)[::k] & np.uint64(len(table) - 1)] = True
             self.bitmaps[k] = np.packbits(table)
@@ -181,9 +181,8 @@ class SuffixAutomaton:
         maybe = np.zeros(len(words) + 1, dtype=np.int32)
         doc_end = np.repeat(words.doc_first[1:], np.diff(words.doc_first))
         for k, packed in self.bitmaps.items():
-            table = np.unpackbits(packed).view(bool)
-            starts = table[run_hash(prints, k) & np.uint64(len(table) - 1)]
-            at = np.flatnonzero(starts)
+            bit = run_hash(prints, k) & np.uint64(8 * len(packed) - 1)
+            at = np.flatnonzero(packed[bit >> np.uint64(3)] & (np.uint8(128) >> (bit & np.uint64(7)).astype(np.uint8)))
             at = at[at + k <= doc_end[at]]
             np.add.at(maybe, at, 1)
             np.add.at(maybe, at + k, -1)
@@ -211,36 +210,32 @@ def build_automata(benchmark: DataFrame, window: int = WINDOW, block_words: int
     """Automata of all items, each of at most about block_words words, written
     to the shared folder: columns block, shortest (window length), automaton.
 
-    Rows without text are left out and repeated rows go once.  A task takes the
-    rows of its partition and ends an automaton when it is full."""
+    Rows without text are left out and repeated rows go once.  Items are dealt
+    by hash into as many groups as their bytes ask for, so the number of
+    automata follows the benchmark and not the partitions of its shuffle."""
     rows = (benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null").distinct())
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    parts = 1 + total // (_WORD_BYTES * block_words)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size = defaultdict(list), 0
-
-        def row() -> pa.RecordBatch:
-            automaton = SuffixAutomaton(block, window)
-            packed = pickle.dumps(automaton, protocol=pickle.HIGHEST_PROTOCOL)
-            return pa.RecordBatch.from_pydict({
-                "block": pa.array([hashlib.sha256(packed).hexdigest()]),
-                "shortest": pa.array([min(automaton.bitmaps)], pa.int32()), "automaton": pa.array([packed], pa.binary())})
-
-        for batch in batches:
-            for item, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
-                for words in _pieces(item_words(text), window, block_words):
-                    if size and size + len(words) > block_words:
-                        yield row()
-                        block, size = defaultdict(list), 0
-                    if words:
-                        block[item].append(words)
-                        size += len(words)
+    groups = 1 + total // (_WORD_BYTES * block_words)
+
+    def build(table: pa.Table) -> pa.Table:
+        blocks, block, size = [], defaultdict(list), 0
+        for item, text in zip(table["item_id"].to_pylist(), table["text"].to_pylist()):
+            for words in _pieces(item_words(text), window, block_words):
+                if size and size + len(words) > block_words:
+                    blocks.append(SuffixAutomaton(block, window))
+                    block, size = defaultdict(list), 0
+                if words:
+                    block[item].append(words)
+                    size += len(words)
         if size:
-            yield row()
-
-    built = rows.repartition(parts, F.xxhash64("item_id", "text")).mapInArrow(
-        build, "block string, shortest int, automaton binary")
+            blocks.append(SuffixAutomaton(block, window))
+        packed = [pickle.dumps(a, protocol=pickle.HIGHEST_PROTOCOL) for a in blocks]
+        return pa.table({"block": pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
+                         "shortest": pa.array([min(a.bitmaps) for a in blocks], pa.int32()),
+                         "automaton": pa.array(packed, pa.binary())})
+
+    built = (rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(groups))).groupBy("part")
+             .applyInArrow(build, "block string, shortest int, automaton binary"))
     return materialise(built, "automata")
 
 
