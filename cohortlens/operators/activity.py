@@ -1,6 +1,7 @@
 """Reports beyond the original statements that need their own join or window
-mechanism: events within an account's life (interval join), rolling distinct
-users (frames over days) and subtotals over country, platform and os (cube).
+mechanism: events within an account's life (interval join), events by the account
+opened last before them (as-of join), rolling distinct users (frames over days)
+and subtotals over country, platform and os (cube).
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import date_lit, div, rnd
 from ..params import DEFAULT, Params
+from ..plans.asof import as_of_join
 from ..plans.broadcast import dimension
 from ..plans.fanout import rows_per
 
@@ -100,3 +102,25 @@ def account_cube(user_info: DataFrame, geography: DataFrame, params: Params = DE
     return (per_user.groupBy("_s").agg(F.sum("_a").alias("accounts"), F.count("user_id").alias("users"))
             .select("_s.level", *[f"_s.{k}" for k in keys], "accounts", "users")
             .orderBy("level", *keys))
+
+
+def events_by_account(user_info: DataFrame, events: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Events by the platform of the account their user opened last before them:
+    events, users, fees and the mean age of that account in days.
+
+    An account counts from the start of its created_date; of accounts opened on
+    one day the greatest id.  ``has_account`` tells events without any earlier
+    account (no user, no time, none opened yet) from accounts without platform.
+    An as-of join over bins of ``life_bin_days`` days (``plans.asof``); users are
+    counted after a first aggregate per user."""
+    opened = user_info.select("user_id", F.col("created_date").cast("timestamp_ntz").alias("opened"), "id", "platform")
+    seen = events.select("user_id", "datetime", "fee")
+    met = as_of_join(seen, opened, "user_id", "datetime", "opened",
+                     lambda t: _bin(F.to_date(t), params.life_bin_days), "account")
+    per_user = met.groupBy(F.col("account.platform").alias("platform"), F.col("account").isNotNull().alias("has_account"), "user_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("fee").alias("_f"),
+        F.sum(F.datediff(F.to_date("datetime"), F.to_date("account.opened"))).alias("_age"))
+    agg = per_user.groupBy("platform", "has_account").agg(
+        F.sum("_n").alias("events"), F.count("user_id").alias("users"), F.sum("_f").alias("_fee"), F.sum("_age").alias("_days"))
+    return agg.select("platform", "has_account", "events", "users", rnd("_fee", 2).alias("fee"),
+                      rnd(div("_days", "events"), 2).alias("mean_account_age")).orderBy("has_account", "platform")

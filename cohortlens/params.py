@@ -76,7 +76,7 @@ class Params:
 
     # activity reports
     rolling_days: tuple[int, ...] = (7, 28)
-    life_bin_days: int = 7             # physical: width of the interval join's bins
+    life_bin_days: int = 7             # physical: width of the bins of interval and as-of joins
 
     # physical knobs (not semantics)
     dimension_max_rows: int | None = None  # None: Spark's size-based join choice; int: count-checked broadcast

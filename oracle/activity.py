@@ -33,3 +33,19 @@ SELECT CAST(GROUPING(g.country, u.platform, u.os) AS BIGINT) AS level, g.country
 FROM user_info u LEFT JOIN geography g ON g.code = u.mp_country_code
 GROUP BY CUBE (g.country, u.platform, u.os)
 """)
+
+# the latest account of its user that was open when the event came
+SQL["events_by_account"] = with_adapter(f"""
+, opened AS (
+  SELECT user_id, CAST(created_date AS TIMESTAMP) AS opened, max(id) AS id
+  FROM user_info WHERE user_id IS NOT NULL AND created_date IS NOT NULL GROUP BY ALL
+), named AS (
+  SELECT o.user_id, o.opened, o.id, u.platform FROM opened o JOIN user_info u ON u.id = o.id
+), met AS (
+  SELECT e.user_id, e.fee, a.id, a.platform, date_diff('day', CAST(a.opened AS DATE), CAST(e.datetime AS DATE)) AS age
+  FROM uevents e ASOF LEFT JOIN named a ON e.user_id = a.user_id AND e.datetime >= a.opened
+)
+SELECT platform, id IS NOT NULL AS has_account, count(*) AS events, count(DISTINCT user_id) AS users,
+       {R('sum(fee)', 2)} AS fee, {R('sum(age) / count(*)', 2)} AS mean_account_age
+FROM met GROUP BY platform, has_account
+""")

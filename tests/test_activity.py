@@ -9,9 +9,11 @@ from decimal import Decimal
 
 import pytest
 from conftest import D, T, accounts, events, geography
+from pyspark.sql import functions as F
 
 from cohortlens.operators import activity
 from cohortlens.params import Params
+from cohortlens.plans.asof import as_of_join
 
 P = Params()          # as_of 2023-04-01
 
@@ -87,3 +89,61 @@ def test_account_cube(spark):
             users.setdefault(at, set()).add(u["user_id"])
     got = {(r.level, r.country, r.platform, r.os): (r.accounts, r.users) for r in rows}
     assert len(got) == len(rows) and got == {k: (n[k], len(users[k] - {None})) for k in n}
+
+
+def _latest(us, e):
+    """Account (id, row) the user of an event opened last before it, or None."""
+    at = e.get("datetime")
+    best = None
+    for i, u in enumerate(us, 1):
+        day = u["created_date"]
+        if None in (u["user_id"], e["user_id"], day, at) or u["user_id"] != e["user_id"] or T(day.year, day.month, day.day) > at:
+            continue
+        best = max(best or (D(1, 1, 1), 0), (day, i))
+    return None if best is None else (best[1], us[best[1] - 1])
+
+
+@pytest.mark.parametrize("width", [1, 7, 100_000])
+def test_events_by_account(spark, width):
+    us, es = _inputs(spark)
+    es = es + [dict(user_id=1, datetime=None, fee=3), dict(user_id=1, datetime=T(2023, 1, 5), fee=1)] + es[:20]
+    us = us + [dict(us[0], user_id=1, created_date=D(2023, 1, 5), platform=p) for p in ("web", None, "ios")]     # ties
+    got = {(r.platform, r.has_account): r for r in
+           activity.events_by_account(accounts(spark, us), events(spark, es), P.with_(life_bin_days=width)).collect()}
+    want = {}
+    for e in es:
+        a = _latest(us, e)
+        w = want.setdefault((a and a[1]["platform"], a is not None), [0, set(), Decimal(0), 0])
+        w[0] += 1
+        w[1].add(e["user_id"])
+        w[2] += Decimal(str(e["fee"] or 0))
+        w[3] += (e["datetime"].date() - a[1]["created_date"]).days if a else 0
+    assert {k: (r.events, r.users) for k, r in got.items()} == {k: (w[0], len(w[1] - {None})) for k, w in want.items()}
+    assert all(r.fee == float(want[k][2]) for k, r in got.items())
+    for k, r in got.items():
+        assert r.mean_account_age is None if not k[1] else abs(r.mean_account_age - want[k][3] / want[k][0]) < 0.006
+    assert activity.events_by_account(accounts(spark, us), events(spark, []), P).count() == 0
+    alone = activity.events_by_account(accounts(spark, []), events(spark, es), P).collect()
+    assert [(r.platform, r.has_account, r.events) for r in alone] == [(None, False, len(es))]
+
+
+@pytest.mark.parametrize("width", [1, 3, 10_000])
+def test_as_of_join_rows(spark, width):
+    """Row by row: repeated rows stay, ties take the greatest, null keys and times match nothing."""
+    rng = random.Random(5)
+    left = [(i, rng.choice([1, 1, 1, 2, 3, None]), rng.choice([None, *range(30)])) for i in range(120)] + [(0, 1, 4), (0, 1, 4)]
+    right = [(rng.choice([1, 1, 2, None]), rng.choice([None, *range(0, 30, 3)]), rng.choice(["a", "b", None])) for _ in range(60)]
+    got = as_of_join(spark.createDataFrame(left, "row long, k long, at int"), spark.createDataFrame(right, "k long, since int, v string"),
+                     "k", "at", "since", lambda t: F.floor(t / width))
+    greatest = lambda ms: max(ms, key=lambda m: (m[0], m[1] is not None, m[1] or ""), default=None)      # noqa: E731
+    want = Counter((i, k, at, greatest([(s, v) for rk, s, v in right if None not in (rk, k, s, at) and rk == k and s <= at]))
+                   for i, k, at in left)
+    assert Counter((r.row, r.k, r.at, r.match and tuple(r.match)) for r in got.collect()) == want
+
+
+def test_as_of_join_forms_no_pairs(spark, tmp_path):
+    us, es = _inputs(spark)
+    accounts(spark, us).write.parquet(f"{tmp_path}/u")
+    events(spark, es).write.parquet(f"{tmp_path}/e")
+    plan = _plan(activity.events_by_account(spark.read.parquet(f"{tmp_path}/u"), spark.read.parquet(f"{tmp_path}/e"), P))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from cohortlens.suite import REPORTS
+from cohortlens.suite import EXTENSIONS, REPORTS
 from tools.check_oracle import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
@@ -28,7 +28,7 @@ def test_every_report_has_oracle_sql():
     assert len(REPORTS) == 51
 
 
-@pytest.mark.parametrize("name", sorted(REPORTS))
+@pytest.mark.parametrize("name", sorted([*REPORTS, *EXTENSIONS]))
 def test_matches_oracle(spark, duck, name):
     got = entry.queries()[name](spark, SF).toPandas()
     want = duck.execute(entry.oracle_sql()[name]).df()
