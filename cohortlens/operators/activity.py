@@ -1,7 +1,8 @@
 """Reports beyond the original statements that need their own join or window
 mechanism: events within an account's life (interval join), events by the account
-opened last before them (as-of join), rolling distinct users (frames over days)
-and subtotals over country, platform and os (cube).
+opened last before them (as-of join), rolling distinct users (frames over days),
+approximate ones from stored sketches, and subtotals over country, platform and
+os (cube).
 """
 
 from __future__ import annotations
@@ -124,3 +125,25 @@ def events_by_account(user_info: DataFrame, events: DataFrame, params: Params =
         F.sum("_n").alias("events"), F.count("user_id").alias("users"), F.sum("_f").alias("_fee"), F.sum("_age").alias("_days"))
     return agg.select("platform", "has_account", "events", "users", rnd("_fee", 2).alias("fee"),
                       rnd(div("_days", "events"), 2).alias("mean_account_age")).orderBy("has_account", "platform")
+
+
+def daily_user_sketches(events: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Per day and platform a mergeable sketch of its users, and its event count:
+    the small table to store once.  Events without a date are left out; a day
+    whose events have no user has an empty sketch."""
+    dated = events.filter(F.col("date").isNotNull())
+    return dated.groupBy("date", "platform").agg(
+        F.hll_sketch_agg("user_id", params.sketch_lg_k).alias("users_sketch"), F.count(F.lit(1)).alias("events"))
+
+
+def approx_active_users(sketches: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Approximate distinct users and exact events per day, ISO week and month,
+    over all platforms, from ``daily_user_sketches`` alone: sketches are united,
+    events are not read again.  Relative standard error 1.04 / sqrt(2^lg_k): 0.8 %
+    at ``sketch_lg_k`` 14.  The exact counts are those of ``dau_by_platform`` and
+    ``rolling_active_users``."""
+    periods = F.array(*[F.struct(F.lit(p).alias("period"), F.trunc("date", p).alias("starts")) for p in ("week", "month")],
+                      F.struct(F.lit("day").alias("period"), F.col("date").alias("starts")))
+    return (sketches.select(F.explode(periods).alias("_p"), "users_sketch", "events").groupBy("_p")
+            .agg(F.hll_sketch_estimate(F.hll_union_agg("users_sketch")).alias("users"), F.sum("events").alias("events"))
+            .select("_p.period", "_p.starts", "users", "events").orderBy("period", "starts"))

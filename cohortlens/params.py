@@ -76,6 +76,7 @@ class Params:
 
     # activity reports
     rolling_days: tuple[int, ...] = (7, 28)
+    sketch_lg_k: int = 14              # log2 of the registers of a distinct-user sketch
     life_bin_days: int = 7             # physical: width of the bins of interval and as-of joins
 
     # physical knobs (not semantics)

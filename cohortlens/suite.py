@@ -181,6 +181,7 @@ REPORTS: dict[str, Report] = {
 EXTENSIONS: dict[str, Report] = {
     "events_in_life": _r(lambda d: act.events_in_life(d.tables.user_info, d.tables.events, d.params)),
     "events_by_account": _r(lambda d: act.events_by_account(d.tables.user_info, d.tables.events, d.params)),
+    "approx_active_users": _r(lambda d: act.approx_active_users(act.daily_user_sketches(d.tables.events, d.params), d.params)),
     "rolling_active_users": _r(lambda d: act.rolling_active_users(d.tables.events, d.params)),
     "account_cube": _r(lambda d: act.account_cube(d.tables.user_info, d.tables.geography, d.params)),
 }

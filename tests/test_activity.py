@@ -147,3 +147,39 @@ def test_as_of_join_forms_no_pairs(spark, tmp_path):
     events(spark, es).write.parquet(f"{tmp_path}/e")
     plan = _plan(activity.events_by_account(spark.read.parquet(f"{tmp_path}/u"), spark.read.parquet(f"{tmp_path}/e"), P))
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
+
+
+def _exact_users(es):
+    users, n = {}, Counter()
+    for user, day in es:
+        if day is None:
+            continue
+        for at in (("day", day), ("week", day - dt.timedelta(days=day.weekday())), ("month", day.replace(day=1))):
+            n[at] += 1
+            users.setdefault(at, set()).update({user} - {None})
+    return {at: len(u) for at, u in users.items()}, n
+
+
+def test_approx_active_users(spark, tmp_path):
+    """Small periods are exact; 20,000 users a day stay within four standard errors; the stored table serves."""
+    us, es = _inputs(spark)
+    got = {(r.period, r.starts): (r.users, r.events)
+           for r in activity.approx_active_users(activity.daily_user_sketches(events(spark, es), P), P).collect()}
+    users, n = _exact_users([(e["user_id"], e["datetime"].date()) for e in es])
+    assert got == {at: (users[at], n[at]) for at in n}
+
+    many = spark.range(120_000).select((F.col("id") * 7 % 50_000).alias("user_id"), F.expr("date_add(date'2023-01-02', cast(id % 6 as int))").alias("date"),
+                                       F.lit("web").alias("platform"))
+    activity.daily_user_sketches(many, P).write.parquet(f"{tmp_path}/sketches")
+    rows = activity.approx_active_users(spark.read.parquet(f"{tmp_path}/sketches"), P).collect()
+    exact, n = _exact_users([(r.user_id, r.date) for r in many.collect()])
+    assert len(rows) == 8 and {(r.period, r.starts): r.events for r in rows} == n
+    error = 1.04 / 2 ** (P.sketch_lg_k / 2)
+    assert all(abs(r.users - exact[r.period, r.starts]) <= 4 * error * exact[r.period, r.starts] for r in rows)
+
+
+def test_approx_active_users_without_users_or_dates(spark):
+    run = lambda es: [tuple(r) for r in activity.approx_active_users(activity.daily_user_sketches(events(spark, es), P), P).collect()]      # noqa: E731
+    assert run([]) == [] and run([dict(user_id=1)]) == []
+    assert run([dict(user_id=None, datetime=T(2023, 1, 2))]) == [(p, s, 0, 1) for p, s in
+                                                                 (("day", D(2023, 1, 2)), ("month", D(2023, 1, 1)), ("week", D(2023, 1, 2)))]
