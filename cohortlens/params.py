@@ -77,6 +77,8 @@ class Params:
     # activity reports
     rolling_days: tuple[int, ...] = (7, 28)
     sketch_lg_k: int = 14              # log2 of the registers of a distinct-user sketch
+    snapshot_days: int = 30            # days between the two snapshots of the account change reports
+    diff_buckets: int = 65_536         # physical: buckets whose digests two snapshots compare
     life_bin_days: int = 7             # physical: width of the bins of interval and as-of joins
 
     # physical knobs (not semantics)

@@ -53,11 +53,13 @@ SCHEMAS = {"user_info": USER_INFO_SCHEMA, "events": EVENTS_SCHEMA, "geography":
 @dataclass(frozen=True)
 class Tables:
     """The three inputs of the suite.  ``geography_updated``: the dimension that
-    the country reports on trial abuse read instead of ``geography``, if given."""
+    the country reports on trial abuse read instead of ``geography``, if given.
+    ``properties``: ``platform`` and JSON text ``props`` of events, for ``event_properties``."""
     user_info: DataFrame
     events: DataFrame
     geography: DataFrame
     geography_updated: DataFrame | None = None
+    properties: DataFrame | None = None
 
     @property
     def abuse_geography(self) -> DataFrame:

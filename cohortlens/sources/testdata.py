@@ -67,13 +67,22 @@ def user_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(df, "user_info")
 
 
+def _platform_from_type(event_type) -> F.Column:
+    return (F.when(event_type.isin("view", "signup"), "web")
+            .when(event_type.isin("click", "error"), "android")
+            .when(event_type == "purchase", "ios"))
+
+
+def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Platform and JSON text of every event."""
+    return _read(spark, sf_dir, "events").select(_platform_from_type(F.col("event_type")).alias("platform"), "props")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events")
     # each user's events move back by up to 24 days, so that recency varies; every row stays
     moved = F.col("ts") - F.make_dt_interval(days=F.coalesce((F.col("user_id") * 7) % 25, F.lit(0)).cast("int"))
-    platform = (F.when(F.col("event_type").isin("view", "signup"), "web")
-                .when(F.col("event_type").isin("click", "error"), "android")
-                .when(F.col("event_type") == "purchase", "ios"))
+    platform = _platform_from_type(F.col("event_type"))
     df = e.select(
         F.col("event_id").alias("id"),
         F.when(F.col("event_id") % 97 == 0, F.lit(None).cast("long")).otherwise(F.col("user_id")).alias("user_id"),
@@ -114,7 +123,7 @@ def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tables(spark: SparkSession, sf_dir: str, event_view: str = "events") -> Tables:
     ev = events(spark, sf_dir) if event_view == "events" else order_events(spark, sf_dir)
-    return Tables(user_info(spark, sf_dir), ev, geography(spark, sf_dir))
+    return Tables(user_info(spark, sf_dir), ev, geography(spark, sf_dir), properties=event_properties(spark, sf_dir))
 
 
 def write_tables(spark: SparkSession, sf_dir: str, out_dir: str) -> None:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 
 from .operators import abuse as ab
 from .operators import activity as act
+from .operators import changes as chg
 from .operators import geography as geo
 from .operators import kpis as kpi
 from .operators import platform as pl
@@ -184,6 +185,10 @@ EXTENSIONS: dict[str, Report] = {
     "approx_active_users": _r(lambda d: act.approx_active_users(act.daily_user_sketches(d.tables.events, d.params), d.params)),
     "rolling_active_users": _r(lambda d: act.rolling_active_users(d.tables.events, d.params)),
     "account_cube": _r(lambda d: act.account_cube(d.tables.user_info, d.tables.geography, d.params)),
+    "account_changes": _r(lambda d: chg.account_changes(d.tables.user_info, d.params)),
+    "account_change_summary": _r(lambda d: chg.account_change_summary(d.tables.user_info, d.params)),
+    "daily_usage_refreshed": _r(lambda d: chg.daily_usage_refreshed(d.tables.events, d.params)),
+    "event_properties": _r(lambda d: chg.event_properties(d.tables.properties)),
 }
 
 # derived tables the original scripts materialise, in dependency order
