@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.labels import PLATFORMS
 
 
-def _wall_clock_as_utc(c: str) -> F.Column:
+def wall_clock_as_utc(c: str) -> F.Column:
     """The TIMESTAMP_NTZ wall-clock time as the same wall-clock time in UTC,
     so one-day windows are calendar days whatever the session time zone."""
     t = F.col(c)
@@ -29,7 +29,7 @@ def _wall_clock_as_utc(c: str) -> F.Column:
 
 def platform_use_stream(events: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Streaming DataFrame: date, web, android, ios, volume — one row per day."""
-    agg = (events.withColumn("_ts", _wall_clock_as_utc("datetime"))
+    agg = (events.withColumn("_ts", wall_clock_as_utc("datetime"))
            .withWatermark("_ts", watermark)
            .groupBy(F.window("_ts", "1 day").alias("_day"))
            .agg(*[F.count(F.when(F.col("platform") == p, F.lit(1))).alias(p) for p in PLATFORMS],
