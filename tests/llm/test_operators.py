@@ -4,6 +4,8 @@ extra columns."""
 
 from __future__ import annotations
 
+import math
+import itertools
 import hashlib
 import pickle
 import random
@@ -291,6 +293,10 @@ def _verdicts(rows):
     return {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows.collect()}
 
 
+def _ranked(rules):
+    return [(r["tokens"], r["verdict"]) for r in rules.orderBy("place").collect()]
+
+
 def test_url_rules(spark):
     urls = [(1, "http://a.Example.ORG/es/1?x=/en/"), (2, "https://example.org/en/17"), (3, "https://x.org"), (4, None), (5, "nothing"),
             (6, "http://b.com/de/?q"), (7, "http://notcom/fr/"), (8, "http://b.com/fr/#y"), (9, "http://bad.net/junk/7"),
@@ -298,9 +304,10 @@ def test_url_rules(spark):
     known = [(100 + k, f"http://{'bad' if k % 2 else 'good'}.net/{'junk' if k % 2 else 'fine'}/{k}") for k in range(100)]
     pages = spark.createDataFrame(urls + known, "page_id long, url string").withColumn("host", F.lit("clash"))
     labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in known] + [(None, 1), (1, None)], "doc_id long, quality int")
-    rules = url_rules.mine_rules(pages, labels)
+    table = url_rules.mine_rules(pages, labels)
+    rules = _ranked(table)
     assert rules and {v for _, v in rules} == {"allow", "block"}
-    got = _verdicts(url_rules.judge_urls(pages, rules))
+    got = _verdicts(url_rules.judge_urls(pages, table))
     assert got[1] == ("a.example.org", "/es/1", "example.org/es/", "block")
     assert got[2] == ("example.org", "/en/17", "example.org/en/1", "block")
     assert got[3] == ("x.org", "", None, "allow")
@@ -313,8 +320,63 @@ def test_url_rules(spark):
     for i, (_, _, rule, verdict) in got.items():
         if rule is None:
             assert verdict == next((v for need, v in rules if set(need) <= tokens[i]), "allow")
-    assert url_rules.mine_rules(pages.limit(0), labels) == []
-    assert url_rules.judge_urls(pages.limit(0), rules).count() == 0
+    assert url_rules.mine_rules(pages.limit(0), labels).count() == 0
+    assert url_rules.judge_urls(pages.limit(0), table).count() == 0
+    assert {v[3] for v in _verdicts(url_rules.judge_urls(pages, table.limit(0))).values() if v[2] is None} == {"allow"}
+
+
+def _labelled(spark):
+    """Pages of few tokens, their baskets, labels that follow from token pairs, and a rare bad token."""
+    rng = random.Random(6)
+    urls, quality = [], []
+    for k in range(700):
+        a, b, c = rng.choice("pqr"), rng.choice("xyz"), rng.choice("uv")
+        rare = k % 28 == 0
+        urls.append((k, f"http://{a}.{'rare' if rare else 'net'}/{b}/{c}/{k}"))
+        quality.append((k, int(not (rare or (a == "p" and b == "x") or rng.random() < 0.1))))
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    tokens = {r["page_id"]: frozenset(r["t"]) for r in pages.select("page_id", url_rules.url_tokens(F.col("url")).alias("t")).collect()}
+    return pages, spark.createDataFrame(quality, "doc_id long, quality int"), [(tokens[k], "allow" if q else "block") for k, q in quality]
+
+
+def test_url_rules_are_all_frequent_itemsets(spark):
+    """Plain enumeration of every combination of tokens, then of the rare single ones."""
+    pages, labels, baskets = _labelled(spark)
+    n, share = len(baskets), Counter(v for _, v in baskets)
+    seen, hits = Counter(), Counter()
+    for tokens, v in baskets:
+        for size in range(1, len(tokens) + 1):
+            for some in itertools.combinations(sorted(tokens), size):
+                seen[some] += 1
+                hits[some, v] += 1
+    want = {}
+    for (some, v), h in hits.items():
+        confidence, base = h / seen[some], share[v] / n
+        frequent = h >= 0.05 * n and confidence >= 0.8 and confidence > base
+        z, m = url_rules.Z, seen[some]
+        bound = (confidence + z * z / (2 * m) - z * math.sqrt(confidence * (1 - confidence) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+        rare = len(some) == 1 and 20 <= h < 0.05 * n and confidence >= 0.8 and bound > base
+        if frequent or rare:
+            want[some] = (-confidence, -h / n, len(some), v)
+    kept = {s: w for s, w in want.items()
+            if not any(set(o) < set(s) and (x[:3], " ".join(o)) < (w[:3], " ".join(s)) for o, x in want.items())}
+    table = url_rules.mine_rules(pages, labels, min_support=0.05)
+    got = {tuple(r["tokens"]): (r["place"]["doubt"], r["place"]["support"], r["place"]["n_tokens"], r["verdict"]) for r in table.collect()}
+    assert set(got) == set(kept) and len(kept) < len(want)
+    for some, w in kept.items():
+        assert got[some][3] == w[3] and got[some][:3] == pytest.approx(w[:3])
+    assert ("host=rare",) in got and got[("host=rare",)][3] == "block"
+    # pruned rules decide as all of them would
+    ranked = [(set(s), w[3]) for s, w in sorted(want.items(), key=lambda e: (e[1][:3], " ".join(e[0])))]
+    verdicts = {r["page_id"]: r["verdict"] for r in url_rules.judge_urls(pages, table, stated=[]).collect()}
+    assert verdicts == {k: next((v for need, v in ranked if need <= t), "allow") for k, (t, _) in enumerate(baskets)}
+    assert any(v == "block" for v in verdicts.values())
+
+
+def test_rules_are_no_literals_of_the_plan(spark):
+    pages, labels, _ = _labelled(spark)
+    plan = url_rules.judge_urls(pages, url_rules.mine_rules(pages, labels))._jdf.queryExecution().toString()
+    assert "rare" not in plan and "Python" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_preference(spark):
