@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise, texts_of
+from .common import map_batches, materialise, sized, texts_of
 from .components import components
 from .exact_dedup import keep_rows
 from .wordarrays import lower_ascii, mix, utf8
@@ -342,17 +342,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     * An empty table gives an empty result.
     """
     prints = materialise(fingerprints(docs, shingle), "simhash-prints")
-    distinct = materialise(prints.select("fp").distinct(), "simhash-distinct")
+    rows = prints.count()
+    distinct = materialise(sized(prints.select("fp").distinct(), rows), "simhash-distinct")
     links = near_links(distinct, max_bits)
     found = materialise(components(links, "simhash-links"), "simhash-components")
     ids = prints.groupBy("doc_id", "fp", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"),
                                      F.min(F.struct("doc_id", "text_hash")).alias("first"))
     least = least.join(found, least["fp"] == found["node"], "left").withColumn("component", F.coalesce("component", "fp"))
-    least = materialise(least.select("fp", "component", "least", "first"), "simhash-least")
+    least = materialise(sized(least.select("fp", "component", "least", "first"), rows), "simhash-least")
     group = least.groupBy("component").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
     member = least.select("fp", "component").join(group, "component").select("fp", "component_id", "first")
-    out = ids.join(member, "fp")
+    out = sized(ids.join(member, "fp"), rows)
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
                       kept.alias("kept"), "text_hash", "copies")

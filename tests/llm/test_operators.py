@@ -17,7 +17,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cohortlens.llm import (decontaminate, exact_dedup, language_id, packing, preference, sharding, simhash,
+from cohortlens.llm import (common, components, decontaminate, exact_dedup, language_id, packing, preference, sharding, simhash,
                             substring_dedup, toxicity, url_rules)
 from cohortlens.llm.queries import word_tokenizer
 
@@ -102,6 +102,39 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_simhash_files_follow_rows_not_partitions(spark, docs, monkeypatch):
+    """Few rows under many shuffle partitions are few files (each costs an
+    executor a process); more rows are more."""
+    files: dict[str, int] = {}
+
+    def written(df, name):
+        out = common.materialise(df, name)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", written)
+    monkeypatch.setattr(components, "materialise", written)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        near = simhash.near_duplicates(docs)
+        got = {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in near.collect()}
+        few = files | {"result": near.rdd.getNumPartitions()}
+        chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+        found = components.components(chain.unionByName(chain), "chain").collect()
+        monkeypatch.setattr(common, "ROWS_PER_FILE", 100)
+        components.components(chain, "many").count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
+    assert max(v for k, v in few.items() if k != "simhash-prints") <= 2 and len(few) == 6
+    assert sorted(map(tuple, found)) == [(k, 0) for k in range(301)]
+    assert files["many"] >= 2
+
+
 def _covered(texts, n=13):
     last = 1 << 62
     first: dict[tuple, int] = {}
