@@ -18,6 +18,8 @@ that touch are one repeat, so a document's spans are maximal
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -52,14 +54,31 @@ class Scan:
         valid = np.arange(n) + window <= first[1:][owner] if n else np.zeros(0, dtype=bool)
         self.start = np.flatnonzero(valid)
         self.doc = owner[self.start]
-        hashes = run_hash(self.codes, run)
-        if len(self.start):
-            spread = np.lib.stride_tricks.sliding_window_view(hashes, window - run + 1)
-            self.run = np.concatenate([spread[part].min(axis=1) for part in
-                                       np.array_split(self.start, 1 + len(self.start) // 500_000)])
-        else:
-            self.run = np.empty(0, dtype=np.uint64)
-        self.whole = run_hash(self.codes, window)[self.start]
+        self.run = sliding_min(run_hash(self.codes, run), window - run + 1)[self.start]
+        self.window = window
+
+    @cached_property
+    def whole(self) -> np.ndarray:
+        """Hash of every window."""
+        return run_hash(self.codes, self.window)[self.start]
+
+    def picks(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first, size): neighbouring windows of a document that pick the same run."""
+        new = np.ones(len(self.run), dtype=bool)
+        new[1:] = (self.run[1:] != self.run[:-1]) | (self.doc[1:] != self.doc[:-1])
+        first = np.flatnonzero(new)
+        return first, np.diff(np.append(first, len(self.run)))
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Entry i: the smallest of ``x[i:i + width]`` (near the end: of what is
+    left), from minima over widths that double."""
+    out, span = x.copy(), 1
+    while span < width:
+        step = min(span, width - span)
+        out[:-step] = np.minimum(out[:-step], out[step:])
+        span += step
+    return out
 
 
 def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +116,8 @@ def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
 
     def pick(batch: pa.RecordBatch) -> dict:
         scan = Scan(texts_of(batch), window)
-        run, _, low, high = _low_high(scan.run, _ids(batch)[scan.doc])
+        first, _ = scan.picks()
+        run, _, low, high = _low_high(scan.run[first], _ids(batch)[scan.doc[first]])
         return {"run": _long(run), "low": _long(low), "high": _long(high)}
 
     found = map_batches(docs, pick, "run long, low long, high long").groupBy("run")
@@ -151,19 +171,37 @@ def segment_hash(whole: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndar
     return np.add.reduceat(mix(whole + inside.astype(np.uint64)), first)
 
 
+def packed_columns(codes: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
+    """The ``window`` codes from each ``start`` on as few 64-bit columns: codes are
+    numbered in their order, as many numbers go into a column as fit.  Rows
+    compare as the codes do."""
+    known, number = np.unique(codes, return_inverse=True)
+    number = number.astype(np.uint64)
+    bits = max(1, (len(known) - 1).bit_length())
+    each = max(1, 64 // bits)
+    out = np.empty((-(-window // each), len(start)), dtype=np.uint64)
+    for row, lo in enumerate(range(0, window, each)):
+        out[row] = number[start + lo]
+        for k in range(lo + 1, min(window, lo + each)):
+            out[row] = out[row] << _U(bits) | number[start + k]
+    return out
+
+
 def subtree_repeats(suffixes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """The subtree over ``suffixes`` (rows of word codes): for each, the smallest
-    document below its internal node of window depth, or ``_NEVER`` where
-    there is one document only."""
-    out = np.full(len(suffixes), _NEVER, dtype=np.int64)
-    if not len(suffixes):
+    """The subtree over ``suffixes`` (``packed_columns``, a column a suffix): for
+    each, the smallest document below its internal node of window depth, or
+    ``_NEVER`` where there is one document only."""
+    out = np.full(suffixes.shape[1], _NEVER, dtype=np.int64)
+    if not len(out):
         return out
-    order = np.lexsort(suffixes.T[::-1])
-    ordered = suffixes[order]
-    # longest common prefix of neighbours; a node of full depth is a run of neighbours sharing all words
-    differ = ordered[1:] != ordered[:-1]
-    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), suffixes.shape[1])
-    first = np.flatnonzero(np.concatenate(([True], shared < suffixes.shape[1])))
+    order = np.lexsort(suffixes[::-1])
+    # a node of full depth is a run of neighbours that share all words
+    differ = np.zeros(len(out), dtype=bool)
+    differ[0] = True
+    for column in suffixes:
+        ordered = column[order]
+        differ[1:] |= ordered[1:] != ordered[:-1]
+    first = np.flatnonzero(differ)
     smallest, largest = np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
     out[order] = np.repeat(np.where(smallest < largest, smallest, _NEVER), np.diff(np.append(first, len(order))))
     return out
@@ -175,22 +213,25 @@ def build_subtree(window: int):
 
     def build(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        rows = table.column("codes").to_pylist()
-        flat = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(-1, CODE)
+        rows = table.column("codes").combine_chunks()
+        size = pc.binary_length(rows).to_numpy(zero_copy_only=False).astype(np.int64) // CODE
+        flat = np.frombuffer(b"".join(rows.to_pylist()), dtype=np.uint8).reshape(-1, CODE)
         codes = np.zeros((len(flat), 8), dtype=np.uint8)
         codes[:, :CODE] = flat
         codes = codes.view("<u8").reshape(-1)
-        size = np.fromiter((len(r) // CODE for r in rows), dtype=np.int64, count=len(rows))
         n = size - window + 1
         owner, first = np.repeat(np.arange(len(rows)), n), np.cumsum(n) - n
         start = np.repeat(np.cumsum(size) - size - first, n) + np.arange(n.sum())
-        suffixes = codes[start[:, None] + np.arange(window)]
+        suffixes = packed_columns(codes, start, window)
         lows = subtree_repeats(suffixes, table.column("low").to_numpy()[owner], table.column("high").to_numpy()[owner])
         whole = run_hash(codes, window)[start]
         seg, head = segment_hash(whole, first, n), whole[first]
         # the same segment from several slices has the same windows: once
-        _, once = np.unique(np.stack([seg, head]), axis=1, return_index=True)
-        once = np.sort(once[np.minimum.reduceat(lows, first)[once] != _NEVER])
+        order = np.lexsort((head, seg))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (seg[order[1:]] != seg[order[:-1]]) | (head[order[1:]] != head[order[:-1]])
+        once = np.sort(order[new])
+        once = once[np.minimum.reduceat(lows, first)[once] != _NEVER]
         kept = np.zeros(len(rows), dtype=bool)
         kept[once] = True
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n[once]))).astype(np.int32)), pa.array(lows[kept[owner]]))
@@ -211,7 +252,9 @@ class Sieve:
         listed = runs.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
         owner = np.repeat(np.arange(len(runs)), np.diff(runs.offsets.to_numpy()))
         keys = np.unique(mix(listed ^ mix(owner.astype(np.uint64) + _U(1))))
-        self.at = np.flatnonzero(np.isin(mix(scan.run ^ mix(scan.doc.astype(np.uint64) + _U(1))), keys))
+        first, size = scan.picks()
+        marked = np.isin(mix(scan.run[first] ^ mix(scan.doc[first].astype(np.uint64) + _U(1))), keys)
+        self.at = np.flatnonzero(np.repeat(marked, size))
         if groups is None:
             return
         whole = scan.whole[self.at]
@@ -267,7 +310,8 @@ def marked_documents(docs: DataFrame, window: int) -> DataFrame:
 
     def picked(batch: pa.RecordBatch) -> dict:
         scan = Scan(texts_of(batch), window)
-        run, node = _distinct_pairs(scan.run, _nodes(batch)[scan.doc])
+        first, _ = scan.picks()
+        run, node = _distinct_pairs(scan.run[first], _nodes(batch)[scan.doc[first]])
         return {"run": _long(run), "node": _long(node)}
 
     seen = map_batches(docs, picked, "run long, node long").join(runs, "run", "left_semi")
@@ -314,13 +358,31 @@ def _removed(batch: pa.RecordBatch, window: int) -> tuple[Words, np.ndarray]:
     found = listed.flatten()
     start = found.field(0).to_numpy(zero_copy_only=False) + np.repeat(words.doc_first[:-1], sizes)
     mask = found.field(1).to_numpy(zero_copy_only=False)
-    for bit in range(SEGMENT):
-        at = start[mask >> bit & 1 == 1] + bit
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + window, -1)
+    bits = np.unpackbits(mask.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    row, bit = np.nonzero(bits)
+    at = start[row] + bit
+    edge += np.bincount(at, minlength=len(edge)) - np.bincount(at + window, minlength=len(edge))
     return words, np.cumsum(edge)[:len(words)] > 0
 
 
+def _kept(words: Words, gone: np.ndarray) -> pa.Array:
+    """Text of every document from the words that stay, one space apart: the bytes of
+    those words, and the one after each but a document's last, as a space."""
+    stay = np.flatnonzero(~gone)
+    starts, ends = words.starts[stay], words.ends[stay]
+    first = np.searchsorted(stay, words.doc_first)
+    spaced = np.ones(len(stay), dtype=bool)
+    spaced[first[1:][np.diff(first) > 0] - 1] = False
+    edge = np.zeros(len(words.buf) + 2, dtype=np.int8)
+    edge[starts] = 1
+    edge[ends + spaced] -= 1            # a word may start where the space before it ends
+    out = words.buf.copy()
+    out[ends[spaced]] = 0x20
+    out = out[np.cumsum(edge, dtype=np.int8)[:len(out)].view(bool)]
+    offsets = np.concatenate(([0], np.cumsum(ends - starts + spaced)))[first]
+    return pa.LargeStringArray.from_buffers(len(first) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)).cast(pa.string())
+
+
 _LAST = (1 << 63) - 1       # null ids come after all others
 
 
@@ -361,10 +423,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, limit: int = GROUP_SUF
         first = words.doc_first
         n = np.diff(first)
         total = np.concatenate(([0], np.cumsum(gone)))
-        kept = [b" ".join([words.word(i) for i in np.flatnonzero(~gone[lo:hi]) + lo]).decode("utf-8", "surrogatepass")
-                for lo, hi in zip(first[:-1].tolist(), first[1:].tolist())]
         return {"doc_id": batch.column(0), "n_words": _long(n), "n_removed": _long(total[first[1:]] - total[first[:-1]]),
-                "kept_text": pa.array(kept, pa.string())}
+                "kept_text": _kept(words, gone)}
 
     marked = covered_words(_narrow(docs), window, limit).select("id", "text", "windows")
     out = map_batches(marked, cut, "doc_id long, n_words long, n_removed long, kept_text string")

@@ -15,7 +15,8 @@ import numpy as np
 _U = np.uint64
 _P1 = 0x9E3779B97F4A7C15
 _P2 = 0xC2B2AE3D27D4EB4F
-_STRETCH = 500_000
+_STRETCH = 1 << 15
+_KEPT_STEPS = 1 << 20
 
 
 def byte_class(exclude: list[tuple[int, int]]) -> np.ndarray:
@@ -31,6 +32,7 @@ SPACE_WORDS = byte_class([(0x20, 0x20), (0x09, 0x0D)])
 # [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ (after lower-casing A-Z)
 ALNUM_WORDS = byte_class([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 
+_NONE = np.empty(0, dtype=np.uint64)
 _ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -62,6 +64,20 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+_steps_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _steps(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of a base and of its inverse modulo 2^64."""
+    up, down = _steps_of.get(base, (_NONE, _NONE))
+    if len(up) < n:
+        size = 1 << (n - 1).bit_length()
+        up, down = _powers(base, size), _powers(pow(base | 1, -1, 1 << 64), size)
+        if size <= _KEPT_STEPS:
+            _steps_of[base] = up, down
+    return up[:n], down[:n]
+
+
 class Words:
     """Word boundaries and fingerprints of a batch of byte strings.
 
@@ -73,13 +89,13 @@ class Words:
     def __init__(self, docs: list[bytes], is_word: np.ndarray):
         self.data = b" ".join(docs) + b" "
         buf = np.frombuffer(self.data, dtype=np.uint8)
-        inside = np.empty(len(buf) + 1, dtype=np.int8)
-        inside[0] = 0
+        inside = np.empty(len(buf) + 1, dtype=bool)
+        inside[0] = False
         inside[1:] = is_word[buf]
-        edge = np.diff(inside)
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
         self.buf = buf
-        self.starts = np.flatnonzero(edge == 1)
-        self.ends = np.flatnonzero(edge == -1)
+        self.starts = edge[::2].copy()
+        self.ends = edge[1::2].copy()
         sizes = np.fromiter((len(d) for d in docs), dtype=np.int64, count=len(docs))
         doc_at = np.zeros(len(docs) + 1, dtype=np.int64)
         np.cumsum(sizes + 1, out=doc_at[1:])
@@ -92,16 +108,21 @@ class Words:
         return self.data[self.starts[i]:self.ends[i]]
 
     def fingerprints(self, base: int = _P1) -> np.ndarray:
-        """One 64-bit fingerprint a word (a stretch of words at a time)."""
+        """One 64-bit fingerprint a word (a stretch of words at a time): running
+        sums of the bytes times the base's powers, brought back to the word's start."""
         out = np.empty(len(self.starts), dtype=np.uint64)
         for lo in range(0, len(out), _STRETCH):
             starts, ends = self.starts[lo:lo + _STRETCH], self.ends[lo:lo + _STRETCH]
-            lens = ends - starts
-            first = np.cumsum(lens) - lens
-            in_word = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(first, lens)
-            vals = self.buf[in_word + np.repeat(starts, lens)] + _U(1)
-            vals *= _powers(base, int(lens.max()))[in_word]
-            out[lo:lo + _STRETCH] = mix(np.add.reduceat(vals, first) ^ (lens.astype(np.uint64) * _U(_P2)))
+            at, n = starts[0], int(ends[-1] - starts[0])
+            up, down = _steps(base, n)
+            sums = np.zeros(n + 1, dtype=np.uint64)
+            vals = self.buf[at:at + n].astype(np.uint64)
+            vals += _U(1)
+            vals *= up
+            np.cumsum(vals, out=sums[1:])
+            starts, ends = starts - at, ends - at
+            vals = (sums[ends] - sums[starts]) * down[starts]
+            out[lo:lo + _STRETCH] = mix(vals ^ ((ends - starts).astype(np.uint64) * _U(_P2)))
         return out
 
 

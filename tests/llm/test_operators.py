@@ -13,12 +13,13 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from cohortlens.llm import (common, components, decontaminate, exact_dedup, language_id, packing, preference, sharding, simhash,
-                            substring_dedup, toxicity, url_rules)
+                            substring_dedup, toxicity, url_rules, wordarrays)
 from cohortlens.llm.queries import word_tokenizer
 
 WORDS = "ane bere coli dotu ena firo gula hemi iko jura".split()
@@ -166,6 +167,38 @@ def test_substring_dedup_repeats_inside_one_document(spark):
     assert Counter(map(tuple, got)) == Counter(_covered(rows))
 
 
+def test_substring_steps_take_few_passes():
+    """Array steps against plain versions; a window sorts by a few packed columns,
+    hashes of whole windows are made only where they are read."""
+    rng = random.Random(5)
+    texts = [t for _, t in _texts()] + ["", " a ", "ü" * 300 + "\tß  end \n", "x" * 70_000 + " y"] * 2
+    scan = substring_dedup.Scan(texts, 13)
+    assert "whole" not in vars(scan) and len(scan.whole) == len(scan.start) > 0
+    mask = (1 << 64) - 1
+    for k in [*range(40), *range(len(scan.words) - 4, len(scan.words))]:
+        word = scan.words.word(k)
+        x = sum((b + 1) * pow(wordarrays._P1 | 1, i, 1 << 64) for i, b in enumerate(word)) & mask
+        x ^= len(word) * wordarrays._P2 & mask
+        assert int(scan.codes[k]) == int(wordarrays.mix(np.array([x], np.uint64))[0]) >> 16
+    values = np.array([rng.randrange(1 << 64) for _ in range(50)], np.uint64)
+    for width in (1, 2, 3, 10, 13):
+        got = substring_dedup.sliding_min(values, width).tolist()
+        assert got == [min(values[k:k + width].tolist()) for k in range(50)]
+    gone = np.array([rng.random() < 0.5 for _ in range(len(scan.words))])
+    plain = [" ".join(scan.words.word(k).decode() for k in range(lo, hi) if not gone[k])
+             for lo, hi in itertools.pairwise(scan.words.doc_first.tolist())]
+    assert substring_dedup._kept(scan.words, gone).to_pylist() == plain
+    assert substring_dedup._kept(scan.words, ~np.zeros_like(gone)).to_pylist() == [""] * len(texts)
+    codes = np.array([rng.randrange(1 << 48) for _ in range(300)], np.uint64)[[rng.randrange(300) for _ in range(2000)]]
+    start = np.arange(len(codes) - 12)
+    columns = substring_dedup.packed_columns(codes, start, 13)
+    assert len(columns) == 2            # 300 codes: 9 bits, 7 of them a column
+    plain = sorted(start.tolist(), key=lambda k: (codes[k:k + 13].tolist(), k))
+    assert np.lexsort(columns[::-1]).tolist() == plain
+    wide = substring_dedup.packed_columns(np.array([7, 9, 7, 8], np.uint64), np.array([0, 2]), 2)
+    assert wide.shape == (1, 2) and wide[0, 0] > wide[0, 1]
+
+
 @pytest.mark.parametrize("limit", [8, substring_dedup.GROUP_SUFFIXES])
 def test_substring_spans_are_maximal(spark, docs, limit):
     want = Counter()
