@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise, sized, texts_of
+from .common import files_of, map_batches, materialise, sized, texts_of
 from .components import components
 from .exact_dedup import keep_rows
 from .wordarrays import lower_ascii, mix, utf8
@@ -341,8 +341,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
       number in ``copies``.
     * An empty table gives an empty result.
     """
-    prints = materialise(fingerprints(docs, shingle), "simhash-prints")
-    rows = prints.count()
+    rows = docs.count()
+    prints = materialise(fingerprints(docs, shingle).repartition(files_of(rows)), "simhash-prints")
     distinct = materialise(sized(prints.select("fp").distinct(), rows), "simhash-distinct")
     links = near_links(distinct, max_bits)
     found = materialise(components(links, "simhash-links"), "simhash-components")
